@@ -24,6 +24,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    A lambda that mentions an outer expression re-evaluates it on every element; binding
+    it through a one-element array makes it a plain variable inside ``body``.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip_newlines(c) -> Column:
     """Remove ``\\n`` only (carriage returns and other breaks are kept)."""
     return F.replace(col_(c), F.lit("\n"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_
+from .text import col_, let
 
 
 def dot(a, b) -> Column:
@@ -20,10 +20,10 @@ def l2_norm(a) -> Column:
 
 def l2_normalize(a) -> Column:
     """Unit-length copy of a vector; the zero vector stays zero."""
-    v = col_(a)
-    n = l2_norm(v)
-    return F.when(v.isNull(), F.lit(None)).otherwise(
-        F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    def scale(v: Column) -> Column:
+        return let(l2_norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+
+    return let(col_(a), lambda v: F.when(v.isNull(), F.lit(None)).otherwise(scale(v)))
 
 
 def cosine(a, b) -> Column:

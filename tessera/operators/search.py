@@ -82,8 +82,18 @@ class CorpusStats:
         return self.total_len / self.n_docs if self.n_docs else 0.0
 
 
+def pin(df: DataFrame, expr: Column, name: str, *cols) -> DataFrame:
+    """Project ``cols`` plus ``expr`` as ``name``, evaluated exactly once per row.
+
+    The value comes out of a one-element ``explode``; Catalyst cannot push a filter that
+    uses generator output beneath the generator, so a later ``filter`` on ``name`` does
+    not inline (and re-run) the expression inside the scan's filter.
+    """
+    return df.select(*cols, F.explode(F.array(expr)).alias(name))
+
+
 def _with_tokens(docs: DataFrame, field_tokens: Column, keep) -> DataFrame:
-    return docs.select("doc_id", *keep, field_tokens.alias("_tok")).withColumn("_dl", F.size("_tok"))
+    return pin(docs, field_tokens, "_tok", "doc_id", *keep).withColumn("_dl", F.size("_tok"))
 
 
 def _corpus_stats(tok: DataFrame, terms: list[str], extra_df: dict | None = None) -> CorpusStats:
@@ -234,7 +244,7 @@ def weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b:
     useful postings. ``max_df_ratio`` < 1 drops very common terms (changes scores; off by
     default).
     """
-    tok = docs.select("doc_id", field_tokens.alias("_tok")).withColumn("_dl", F.size("_tok"))
+    tok = pin(docs, field_tokens, "_tok", "doc_id").withColumn("_dl", F.size("_tok"))
     stats = tok.agg(F.count_if(F.col("_dl") > 0).alias("n_docs"),
                     (F.sum("_dl") / F.count_if(F.col("_dl") > 0)).alias("avgdl"))
     ex = tok.select("doc_id", "_dl", F.explode("_tok").alias("term"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.facts import extract_facts
-from ..functions.text import col_, tokenize
+from ..functions.text import col_, let, tokenize
 from ..functions.vectors import dot, l2_normalize, vector_literal
 
 DEFAULT_DIMS = 64
@@ -34,9 +34,10 @@ def token_bucket(t: Column, dims: int) -> Column:
 
 def hash_vector(text, dims: int = DEFAULT_DIMS, normalize: bool = True) -> Column:
     """Dense ``array<double>`` of hashed token counts for a text column."""
+    # bucket ids are computed once per row (bound with ``let``), then counted per dimension
     buckets = F.transform(tokenize(text), lambda t: token_bucket(t, dims))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                         lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    counts = let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
+                                                lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
     return l2_normalize(counts) if normalize else counts
 
 

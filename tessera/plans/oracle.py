@@ -112,15 +112,20 @@ def phrase_cte(name: str, source: str, tokens_expr: str, query: str) -> str:
 
 
 def hash_vec_sql(text_expr: str, dims: int) -> str:
-    """Dense normalised hashed-count vector (list of DOUBLE) for a text expression."""
-    buckets = f"list_transform({tok(text_expr)}, lambda x: (('0x' || substr(md5(x), 1, 4))::INTEGER % {dims}))"
-    counts = f"list_transform(range(0, {dims}), lambda i: len(list_filter({buckets}, lambda b: b = i))::DOUBLE)"
-    return counts
+    """Hashed-count vector (list of DOUBLE) for a text expression (not normalised)."""
+    return (f"list_reduce(list_transform({tok(text_expr)}, lambda x: (('0x' || substr(md5(x), 1, 4))::INTEGER % {dims})), "
+            f"lambda acc, b: list_transform(acc, lambda c, i: CASE WHEN i - 1 = b THEN c + 1.0 ELSE c END), "
+            f"list_transform(range(0, {dims}), lambda i: 0.0::DOUBLE))")
 
 
-def _norm_list(v: str) -> str:
-    n = f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
-    return f"list_transform({v}, lambda x: CASE WHEN {n} > 0 THEN x / {n} ELSE 0.0 END)"
+def _norm_stage(src: str, key: str, vec_expr: str, extra: str = "") -> str:
+    """Three staged SELECTs (raw vector, its norm, normalised ``v``) over ``src``; the
+    heavy vector expression is evaluated once per row."""
+    ex = f", {extra}" if extra else ""
+    return (f"(SELECT {key}, nv{', ' + extra.split(' AS ')[-1] if extra else ''}, "
+            f"list_transform(nv, lambda x: CASE WHEN nn > 0 THEN x / nn ELSE 0.0 END) AS v FROM "
+            f"(SELECT *, sqrt(list_sum(list_transform(nv, lambda x: x * x))) AS nn FROM "
+            f"(SELECT {key}, ({vec_expr})::DOUBLE[] AS nv{ex} FROM {src})))")
 
 
 def _dot(a: str, b: str) -> str:
@@ -296,16 +301,16 @@ SELECT doc_id, sent_idx::INTEGER AS sent_idx, term, count(*)::BIGINT AS tf FROM
     # ---- vectors
     dims = P.DIMS
     hv = hash_vec_sql("text", dims)
-    S["hash_encode"] = f"""WITH v AS (SELECT doc_id, {_norm_list(hv)} AS v FROM documents)
+    S["hash_encode"] = f"""WITH v AS {_norm_stage('documents', 'doc_id', hv)}
 SELECT doc_id, (generate_subscripts(v, 1) - 1)::INTEGER AS dim, round(unnest(v), 6) AS value FROM v"""
-    S["l2_normalize"] = f"""WITH v AS (SELECT vec_id AS doc_id, {_norm_list('embedding')} AS v, embedding FROM embeddings)
+    S["l2_normalize"] = f"""WITH v AS (SELECT doc_id, v, nv AS embedding FROM {_norm_stage('(SELECT vec_id AS doc_id, embedding FROM embeddings)', 'doc_id', 'embedding')})
 SELECT doc_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm_before,
   round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm_after, round(v[1], 6) AS v0 FROM v"""
     fq, _ = facts("text")
-    S["knn_query_prep"] = f"""WITH v AS (SELECT item_id, {_norm_list(hash_vec_sql(fq, dims))} AS v FROM benchmark)
+    S["knn_query_prep"] = f"""WITH v AS {_norm_stage('benchmark', 'item_id', hash_vec_sql(fq, dims))}
 SELECT item_id, (generate_subscripts(v, 1) - 1)::INTEGER AS dim, round(unnest(v), 6) AS value FROM v"""
     fq_lit, _ = facts(_q(P.Q_KNN))
-    qv = f"(SELECT {_norm_list(hash_vec_sql(fq_lit, dims))} AS q)"
+    qv = f"(SELECT v AS q FROM {_norm_stage('(SELECT 1 AS one)', 'one', hash_vec_sql(fq_lit, dims))})"
     S["knn_search"] = with_prelude(f"""qv AS {qv},
 s AS (SELECT doc_id, round({_dot('vector', 'q')}, 6) AS score FROM prepared_v CROSS JOIN qv WHERE vector IS NOT NULL)
 SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT {P.KNN_K}""")
@@ -314,7 +319,7 @@ s AS (SELECT doc_id, round({_dot('vector', 'q')}, 6) AS score FROM prepared_v CR
 hs AS (SELECT s.doc_id, s.score, p.court_name, p.court_province, p.trial_round, p.case_type, p.legal_base
   FROM s JOIN prepared p USING (doc_id) ORDER BY s.score DESC, s.doc_id LIMIT {P.KNN_K}),
 """ + _facets_from("hs"))
-    S["knn_join"] = f"""WITH q AS (SELECT item_id AS qid, {_norm_list(hash_vec_sql(fq, dims))} AS qv FROM benchmark),
+    S["knn_join"] = f"""WITH q AS (SELECT item_id AS qid, v AS qv FROM {_norm_stage('benchmark', 'item_id', hash_vec_sql(fq, dims))}),
 c AS ({CASE_VECTORS_SQL}),
 s AS (SELECT qid, doc_id, round({_dot('vector', 'qv')}, 6) AS score FROM c CROSS JOIN q WHERE vector IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)

@@ -119,12 +119,12 @@ def _request(**kw):
 
 @register
 def facets(spark, sf_dir):
-    return search(prepared(spark, sf_dir), _request(), persist=False).facets
+    return search(tb.cases(spark, sf_dir), _request(), prepare=pr.prepare_cases, persist=False).facets
 
 
 @register
 def search_total(spark, sf_dir):
-    return search(prepared(spark, sf_dir), _request(facets=P.POST_FILTER), persist=False).total
+    return search(tb.cases(spark, sf_dir), _request(facets=P.POST_FILTER), prepare=pr.prepare_cases, persist=False).total
 
 
 @register
@@ -140,7 +140,7 @@ def search_page(spark, sf_dir):
 
 @register
 def search_hits(spark, sf_dir):
-    return search(prepared(spark, sf_dir), _request(), persist=False).hits
+    return search(tb.cases(spark, sf_dir), _request(), prepare=pr.prepare_cases, persist=False).hits
 
 
 @register

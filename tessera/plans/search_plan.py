@@ -25,7 +25,6 @@ SIMILAR = "类案查询"
 FULL_TEXT = "全文"
 FACTS_ONLY = "仅案情"
 
-HIT_COLUMNS = ("case_name", "content", "basics_text", "case_id", "court_name", "publish_date")
 
 
 @dataclass
@@ -52,29 +51,47 @@ class SearchResult:
         self.scored.unpersist()
 
 
-def scored_hits(cases: DataFrame, req: SearchRequest, encoder=None) -> tuple[DataFrame, list[str] | None]:
-    keep = tuple(dict.fromkeys([c for c in (*HIT_COLUMNS, *req.facet_fields) if c in cases.columns]))
+def scored_hits(cases: DataFrame, req: SearchRequest, prepare=None, encoder=None) -> tuple[DataFrame, list[str] | None]:
+    """``(doc_id, score)`` for every hit. Only the searched field is analysed here; the
+    facts passage is derived first when it is the searched field."""
+    # post-filter fields ride along with the scores (no second join over all hits)
+    keep = tuple(req.facets or ())
+    needs_prep = any(f not in cases.columns for f in keep)
     if req.backbone == KEYWORD:
         fld = se.field_for(req.field)
+        src = prepare(cases) if (prepare is not None and (fld == "basics_text" or needs_prep)) else cases
         mode = se.query_mode(req.query)
         terms = se.analyze_query(cases.sparkSession, req.query)
         if mode == "phrase":
-            return se.phrase_search(cases, req.query, fld, keep), terms
-        return se.keyword_search(cases, req.query, fld, "or", keep), terms
+            return se.phrase_search(src, req.query, fld, keep), terms
+        return se.keyword_search(src, req.query, fld, "or", keep), terms
     if req.backbone == SIMILAR:
+        src = prepare(cases) if prepare is not None else cases
         qvec = vx.query_vector(cases.sparkSession, req.query, encoder=encoder)
-        return vx.knn_search(cases, qvec, k=req.knn_k, keep=keep), None
+        return vx.knn_search(src, qvec, k=req.knn_k, keep=keep), None
     raise ValueError(f"unknown backbone {req.backbone!r}")
 
 
-def search(cases: DataFrame, req: SearchRequest, encoder=None, persist: bool = True) -> SearchResult:
-    scored, terms = scored_hits(cases, req, encoder)
+def _fetch(ranked: DataFrame, cases: DataFrame, prepare) -> DataFrame:
+    """Late materialisation: join a bounded set of ranked ids back to the records and run
+    the (expensive) preparation on those rows only. ``ranked`` is the output of a limit,
+    so broadcasting it is safe."""
+    rows = cases.join(F.broadcast(ranked), "doc_id")
+    return prepare(rows) if prepare is not None else rows
+
+
+def search(cases: DataFrame, req: SearchRequest, prepare=None, encoder=None, persist: bool = True) -> SearchResult:
+    """Search response over raw ``cases``; ``prepare`` turns raw rows into indexed records
+    (``operators.prep.prepare_cases``), applied only to sampled / paged rows."""
+    scored, terms = scored_hits(cases, req, prepare, encoder)
     if persist:
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    sampled = fc.sample_hits(scored, req.sample_size)
+    ids = scored.select("doc_id", "score")
+    sampled = _fetch(fc.sample_hits(ids, req.sample_size), cases, prepare)
     facets = fc.facets(sampled, req.facet_fields)
-    filtered = fc.post_filter(scored, req.facets)
+    filtered = fc.post_filter(scored, req.facets).select("doc_id", "score")
     total = filtered.agg(F.count(F.lit(1)).cast("bigint").alias("total"))
-    page = sh.search_page(filtered, req.from_, req.size)
+    page_ids = sh.search_page(filtered, req.from_, req.size)
+    page = _fetch(page_ids, cases, prepare)
     hits = sh.shape_hits(page, req.field, terms, keyword_mode=req.backbone == KEYWORD)
     return SearchResult(scored, hits, facets, total)

@@ -48,8 +48,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_fraction: float = 0.5) -> DataFrame:
+    """Round-robin repartition only when a scan yields far fewer splits than cores.
+
+    Large inputs are read as many file splits and pass through untouched (no shuffle); a
+    text table packed into one row group would otherwise put all per-row regex work in a
+    single task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, int(target * min_fraction)):
+        return df.repartition(target)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
