@@ -347,4 +347,123 @@ w AS (SELECT term, doc_id, ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * (tf *
 s AS (SELECT qid, doc_id, round(sum(qtf * w), 6) AS score FROM qt JOIN w USING (term) GROUP BY qid, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT qid, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= {P.SIMILAR_K}""")
+    S.update(explain_sql())
     return S
+
+
+def _similar_ctes(k: int) -> str:
+    return f"""q AS (SELECT item_id AS qid, text AS qtext FROM benchmark),
+qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tok('qtext')}) AS term FROM q) GROUP BY qid, term),
+tk AS (SELECT doc_id, {tok('basics_text')} AS t FROM prepared),
+st AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n, sum(len(t))::DOUBLE / count(*) FILTER (WHERE len(t) > 0) AS avgdl FROM tk),
+tf AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tk)
+  WHERE term IN (SELECT term FROM qt) GROUP BY term, doc_id),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, doc_id, ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * (tf * {P.K1 + 1.0}) / (tf + {P.K1} * (1 - {P.B} + {P.B} * dl / st.avgdl)) AS w
+  FROM tf JOIN df USING (term) CROSS JOIN st),
+s AS (SELECT qid, doc_id, round(sum(qtf * w), 6) AS score FROM qt JOIN w USING (term) GROUP BY qid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s),
+sim AS (SELECT qid, doc_id, score, rank FROM r WHERE rank <= {k})"""
+
+
+def _explain_ctes(identity: bool) -> str:
+    """CTEs up to key sentences, cosines, thresholds, matches and components."""
+    from ..operators import explain as xp
+
+    if identity:
+        pairs = "pairs AS (SELECT item_id AS pair_id, text AS query_text, text AS cand_text FROM benchmark)"
+    else:
+        pairs = (_similar_ctes(1) + ",\npairs AS (SELECT b.item_id AS pair_id, b.text AS query_text, p.basics_text AS cand_text "
+                 "FROM benchmark b JOIN sim ON sim.qid = b.item_id JOIN prepared p ON p.doc_id = sim.doc_id)")
+    words = "list_filter(" + tok("sentence") + ", lambda x: NOT regexp_matches(x, '^[0-9]+$'))"
+    d = xp.DAMPING
+    iters = []
+    for k in range(1, xp.ITERATIONS + 1):
+        iters.append(f"""r{k} AS (SELECT n.tid, n.sent_idx, {1.0 - d!r}::DOUBLE + {d!r}::DOUBLE * coalesce(c.s, 0.0) AS ws FROM nodes n LEFT JOIN
+  (SELECT e.tid, e.dst AS sent_idx, sum(e.p * r.ws) AS s FROM edges e JOIN r{k - 1} r ON e.tid = r.tid AND e.src = r.sent_idx GROUP BY ALL) c
+  ON n.tid = c.tid AND n.sent_idx = c.sent_idx)""")
+    iters_sql = ",\n".join(iters)
+    step = xp.STEP
+    return f"""{pairs},
+texts AS (SELECT pair_id * 2 AS tid, query_text AS text FROM pairs UNION ALL SELECT pair_id * 2 + 1, cand_text FROM pairs),
+sl AS (SELECT tid, {_sentences('text')} AS l FROM texts),
+sents0 AS (SELECT tid, generate_subscripts(l, 1) - 1 AS sent_idx, unnest(l) AS sentence FROM sl),
+sents AS (SELECT *, {words} AS words, len({words}) AS n_words, length(sentence) AS slen FROM sents0),
+nodes AS (SELECT tid, sent_idx FROM sents),
+ws AS (SELECT DISTINCT tid, sent_idx, unnest(list_distinct(words)) AS word FROM sents),
+shared AS (SELECT a.tid, a.sent_idx AS i, b.sent_idx AS j, count(*) AS shared FROM ws a JOIN ws b ON a.tid = b.tid AND a.word = b.word AND a.sent_idx < b.sent_idx GROUP BY ALL),
+e1 AS (SELECT s.tid, s.i, s.j, s.shared / (ln(a.n_words::DOUBLE) + ln(b.n_words::DOUBLE)) AS w FROM shared s
+  JOIN sents a ON a.tid = s.tid AND a.sent_idx = s.i JOIN sents b ON b.tid = s.tid AND b.sent_idx = s.j
+  WHERE abs(ln(a.n_words::DOUBLE) + ln(b.n_words::DOUBLE)) >= 1e-12),
+e2 AS (SELECT tid, i AS src, j AS dst, w FROM e1 UNION ALL SELECT tid, j, i, w FROM e1),
+edges AS (SELECT tid, src, dst, w / sum(w) OVER (PARTITION BY tid, src) AS p FROM e2),
+r0 AS (SELECT tid, sent_idx, 1.0::DOUBLE AS ws FROM nodes),
+{iters_sql},
+weights AS (SELECT tid, sent_idx, round(ws, {xp.WEIGHT_DIGITS}) AS weight FROM r{xp.ITERATIONS}),
+targets AS (SELECT tid, count(*) AS n, greatest(least(count(*) // 3, {xp.SENTENCE_NUMBER}), 1) AS n_key FROM sents GROUP BY tid),
+keys0 AS (SELECT s.tid, s.sent_idx, s.words, w.weight, t.n_key,
+  row_number() OVER (PARTITION BY s.tid ORDER BY w.weight DESC, s.sent_idx) AS rank
+  FROM sents s JOIN weights w USING (tid, sent_idx) JOIN targets t USING (tid) WHERE s.slen >= {xp.SENTENCE_MIN_LEN}),
+keys AS (SELECT * FROM keys0 WHERE rank <= n_key),
+kv AS (SELECT tid, sent_idx, term, count(*) AS tf FROM (SELECT tid, sent_idx, unnest(words) AS term FROM keys) GROUP BY ALL),
+norms AS (SELECT tid, sent_idx, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM kv GROUP BY ALL),
+dots AS (SELECT q.tid // 2 AS pair_id, q.tid AS tq, q.sent_idx AS q_idx, c.tid AS tc, c.sent_idx AS c_idx, sum(q.tf * c.tf) AS dot
+  FROM kv q JOIN kv c ON c.tid = q.tid + 1 AND q.term = c.term WHERE q.tid % 2 = 0 GROUP BY ALL),
+cos AS (SELECT d.pair_id, d.q_idx, d.c_idx, d.dot / (a.norm * b.norm) AS cos FROM dots d
+  JOIN norms a ON a.tid = d.tq AND a.sent_idx = d.q_idx JOIN norms b ON b.tid = d.tc AND b.sent_idx = d.c_idx),
+nk AS (SELECT tid, count(*) AS k FROM keys WHERE len(words) > 0 GROUP BY tid),
+side AS (SELECT t.tid // 2 AS pair_id, max(CASE WHEN t.tid % 2 = 0 THEN t.n_key END) AS nkq, max(CASE WHEN t.tid % 2 = 1 THEN t.n_key END) AS nkc,
+  max(CASE WHEN t.tid % 2 = 0 THEN nk.k END) AS kq, max(CASE WHEN t.tid % 2 = 1 THEN nk.k END) AS kc
+  FROM targets t LEFT JOIN nk USING (tid) GROUP BY ALL),
+sc AS (SELECT pair_id, list(cos) AS scores FROM cos GROUP BY pair_id),
+thr0 AS (SELECT p.pair_id, coalesce(sc.scores, []::DOUBLE[]) AS scores,
+  (coalesce(side.kq, 0) * coalesce(side.kc, 0) - len(coalesce(sc.scores, []::DOUBLE[])))::INTEGER AS n_zero,
+  least(coalesce(side.nkq, 1), coalesce(side.nkc, 1)) AS min_key
+  FROM pairs p LEFT JOIN side USING (pair_id) LEFT JOIN sc USING (pair_id) WHERE p.query_text <> p.cand_text),
+thr AS (SELECT pair_id, min_key, n_zero, list_reduce(range(1, 261), lambda acc, x:
+   CASE WHEN acc.ph = 0 THEN (CASE WHEN len(list_filter(scores, lambda s: s > acc.r)) + (CASE WHEN acc.r < 0 THEN n_zero ELSE 0 END) = 0 AND acc.r > 0
+                                  THEN {{'r': acc.r - {step!r}::DOUBLE, 'ph': 0}} ELSE {{'r': acc.r, 'ph': 1}} END)
+        WHEN acc.ph = 1 THEN (CASE WHEN len(list_filter(scores, lambda s: s > acc.r)) + (CASE WHEN acc.r < 0 THEN n_zero ELSE 0 END) >= min_key AND acc.r <= 1
+                                  THEN {{'r': acc.r + {step!r}::DOUBLE, 'ph': 1}} ELSE {{'r': acc.r, 'ph': 2}} END)
+        ELSE acc END, {{'r': {xp.RELATION_RATIO!r}::DOUBLE, 'ph': 0}}).r AS threshold FROM thr0),
+pos AS (SELECT c.pair_id, c.q_idx, c.c_idx, c.cos AS score FROM cos c JOIN thr USING (pair_id) WHERE c.cos > thr.threshold),
+nzk AS (SELECT tid, sent_idx FROM keys WHERE len(words) > 0),
+zero AS (SELECT q.tid // 2 AS pair_id, q.sent_idx AS q_idx, c.sent_idx AS c_idx, 0.0::DOUBLE AS score FROM nzk q JOIN nzk c ON c.tid = q.tid + 1
+  JOIN thr ON thr.pair_id = q.tid // 2 WHERE q.tid % 2 = 0 AND thr.threshold < 0 AND thr.n_zero > 0
+  AND NOT EXISTS (SELECT 1 FROM cos WHERE cos.pair_id = q.tid // 2 AND cos.q_idx = q.sent_idx AND cos.c_idx = c.sent_idx)),
+same AS (SELECT s.tid // 2 AS pair_id, s.sent_idx AS q_idx, s.sent_idx AS c_idx, NULL::DOUBLE AS score FROM sents s
+  JOIN pairs p ON p.pair_id = s.tid // 2 WHERE s.tid % 2 = 0 AND p.query_text = p.cand_text
+  AND EXISTS (SELECT 1 FROM nzk WHERE nzk.tid // 2 = p.pair_id)),
+matched AS (SELECT * FROM pos UNION ALL SELECT * FROM zero UNION ALL SELECT * FROM same),
+adj AS (SELECT pair_id, q_idx::BIGINT AS a, (-1 - c_idx)::BIGINT AS b FROM matched WHERE score IS NOT NULL
+  UNION ALL SELECT pair_id, (-1 - c_idx)::BIGINT, q_idx::BIGINT FROM matched WHERE score IS NOT NULL),
+reach AS (SELECT * FROM (WITH RECURSIVE rr(pair_id, node, root) AS (SELECT pair_id, a, a FROM adj
+  UNION SELECT rr.pair_id, adj.b, rr.root FROM rr JOIN adj ON rr.pair_id = adj.pair_id AND rr.node = adj.a) SELECT * FROM rr)),
+lab AS (SELECT pair_id, node, min(root) FILTER (WHERE root >= 0) AS label FROM reach GROUP BY ALL),
+comp AS (SELECT pair_id, list_sort(list(node) FILTER (WHERE node >= 0)) AS q, list_sort(list(-1 - node) FILTER (WHERE node < 0)) AS c FROM lab GROUP BY pair_id, label
+  UNION ALL SELECT pair_id, [q_idx], [c_idx] FROM matched WHERE score IS NULL),
+comps AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY len(q) + len(c) DESC, q[1]) AS comp_rank, q, c FROM comp WHERE len(q) > 0 AND len(c) > 0)"""
+
+
+def explain_sql() -> dict[str, str]:
+    E: dict[str, str] = {}
+    base = with_prelude(_explain_ctes(False))
+    same = with_prelude(_explain_ctes(True))
+    E["textrank"] = base + "\nSELECT tid // 2 AS pair_id, (tid % 2)::INTEGER AS side, sent_idx::INTEGER AS sent_idx, round(weight, 6) AS weight FROM weights"
+    E["key_sentences"] = base + "\nSELECT tid // 2 AS pair_id, (tid % 2)::INTEGER AS side, sent_idx::INTEGER AS sent_idx, rank::INTEGER AS rank, n_key::INTEGER AS n_key FROM keys"
+    E["joint_vocab"] = base + "\nSELECT DISTINCT tid // 2 AS pair_id, unnest(words) AS term FROM keys"
+    E["sentence_cosine"] = base + "\nSELECT pair_id, q_idx::INTEGER AS q_idx, c_idx::INTEGER AS c_idx, round(cos, 6) AS cos FROM cos"
+    E["adaptive_threshold"] = base + "\nSELECT pair_id, round(threshold, 6) AS threshold, min_key::INTEGER AS min_key, n_zero::INTEGER AS n_zero FROM thr"
+    E["matched_pairs"] = base + "\nSELECT pair_id, q_idx::INTEGER AS q_idx, c_idx::INTEGER AS c_idx, round(score, 6) AS score FROM matched"
+    E["explain_identical"] = same + "\nSELECT pair_id, q_idx::INTEGER AS q_idx, c_idx::INTEGER AS c_idx FROM matched"
+    comps_out = "\nSELECT pair_id, comp_rank::INTEGER AS comp_rank, array_to_string(q, ',') AS q_idx, array_to_string(c, ',') AS c_idx, ((comp_rank - 1) % 5)::INTEGER AS color FROM comps"
+    E["explain_components"] = base + comps_out
+    E["explain_identical_components"] = same + comps_out
+    E["explain_pairs"] = base + """,
+ns AS (SELECT tid // 2 AS pair_id, count(*) FILTER (WHERE tid % 2 = 0) AS n_query_sents, count(*) FILTER (WHERE tid % 2 = 1) AS n_cand_sents FROM sents GROUP BY ALL),
+nm AS (SELECT pair_id, count(*) AS n_matched FROM matched GROUP BY ALL),
+nc AS (SELECT pair_id, count(*) AS n_components FROM comps GROUP BY ALL)
+SELECT ns.pair_id, n_query_sents::BIGINT AS n_query_sents, n_cand_sents::BIGINT AS n_cand_sents,
+  coalesce(n_matched, 0)::BIGINT AS n_matched, coalesce(n_components, 0)::BIGINT AS n_components
+FROM ns LEFT JOIN nm USING (pair_id) LEFT JOIN nc USING (pair_id)"""
+    return E

@@ -430,3 +430,99 @@ def vector_pairs(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
+
+
+# ---------------------------------------------------------------- explanation
+
+from ..operators import explain as xp  # noqa: E402
+
+
+def explain_input(spark, sf_dir):
+    """Pairs to explain: every benchmark passage with its best similar case (whole query
+    table, whole texts): ``(pair_id, query_text, cand_text)``."""
+    bench = tb.read_table(spark, sf_dir, "benchmark")
+    q = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
+    p = prepared(spark, sf_dir)
+    top = se.batch_keyword_search(p, q, "qid", "qtext", "basics_text", 1)
+    cand = top.join(p.select("doc_id", "basics_text"), "doc_id").select(F.col("qid").alias("pair_id"), F.col("basics_text").alias("cand_text"))
+    return bench.select(F.col("item_id").alias("pair_id"), F.col("text").alias("query_text")).join(cand, "pair_id")
+
+
+def identity_input(spark, sf_dir):
+    bench = tb.read_table(spark, sf_dir, "benchmark")
+    return bench.select(F.col("item_id").alias("pair_id"), F.col("text").alias("query_text"), F.col("text").alias("cand_text"))
+
+
+def _explained(spark, sf_dir, identity=False):
+    pairs = identity_input(spark, sf_dir) if identity else explain_input(spark, sf_dir)
+    return xp.explain_pairs(pairs)
+
+
+def _tid_cols():
+    return [F.floor(F.col("tid") / 2).cast("bigint").alias("pair_id"), (F.col("tid") % 2).cast("int").alias("side")]
+
+
+@register
+def textrank(spark, sf_dir):
+    e = _explained(spark, sf_dir)
+    return e.weights.select(*_tid_cols(), F.col("sent_idx").cast("int"), F.round("weight", 6).alias("weight"))
+
+
+@register
+def key_sentences(spark, sf_dir):
+    e = _explained(spark, sf_dir)
+    return e.keys.select(*_tid_cols(), F.col("sent_idx").cast("int"), F.col("rank").cast("int"), F.col("n_key").cast("int"))
+
+
+@register
+def joint_vocab(spark, sf_dir):
+    return xp.joint_vocab(_explained(spark, sf_dir).keys)
+
+
+@register
+def sentence_cosine(spark, sf_dir):
+    e = _explained(spark, sf_dir)
+    return xp.sentence_cosine(e.keys).select("pair_id", F.col("q_idx").cast("int"), F.col("c_idx").cast("int"), F.round("cos", 6).alias("cos"))
+
+
+@register
+def adaptive_threshold(spark, sf_dir):
+    t = _explained(spark, sf_dir).threshold
+    return t.select("pair_id", F.round("threshold", 6).alias("threshold"), F.col("min_key").cast("int"), F.col("n_zero").cast("int"))
+
+
+@register
+def matched_pairs(spark, sf_dir):
+    m = _explained(spark, sf_dir).matched
+    return m.select("pair_id", F.col("q_idx").cast("int"), F.col("c_idx").cast("int"), F.round("score", 6).alias("score"))
+
+
+@register
+def explain_identical(spark, sf_dir):
+    m = _explained(spark, sf_dir, identity=True).matched
+    return m.select("pair_id", F.col("q_idx").cast("int"), F.col("c_idx").cast("int"))
+
+
+def _components_out(c):
+    return c.select("pair_id", "comp_rank", F.array_join("q_idx", ",").alias("q_idx"), F.array_join("c_idx", ",").alias("c_idx"), "color")
+
+
+@register
+def explain_components(spark, sf_dir):
+    return _components_out(_explained(spark, sf_dir).components)
+
+
+@register
+def explain_identical_components(spark, sf_dir):
+    return _components_out(_explained(spark, sf_dir, identity=True).components)
+
+
+@register
+def explain_pairs(spark, sf_dir):
+    """End to end: per pair, sentence counts of both sides, matches and components."""
+    e = _explained(spark, sf_dir)
+    s = e.sentences.groupBy("pair_id").agg(F.count_if(F.col("side") == 0).cast("bigint").alias("n_query_sents"),
+                                           F.count_if(F.col("side") == 1).cast("bigint").alias("n_cand_sents"))
+    m = e.matched.groupBy("pair_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_matched"))
+    c = e.components.groupBy("pair_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_components"))
+    return s.join(m, "pair_id", "left").join(c, "pair_id", "left").fillna(0, ["n_matched", "n_components"])
