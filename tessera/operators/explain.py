@@ -97,19 +97,24 @@ def textrank(sents: DataFrame, iterations: int = ITERATIONS, damping: float = DA
     short and a lost executor recomputes at most a few iterations.
     """
     spark = sents.sparkSession
-    edges = sentence_edges(sents).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = sents.select("tid", "sent_idx")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Edges are hash-partitioned by (tid, src) and the node list by (tid, sent_idx), once.
+    # Ranks come out of the node join partitioned like the nodes, which (renamed to src) is
+    # also the edges' partitioning, so each iteration shuffles only for its aggregation.
+    edges = sentence_edges(sents).repartition(n_parts, "tid", "src").persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = sents.select("tid", "sent_idx").repartition(n_parts, "tid", "sent_idx").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = nodes.withColumn("ws", F.lit(1.0))
+    ensure_checkpoint_dir(spark)
     for it in range(1, iterations + 1):
         contrib = (edges.join(ranks.withColumnRenamed("sent_idx", "src"), ["tid", "src"])
                    .groupBy("tid", F.col("dst").alias("sent_idx"))
                    .agg(F.sum(F.col("p") * F.col("ws")).alias("s")))
         ranks = (nodes.join(contrib, ["tid", "sent_idx"], "left")
                  .select("tid", "sent_idx", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce(F.col("s"), F.lit(0.0))).alias("ws")))
-        if checkpoint_every and it % checkpoint_every == 0 and it < iterations:
-            ensure_checkpoint_dir(spark)
+        if (checkpoint_every and it % checkpoint_every == 0) or it == iterations:
             ranks = ranks.checkpoint(eager=True)
     edges.unpersist()
+    nodes.unpersist()
     return ranks.select("tid", "sent_idx", F.round("ws", WEIGHT_DIGITS).alias("weight"))
 
 
@@ -302,7 +307,8 @@ def explain_pairs(pairs: DataFrame, stop_words=None, sentence_number: int = SENT
     texts = pair_texts(pairs)
     sents = sentence_table(texts, stop_words).checkpoint(eager=True)
     weights = textrank(sents, iterations)
-    keys = key_sentences(sents, weights, sentence_number, sentence_min_len)
+    # key sentences (at most ``sentence_number`` per text) feed four branches
+    keys = key_sentences(sents, weights, sentence_number, sentence_min_len).checkpoint(eager=True)
     targets = text_targets(sents, sentence_number)
     cos = sentence_cosine(keys)
     thr = adaptive_threshold(pairs, keys, targets, cos)
