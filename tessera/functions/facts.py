@@ -28,6 +28,22 @@ FACT_PATTERNS: list[tuple[str, int]] = [
 ]
 
 
+# For each default pattern, literals of which at least one must occur in any
+# text the pattern matches (a cheap ``instr`` pre-check that skips the regex otherwise).
+FACT_GUARDS: list[tuple[str, ...]] = [
+    ("事实",), ("事实",), ("查明", "认定"), ("查明", "认定"), ("查明",),
+    ("查明",), ("事实",), ("事实",), ("指控",), ("指控",),
+]
+
+
+def _guard(t: Column, literals) -> Column:
+    cond = None
+    for lit in literals:
+        c = F.instr(t, lit) > 0
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
 def extract_facts(c, patterns: list[tuple[str, int]] | None = None) -> Column:
     """``struct<text: string, matched: int, pattern: int>`` for a text column.
 
@@ -36,11 +52,13 @@ def extract_facts(c, patterns: list[tuple[str, int]] | None = None) -> Column:
     Null input behaves like the empty string.
     """
     pats = patterns or FACT_PATTERNS
+    guards = FACT_GUARDS if patterns is None else [None] * len(pats)
     t = strip_newlines(F.coalesce(col_(c), F.lit("")))
     arms = []
-    for i, (p, g) in enumerate(pats, start=1):
+    for i, ((p, g), gd) in enumerate(zip(pats, guards), start=1):
         jp = "(?d)" + p
-        arms.append(F.when(t.rlike(jp), F.struct(F.regexp_extract(t, jp, g).alias("text"),
+        hit = t.rlike(jp) if gd is None else (_guard(t, gd) & t.rlike(jp))
+        arms.append(F.when(hit, F.struct(F.regexp_extract(t, jp, g).alias("text"),
                                                  F.lit(1).alias("matched"), F.lit(i).alias("pattern"))))
     miss = F.struct(t.alias("text"), F.lit(0).alias("matched"), F.lit(0).alias("pattern"))
     return F.coalesce(*arms, miss)

@@ -42,7 +42,15 @@ def hash_vector(text, dims: int = DEFAULT_DIMS, normalize: bool = True) -> Colum
 
 
 def hash_encode(df: DataFrame, text_col: str, key: str = "doc_id", dims: int = DEFAULT_DIMS) -> DataFrame:
-    return df.select(key, hash_vector(text_col, dims).alias("vector"))
+    """Table form of :func:`hash_vector`: tokens are exploded and counted per bucket by one
+    code-generated aggregate keyed by ``key``. A record's tokens come from one row, hence
+    one partition, so the partial aggregate is already final and the shuffle carries one
+    row per record. Records without tokens get the zero vector."""
+    ex = df.select(F.col(key), F.explode_outer(tokenize(text_col)).alias("_t"))
+    ex = ex.select(key, F.when(F.col("_t").isNotNull(), token_bucket(F.col("_t"), dims)).alias("_b"))
+    agg = ex.groupBy(key).agg(*[F.count_if(F.col("_b") == i).alias(f"_c{i}") for i in range(dims)])
+    counts = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dims)])
+    return agg.select(key, l2_normalize(counts).alias("vector"))
 
 
 def model_encoder(make_predict_fn, dims: int, batch_size: int = 200):

@@ -306,13 +306,13 @@ def prep_stats(spark, sf_dir):
 
 @register
 def line_range(spark, sf_dir):
-    docs = tb.documents(spark, sf_dir).select("doc_id")
+    docs = tb.read_table(spark, sf_dir, "documents").select("doc_id")
     return sio.line_range(docs, P.LINE_START, 0).select(F.col("line_no"), "doc_id")
 
 
 @register
 def line_lookup(spark, sf_dir):
-    docs = tb.documents(spark, sf_dir).select("doc_id", "text")
+    docs = tb.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sio.line_lookup(docs, P.LINE_LOOKUP).select("line_no", "doc_id", "text")
 
 
