@@ -3,7 +3,7 @@
 from ..operators.search import B, K1  # noqa: F401
 
 Q_OR = "lyon chen atst of"            # keyword (OR) query
-Q_AND = "the of chen"                 # all-terms query
+Q_AND = "the of lyon"                 # all-terms query
 Q_PHRASE = '"of the"'                 # quoted -> phrase query
 Q_TITLE = '"民事裁定"'                 # phrase over titles
 Q_MULTI = "chen lyon 判决"             # combined fields: title + content

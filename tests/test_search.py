@@ -80,3 +80,14 @@ def test_similar_cases_self_hit(spark, prepared):
     q = prepared.filter(F.col("doc_id").isin(3, 11))
     top = se.similar_cases(prepared, q, k=3).collect()
     assert {(3, 3), (11, 11)} <= {(r.qid, r.doc_id) for r in top}
+
+
+def test_persisted_index_matches_scan_search(spark, prepared, scratch):
+    from tessera.operators.index import build_index, indexed_keyword_search
+
+    raw = tb.cases(spark, SF01)
+    build_index(raw, "content", scratch + "/idx")
+    for mode in ("or", "and"):
+        a = [(r.doc_id, r.score) for r in se.top_k(indexed_keyword_search(spark, scratch + "/idx", "lyon of the", mode), 30).collect()]
+        b = [(r.doc_id, r.score) for r in se.top_k(se.keyword_search(raw, "lyon of the", "content", mode), 30).collect()]
+        assert a == b and len(a) > 0
