@@ -239,21 +239,32 @@ def weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b:
                       restrict_terms: DataFrame | None = None, max_df_ratio: float = 1.0) -> DataFrame:
     """``(term, doc_id, w)`` with w = idf(term) x tf-norm; exact corpus statistics.
 
-    ``restrict_terms`` (a DataFrame with column ``term``) prunes the postings to terms some
-    query uses *before* the per-(doc, term) aggregation, so the shuffle carries only
-    useful postings. ``max_df_ratio`` < 1 drops very common terms (changes scores; off by
-    default).
+    One pass over the corpus: every document emits its postings for the terms some query
+    uses (``restrict_terms``, pruned before the per-(term, doc) aggregation so the shuffle
+    carries only useful postings) plus one length row under the empty term, which the
+    analyzer never produces. That table is written to the reliable checkpoint directory,
+    and N, mean length and df are small aggregates over it, so the corpus (and any
+    preparation feeding it) is read and analysed once. ``max_df_ratio`` < 1 drops very
+    common terms (changes scores; off by default).
     """
+    from ..session import ensure_checkpoint_dir
+
     tok = pin(docs, field_tokens, "_tok", "doc_id").withColumn("_dl", F.size("_tok"))
-    stats = tok.agg(F.count_if(F.col("_dl") > 0).alias("n_docs"),
-                    (F.sum("_dl") / F.count_if(F.col("_dl") > 0)).alias("avgdl"))
-    ex = tok.select("doc_id", "_dl", F.explode("_tok").alias("term"))
+    ex = tok.select("doc_id", "_dl", F.explode(F.concat(F.array(F.lit("")), "_tok")).alias("term"))
     if restrict_terms is not None:
-        ex = ex.join(restrict_terms.select("term").distinct(), "term", "left_semi")
-    tf = ex.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("_dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        keep = restrict_terms.select("term").distinct().unionByName(ex.sparkSession.range(1).select(F.lit("").alias("term")))
+        ex = ex.join(keep, "term", "left_semi")
+    tf = ex.groupBy("term", "doc_id").agg((F.count(F.lit(1)) - F.when(F.col("term") == "", 1).otherwise(0)).alias("tf"),
+                                          F.first("_dl").alias("dl"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    tf = tf.checkpoint(eager=True)
+    lengths = tf.filter(F.col("term") == "")
+    stats = lengths.agg(F.count_if(F.col("dl") > 0).alias("n_docs"),
+                        (F.sum("dl") / F.count_if(F.col("dl") > 0)).alias("avgdl"))
+    post = tf.filter(F.col("term") != "")
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # stats is a single row: the cross join is a broadcast of one row
-    w = (tf.join(df, "term").crossJoin(F.broadcast(stats))
+    w = (post.join(df, "term").crossJoin(F.broadcast(stats))
          .withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
          .withColumn("w", F.col("idf") * (F.col("tf") * (k1 + 1.0)) /
                      (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))))

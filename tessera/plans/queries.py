@@ -439,12 +439,13 @@ from ..operators import explain as xp  # noqa: E402
 
 def explain_input(spark, sf_dir):
     """Pairs to explain: every benchmark passage with its best similar case (whole query
-    table, whole texts): ``(pair_id, query_text, cand_text)``."""
+    table, whole texts): ``(pair_id, query_text, cand_text)``. The candidate's facts are
+    prepared after the top-1 cut, on the chosen rows only."""
     bench = tb.read_table(spark, sf_dir, "benchmark")
     q = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
-    p = prepared(spark, sf_dir)
-    top = se.batch_keyword_search(p, q, "qid", "qtext", "basics_text", 1)
-    cand = top.join(p.select("doc_id", "basics_text"), "doc_id").select(F.col("qid").alias("pair_id"), F.col("basics_text").alias("cand_text"))
+    top = se.batch_keyword_search(prepared(spark, sf_dir), q, "qid", "qtext", "basics_text", 1)
+    chosen = pr.prepare_cases(tb.cases(spark, sf_dir).join(top.select("doc_id", "qid"), "doc_id"))
+    cand = chosen.select(F.col("qid").alias("pair_id"), F.col("basics_text").alias("cand_text"))
     return bench.select(F.col("item_id").alias("pair_id"), F.col("text").alias("query_text")).join(cand, "pair_id")
 
 
