@@ -293,7 +293,7 @@ st AS (SELECT count(*) AS n FROM t),
 d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term),
 sw AS (SELECT list(term) AS stop FROM d CROSS JOIN st WHERE df > n * {P.STOP_DF_RATIO})
 SELECT doc_id, len(list_filter(t, lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT list_contains(coalesce(stop, []), x)))::INTEGER AS n_kept FROM t CROSS JOIN sw"""
-    S["sentence_split"] = f"""SELECT doc_id, generate_subscripts({_sentences('text')}, 1) - 1 AS sent_idx, unnest({_sentences('text')}) AS sentence FROM documents"""
+    S["sentence_split"] = f"""SELECT doc_id, (generate_subscripts({_sentences('text')}, 1) - 1)::INTEGER AS sent_idx, unnest({_sentences('text')}) AS sentence FROM documents"""
     S["bag_of_words"] = f"""WITH s AS (SELECT doc_id, generate_subscripts({_sentences('text')}, 1) - 1 AS sent_idx, unnest({_sentences('text')}) AS sentence FROM documents),
 w AS (SELECT doc_id, sent_idx, unnest({tok('sentence')}) AS term FROM s)
 SELECT doc_id, sent_idx::INTEGER AS sent_idx, term, count(*)::BIGINT AS tf FROM w GROUP BY ALL"""
