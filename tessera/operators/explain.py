@@ -92,30 +92,28 @@ def textrank(sents: DataFrame, iterations: int = ITERATIONS, damping: float = DA
              checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(tid, sent_idx, weight)``: ``ws <- (1-d) + d * sum_j p_ji ws_j`` from ``ws = 1``.
 
-    Isolated sentences end at ``1 - d``. Every ``checkpoint_every`` iterations the rank
-    table is checkpointed to the session's reliable checkpoint directory, so lineage stays
-    short and a lost executor recomputes at most a few iterations.
+    Only sentences with edges take part in the iterations (edges are symmetric, so they
+    both send and receive); an isolated sentence ends at ``1 - d`` and is filled in once
+    at the end. Edges are hash-partitioned by ``(tid, src)`` once; the ranks produced by
+    each iteration's aggregate are partitioned by ``(tid, dst)``, which renamed to ``src``
+    is the edges' partitioning, so an iteration shuffles only for its aggregate. Every
+    ``checkpoint_every`` iterations the ranks go to the reliable checkpoint directory.
     """
     spark = sents.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Edges are hash-partitioned by (tid, src) and the node list by (tid, sent_idx), once.
-    # Ranks come out of the node join partitioned like the nodes, which (renamed to src) is
-    # also the edges' partitioning, so each iteration shuffles only for its aggregation.
     edges = sentence_edges(sents).repartition(n_parts, "tid", "src").persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = sents.select("tid", "sent_idx").repartition(n_parts, "tid", "sent_idx").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks = nodes.withColumn("ws", F.lit(1.0))
+    ranks = edges.select("tid", F.col("src").alias("sent_idx")).distinct().withColumn("ws", F.lit(1.0))
     ensure_checkpoint_dir(spark)
     for it in range(1, iterations + 1):
-        contrib = (edges.join(ranks.withColumnRenamed("sent_idx", "src"), ["tid", "src"])
-                   .groupBy("tid", F.col("dst").alias("sent_idx"))
-                   .agg(F.sum(F.col("p") * F.col("ws")).alias("s")))
-        ranks = (nodes.join(contrib, ["tid", "sent_idx"], "left")
-                 .select("tid", "sent_idx", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce(F.col("s"), F.lit(0.0))).alias("ws")))
+        ranks = (edges.join(ranks.withColumnRenamed("sent_idx", "src"), ["tid", "src"])
+                 .groupBy("tid", F.col("dst").alias("sent_idx"))
+                 .agg((F.lit(1.0 - damping) + F.lit(damping) * F.sum(F.col("p") * F.col("ws"))).alias("ws")))
         if (checkpoint_every and it % checkpoint_every == 0) or it == iterations:
             ranks = ranks.checkpoint(eager=True)
     edges.unpersist()
-    nodes.unpersist()
-    return ranks.select("tid", "sent_idx", F.round("ws", WEIGHT_DIGITS).alias("weight"))
+    isolated = F.lit(1.0 - damping) if iterations > 0 else F.lit(1.0)
+    out = sents.select("tid", "sent_idx").join(ranks, ["tid", "sent_idx"], "left")
+    return out.select("tid", "sent_idx", F.round(F.coalesce(F.col("ws"), isolated), WEIGHT_DIGITS).alias("weight"))
 
 
 def n_key(n: Column, sentence_number: int = SENTENCE_NUMBER) -> Column:

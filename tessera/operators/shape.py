@@ -5,12 +5,12 @@ Highlighting runs only on the rows of a returned page (bounded by the page size)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.labels import FIELD_LABELS
-from ..functions.text import highlight_runs, preview, split_sentences, tokenize, url_quote
+from ..functions.text import highlight_runs, let, preview, split_sentences, tokenize, url_quote
 from .search import pseudo_facts
 
 PAGE_SIZE = 20
@@ -32,8 +32,7 @@ def best_fragment(text, terms: list[str]) -> Column:
 def highlight(text, terms: list[str], pre: str = "<strong>", post: str = "</strong>") -> Column:
     """One best fragment with matched tokens wrapped in tags; null when nothing matches."""
     qarr = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
-    frag = best_fragment(text, terms)
-    return F.when(frag.isNotNull(), highlight_runs(frag, qarr, pre, post))
+    return let(best_fragment(text, terms), lambda frag: F.when(frag.isNotNull(), highlight_runs(frag, qarr, pre, post)))
 
 
 def search_page(scored: DataFrame, from_: int = 0, size: int = PAGE_SIZE) -> DataFrame:
@@ -96,7 +95,3 @@ def export_text(df: DataFrame) -> DataFrame:
     name = F.concat(F.coalesce(F.col("case_id"), F.lit("")), F.lit(".txt"))
     return df.select("doc_id", url_quote(name).alias("file_name"),
                      F.concat_ws("\n", F.coalesce("case_name", F.lit("")), F.coalesce("content", F.lit(""))).alias("body"))
-
-
-def rank_window(partition: str, *order: Column):
-    return Window.partitionBy(partition).orderBy(*order)

@@ -136,9 +136,6 @@ def _sentences(expr: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array(coalesce({expr}, ''), {_q(SENTENCE_DELIMITERS)}), lambda s: trim(s)), lambda s: s <> '')"
 
 
-FACET_SEL = "(SELECT doc_id, score, court_name, court_province, trial_round, case_type, legal_base FROM {src})"
-
-
 def _facets_from(src: str) -> str:
     fields = [("court_name", False), ("court_province", False), ("trial_round", False), ("case_type", False), ("legal_base", True)]
     pos = {f: i for i, f in enumerate(["court_name", "court_province", "court_city", "court_region", "court_district",
