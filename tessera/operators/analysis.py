@@ -46,35 +46,44 @@ def read_postings_for(spark, path: str, terms: list[str], buckets: int = 64) ->
 def term_stats(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """Per-term document frequency with the corpus size and mean length on every row."""
     t = df.select(F.col(key).alias("doc_id"), tokenize(text_col).alias("_t")).withColumn("dl", F.size("_t"))
-    st = t.agg(F.count_if(F.col("dl") > 0).alias("n_docs"),
-               (F.sum("dl") / F.count_if(F.col("dl") > 0)).alias("avgdl"))
+    st = t.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tot")).first()
+    n_docs = int(st["n"])
+    avgdl = int(st["tot"]) / n_docs if n_docs else 0.0
     dfs = (t.select("doc_id", F.explode(F.array_distinct("_t")).alias("term"))
            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return dfs.crossJoin(F.broadcast(st)).select("term", F.col("df").cast("bigint"), F.col("n_docs").cast("bigint"),
-                                                 F.round("avgdl", 6).alias("avgdl"))
+    return dfs.select("term", F.col("df").cast("bigint"), F.lit(n_docs).cast("bigint").alias("n_docs"),
+                      F.round(F.lit(avgdl), 6).alias("avgdl"))
 
 
 def corpus_stop_words(df: DataFrame, text_col: str = "text", key: str = "doc_id", max_df_ratio: float = 0.5) -> DataFrame:
-    """Stop words derived from the data: terms in more than ``max_df_ratio`` of documents."""
+    """Stop words derived from the data: terms in more than ``max_df_ratio`` of documents.
+
+    The result is small by construction: the df of all terms sums to N x (mean distinct
+    terms per document), so fewer than ``mean distinct terms / max_df_ratio`` terms pass.
+    """
     t = df.select(F.col(key).alias("doc_id"), tokenize(text_col).alias("_t"))
-    n = t.agg(F.count(F.lit(1)).alias("n"))
+    n = t.count()
     dfs = t.select("doc_id", F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return dfs.crossJoin(F.broadcast(n)).filter(F.col("df") > F.col("n") * max_df_ratio).select("term")
+    return dfs.filter(F.col("df") > F.lit(n * max_df_ratio)).select("term")
+
+
+MAX_STOP_WORDS = 100_000
 
 
 def remove_stop_words(df: DataFrame, tokens_col: str, stop: DataFrame | list | None, key: str = "doc_id") -> DataFrame:
-    """Drop stop words from a token array column.
+    """Drop stop words (plus the digit-only rule) from a token array column.
 
-    ``stop`` may be a Python list (inlined), or a DataFrame of terms. A DataFrame is
-    attached as one array column through a one-row aggregate (its size is bounded by the
-    vocabulary) when small, i.e. the ``left_anti`` join collapses to an in-row filter.
+    ``stop`` may be a Python list or a DataFrame of terms. A stop list is a small
+    vocabulary; a DataFrame is read with a checked size (at most ``MAX_STOP_WORDS``) and
+    inlined, so the filter runs inside each row with no join.
     """
-    if stop is None or isinstance(stop, list):
-        arr = F.array(*[F.lit(w) for w in (stop or [])]).cast("array<string>")
-        return df.withColumn(tokens_col, F.filter(tokens_col, lambda x: keep_token(x, arr)))
-    stop_arr = stop.agg(F.coalesce(F.collect_set("term"), F.array().cast("array<string>")).alias("_stop"))
-    out = df.crossJoin(F.broadcast(stop_arr))
-    return out.withColumn(tokens_col, F.filter(tokens_col, lambda x: keep_token(x, F.col("_stop")))).drop("_stop")
+    if isinstance(stop, DataFrame):
+        words = [r[0] for r in stop.select("term").distinct().limit(MAX_STOP_WORDS + 1).collect()]
+        if len(words) > MAX_STOP_WORDS:
+            raise ValueError(f"stop-word list larger than {MAX_STOP_WORDS}")
+        stop = sorted(words)
+    arr = F.array(*[F.lit(w) for w in (stop or [])]).cast("array<string>")
+    return df.withColumn(tokens_col, F.filter(tokens_col, lambda x: keep_token(x, arr)))
 
 
 def sentences(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:

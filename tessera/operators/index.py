@@ -43,13 +43,14 @@ def indexed_keyword_search(spark: SparkSession, path: str, query: str, mode: str
         return spark.createDataFrame([], "doc_id bigint, score double")
     qt = spark.createDataFrame([(t, n) for t, n in qtf.items()], "term string, qtf int")
     p = read_postings_for(spark, f"{path}/postings", uniq, buckets).select("term", "doc_id", "tf", "dl")
-    stats = spark.read.parquet(f"{path}/stats").select(
-        "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avgdl"))
+    st = spark.read.parquet(f"{path}/stats").first()
+    n_docs = float(st["n_docs"])
+    avgdl = st["total_len"] / st["n_docs"] if st["n_docs"] else 0.0
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # the query-term table and the stats row are bounded by the query length / one row
-    w = (p.join(F.broadcast(df), "term").join(F.broadcast(qt), "term").crossJoin(F.broadcast(stats))
-         .withColumn("s", F.col("qtf") * F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                     * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))))
+    # the df and query-term tables hold one row per query term: broadcast is bounded
+    w = (p.join(F.broadcast(df), "term").join(F.broadcast(qt), "term")
+         .withColumn("s", F.col("qtf") * F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+                     * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(avgdl)))))
     g = w.groupBy("doc_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if mode == "and":
         g = g.filter(F.col("n_terms") == len(uniq))

@@ -259,17 +259,16 @@ def weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b:
     ensure_checkpoint_dir(docs.sparkSession)
     tf = tf.checkpoint(eager=True)
     lengths = tf.filter(F.col("term") == "")
-    stats = lengths.agg(F.count_if(F.col("dl") > 0).alias("n_docs"),
-                        (F.sum("dl") / F.count_if(F.col("dl") > 0)).alias("avgdl"))
+    st = lengths.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tot")).first()
+    n_docs, avgdl = int(st["n"]), (int(st["tot"]) / int(st["n"]) if st["n"] else 0.0)
     post = tf.filter(F.col("term") != "")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # stats is a single row: the cross join is a broadcast of one row
-    w = (post.join(df, "term").crossJoin(F.broadcast(stats))
-         .withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    w = (post.join(df, "term")
+         .withColumn("idf", F.log(1.0 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
          .withColumn("w", F.col("idf") * (F.col("tf") * (k1 + 1.0)) /
-                     (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))))
+                     (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(avgdl)))))
     if max_df_ratio < 1.0:
-        w = w.filter(F.col("df") <= F.col("n_docs") * max_df_ratio)
+        w = w.filter(F.col("df") <= F.lit(n_docs * max_df_ratio))
     return w.select("term", "doc_id", "w")
 
 

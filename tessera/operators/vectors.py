@@ -6,10 +6,10 @@
   model is loaded once per Python worker).
 * ``knn_search``: exact dot-product top-k for one query vector (map-only scan +
   TakeOrderedAndProject).
-* ``knn_join``: exact top-k for a table of query vectors. The query side is broadcast
-  only when its measured size is under a bound; otherwise a partitioned nested loop. In
-  both cases a per-query ``row_number() <= k`` is planned as WindowGroupLimit, which keeps
-  at most k rows per query per partition *before* the shuffle.
+* ``knn_join``: exact top-k for a table of query vectors: query blocks of bounded size
+  are broadcast and scored against corpus batches by one matrix product each
+  (``mapInPandas``), keeping per-query candidates only; a per-query ``row_number() <= k``
+  (WindowGroupLimit, partial before the shuffle) makes the final cut.
 * ``knn_lsh``: approximate alternative with BucketedRandomProjectionLSH.
 """
 
@@ -86,21 +86,68 @@ def knn_search(corpus: DataFrame, qvec: list[float], k: int = 1000, keep: tuple
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(k).select("doc_id", "score", *keep)
 
 
-def _estimated_bytes(df: DataFrame, vector_col: str) -> int:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_col)).alias("d")).first()
-    return int(row["n"] or 0) * (int(row["d"] or 0) * 8 + 64)
+def _block_count(queries: DataFrame, qvec: str, block_bytes: int) -> int:
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
+    n, d = int(row["n"] or 0), int(row["d"] or 0)
+    per_block = max(1, block_bytes // (d * 8 + 64))
+    return max(1, -(-n // per_block))
+
+
+def _topk_fn(bq, k: int, margin: float):
+    """Per corpus batch: scores of every (query, row) pair with one matrix product, then
+    per query the k best rows plus every row within ``margin`` of the k-th score (so the
+    exact cut on rounded scores can still be made after the shuffle)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        qids, qmat = bq.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(qids) == 0:
+                continue
+            docs = pdf["doc_id"].to_numpy()
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_v"].to_numpy()])
+            scores = qmat @ mat.T
+            kk = min(k, scores.shape[1])
+            kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+            qi, di = np.nonzero(scores >= (kth - margin)[:, None])
+            yield pd.DataFrame({"qid": qids[qi], "doc_id": docs[di], "raw": scores[qi, di]})
+    return run
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", qvec: str = "qvec",
-             vector_col: str = "vector", broadcast_limit: int = BROADCAST_QUERY_BYTES) -> DataFrame:
-    """Exact k nearest corpus rows (dot product) for every query -> (qid, doc_id, score, rank)."""
+             vector_col: str = "vector", block_bytes: int = BROADCAST_QUERY_BYTES, margin: float = 1e-6) -> DataFrame:
+    """Exact k nearest corpus rows (dot product) for every query -> (qid, doc_id, score, rank).
+
+    Queries are cut into blocks of at most ``block_bytes`` (measured from the data); each
+    block is broadcast once and every corpus batch is scored against it with a single
+    matrix product in ``mapInPandas``, keeping only per-query candidates for the top k.
+    No query x corpus pair is ever materialised as a row; a final ``row_number <= k``
+    (partial limit before its shuffle) makes the cut on scores rounded to 6 digits, ties
+    by ``doc_id``.
+    """
+    import numpy as np
+
+    spark = corpus.sparkSession
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("_qv"))
-    c = corpus.filter(F.col(vector_col).isNotNull()).select("doc_id", F.col(vector_col).alias("_v"))
-    if _estimated_bytes(q, "_qv") <= broadcast_limit:
-        q = F.broadcast(q)
-    pairs = c.crossJoin(q).select("qid", "doc_id", F.round(dot("_v", "_qv"), 6).alias("score"))
+    c = corpus.filter(F.col(vector_col).isNotNull()).select(F.col("doc_id").cast("bigint"), F.col(vector_col).alias("_v"))
+    n_blocks = _block_count(q, "_qv", block_bytes)
+    qid_type = q.schema["qid"].dataType.simpleString()
+    out_schema = f"qid {qid_type}, doc_id bigint, raw double"
+    parts = []
+    for blk in range(n_blocks):
+        sel = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
+        rows = sel.collect()  # one block: bounded by ``block_bytes``
+        ids = np.array([r["qid"] for r in rows])
+        mat = np.array([list(r["_qv"]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+        bq = spark.sparkContext.broadcast((ids, mat))
+        parts.append(c.mapInPandas(_topk_fn(bq, k, margin), out_schema))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    cand = cand.select("qid", "doc_id", F.round("raw", 6).alias("score"))
     win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    return pairs.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k) \
+    return cand.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k) \
         .select("qid", "doc_id", "score", F.col("rank").cast("int"))
 
 

@@ -27,9 +27,11 @@ def test_knn_join_one_query_equals_knn_search(spark):
     a = [(r.doc_id, r.score) for r in vx.knn_join(q, corpus, 10).orderBy("rank").collect()]
     b = [(r.doc_id, r.score) for r in vx.knn_search(corpus, qv, 10).collect()]
     assert a == b
-    # forcing the non-broadcast path gives the same answer
-    c = [(r.doc_id, r.score) for r in vx.knn_join(q, corpus, 10, broadcast_limit=0).orderBy("rank").collect()]
-    assert c == b
+    # several query blocks give the same answer as one
+    qs = vx.hash_encode(tb.documents(spark, SF01).limit(30), "text").select(F.col("doc_id").alias("qid"), F.col("vector").alias("qvec"))
+    one = sorted(map(tuple, vx.knn_join(qs, corpus, 5).collect()))
+    many = sorted(map(tuple, vx.knn_join(qs, corpus, 5, block_bytes=2000).collect()))
+    assert one == many and len(one) == 150
 
 
 def test_knn_lsh_recall(spark):
