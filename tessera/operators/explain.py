@@ -4,9 +4,9 @@ Batch form over a pair table ``(pair_id, query_text, cand_text)``:
 
 1. sentences of both sides (``sent_idx`` 0-based) and their words (tokens minus stop
    words);
-2. TextRank weight per sentence (distributed: sentence-word self-join for edges, then a
-   fixed number of power iterations as joins keyed by ``(tid, sent_idx)``, with a
-   reliable checkpoint every few iterations to cut lineage);
+2. TextRank weight per sentence: one shuffle groups each text's sentences, then the
+   power iterations run per text in numpy on a pair-free factorisation of the
+   word-overlap similarity (by word and sentence-length class);
 3. key sentences per side: ``n_key = max(min(n // 3, 10), 1)``, best weights first,
    sentences shorter than 10 characters skipped;
 4. cosine of key-sentence pairs on raw word counts (sparse: join on ``(pair_id, term)``;
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ from ..session import ensure_checkpoint_dir
 
 DAMPING = 0.85
 ITERATIONS = 20
-CHECKPOINT_EVERY = 5
 WEIGHT_DIGITS = 9
 SENTENCE_NUMBER = 10
 SENTENCE_MIN_LEN = 10
@@ -67,53 +65,75 @@ def sentence_table(texts: DataFrame, stop_words=None) -> DataFrame:
             .withColumn("slen", F.length("sentence")))
 
 
-def sentence_edges(sents: DataFrame) -> DataFrame:
-    """Directed TextRank edges ``(tid, src, dst, p)``: similarity = shared distinct words /
-    (ln |a| + ln |b|), normalised over each source's outgoing weight."""
-    w = sents.select("tid", "sent_idx", F.explode(F.array_distinct("words")).alias("word"))
-    a, b = w.alias("a"), w.alias("b")
-    shared = (a.join(b, (F.col("a.tid") == F.col("b.tid")) & (F.col("a.word") == F.col("b.word"))
-                     & (F.col("a.sent_idx") < F.col("b.sent_idx")))
-              .groupBy(F.col("a.tid").alias("tid"), F.col("a.sent_idx").alias("i"), F.col("b.sent_idx").alias("j"))
-              .agg(F.count(F.lit(1)).alias("shared")))
-    n = sents.select("tid", F.col("sent_idx"), "n_words")
-    e = (shared.join(n.withColumnRenamed("sent_idx", "i").withColumnRenamed("n_words", "ni"), ["tid", "i"])
-         .join(n.withColumnRenamed("sent_idx", "j").withColumnRenamed("n_words", "nj"), ["tid", "j"])
-         .withColumn("den", F.log(F.col("ni").cast("double")) + F.log(F.col("nj").cast("double")))
-         .filter(F.abs("den") >= 1e-12)
-         .withColumn("w", F.col("shared") / F.col("den")))
-    both = (e.select("tid", F.col("i").alias("src"), F.col("j").alias("dst"), "w")
-            .unionByName(e.select("tid", F.col("j").alias("src"), F.col("i").alias("dst"), "w")))
-    out = Window.partitionBy("tid", "src")
-    return both.withColumn("p", F.col("w") / F.sum("w").over(out)).select("tid", "src", "dst", "p")
-
-
-def textrank(sents: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING,
-             checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
-    """``(tid, sent_idx, weight)``: ``ws <- (1-d) + d * sum_j p_ji ws_j`` from ``ws = 1``.
-
-    Only sentences with edges take part in the iterations (edges are symmetric, so they
-    both send and receive); an isolated sentence ends at ``1 - d`` and is filled in once
-    at the end. Edges are hash-partitioned by ``(tid, src)`` once; the ranks produced by
-    each iteration's aggregate are partitioned by ``(tid, dst)``, which renamed to ``src``
-    is the edges' partitioning, so an iteration shuffles only for its aggregate. Every
-    ``checkpoint_every`` iterations the ranks go to the reliable checkpoint directory.
+def _textrank_group(iterations: int, damping: float):
+    """Per-text power iteration (numpy), pair-free.
+
+    With ``B`` the sentence x word incidence (distinct words) and ``c(i)`` the class of
+    sentence i's word count, ``sum_j w_ij y_j`` = ``sum_{w in i} sum_k S[w, k] / (ln n_i +
+    ln m_k)`` minus i's own term, where ``S[w, k]`` sums ``y`` over sentences holding w in
+    length class k. Each iteration is one scatter-add over the incidence pairs and one
+    gather of ``nnz x classes`` values: linear in the text, never sentence x sentence.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tid = pdf["tid"].iloc[0]
+        idx = pdf["sent_idx"].to_numpy()
+        n = len(pdf)
+        m = pdf["n_words"].to_numpy().astype(np.int64)
+        rows, words = [], []
+        for r, ws in enumerate(pdf["words"]):
+            if ws is not None and len(ws):
+                u = pd.unique(np.asarray(ws, dtype=object))
+                rows.append(np.full(len(u), r))
+                words.append(u)
+        ws_out = np.full(n, 1.0 if iterations == 0 else 1.0 - damping)
+        if rows:
+            row = np.concatenate(rows)
+            wid, _ = pd.factorize(np.concatenate(words))
+            lengths, cls = np.unique(m, return_inverse=True)
+            with np.errstate(divide="ignore"):  # empty sentences: class never gathered
+                ln = np.log(lengths.astype(np.float64))
+            den = ln[:, None] + ln[None, :]
+            inv = np.where(np.abs(den) >= 1e-12, 1.0 / np.where(den == 0, 1.0, den), 0.0)
+            n_words, n_cls = int(wid.max()) + 1, len(lengths)
+            rc = cls[row]
+
+            def neighbour_sum(y):
+                S = np.zeros((n_words, n_cls))
+                np.add.at(S, (wid, rc), y[row])
+                # remove the sentence itself from its own class before weighting
+                own = S[wid, :].copy()
+                own[np.arange(len(row)), rc] -= y[row]
+                x = (own * inv[rc, :]).sum(axis=1)
+                return np.bincount(row, weights=x, minlength=n)
+
+            out = neighbour_sum(np.ones(n))
+            live = out > 0
+            ws = np.where(live, 1.0, 0.0)
+            for _ in range(iterations):
+                y = np.where(live, ws / np.where(live, out, 1.0), 0.0)
+                ws = (1.0 - damping) + damping * neighbour_sum(y)
+            if iterations > 0:
+                ws_out = np.where(live, ws, 1.0 - damping)
+        return pd.DataFrame({"tid": np.full(n, tid), "sent_idx": idx, "weight": np.round(ws_out, WEIGHT_DIGITS)})
+
+    return run
+
+
+def textrank(sents: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+    """``(tid, sent_idx, weight)``: ``ws <- (1-d) + d * sum_j (w_ji / out_j) ws_j`` from
+    ``ws = 1``, ``w_ij`` = shared distinct words / (ln |i| + ln |j|) (no edge when the
+    denominator is zero); isolated sentences end at ``1 - d``.
+
+    One shuffle groups each text's sentences (a group is one document, which arrived as
+    one row); the iterations then run inside that task with the pair-free factorisation
+    above, so there is no per-iteration job and no sentence x sentence table.
     """
-    spark = sents.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = sentence_edges(sents).repartition(n_parts, "tid", "src").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks = edges.select("tid", F.col("src").alias("sent_idx")).distinct().withColumn("ws", F.lit(1.0))
-    ensure_checkpoint_dir(spark)
-    for it in range(1, iterations + 1):
-        ranks = (edges.join(ranks.withColumnRenamed("sent_idx", "src"), ["tid", "src"])
-                 .groupBy("tid", F.col("dst").alias("sent_idx"))
-                 .agg((F.lit(1.0 - damping) + F.lit(damping) * F.sum(F.col("p") * F.col("ws"))).alias("ws")))
-        if (checkpoint_every and it % checkpoint_every == 0) or it == iterations:
-            ranks = ranks.checkpoint(eager=True)
-    edges.unpersist()
-    isolated = F.lit(1.0 - damping) if iterations > 0 else F.lit(1.0)
-    out = sents.select("tid", "sent_idx").join(ranks, ["tid", "sent_idx"], "left")
-    return out.select("tid", "sent_idx", F.round(F.coalesce(F.col("ws"), isolated), WEIGHT_DIGITS).alias("weight"))
+    cols = sents.select("tid", "sent_idx", "words", "n_words")
+    return cols.groupBy("tid").applyInPandas(_textrank_group(iterations, damping),
+                                            "tid long, sent_idx int, weight double")
 
 
 def n_key(n: Column, sentence_number: int = SENTENCE_NUMBER) -> Column:
@@ -304,7 +324,7 @@ def explain_pairs(pairs: DataFrame, stop_words=None, sentence_number: int = SENT
     pairs = pairs.select("pair_id", "query_text", "cand_text").checkpoint(eager=True)
     texts = pair_texts(pairs)
     sents = sentence_table(texts, stop_words).checkpoint(eager=True)
-    weights = textrank(sents, iterations)
+    weights = textrank(sents, iterations).checkpoint(eager=True)
     # key sentences (at most ``sentence_number`` per text) feed four branches
     keys = key_sentences(sents, weights, sentence_number, sentence_min_len).checkpoint(eager=True)
     targets = text_targets(sents, sentence_number)
