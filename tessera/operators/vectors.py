@@ -6,10 +6,11 @@
   model is loaded once per Python worker).
 * ``knn_search``: exact dot-product top-k for one query vector (map-only scan +
   TakeOrderedAndProject).
-* ``knn_join``: exact top-k for a table of query vectors: query blocks of bounded size
-  are broadcast and scored against corpus batches by one matrix product each
-  (``mapInPandas``), keeping per-query candidates only; a per-query ``row_number() <= k``
-  (WindowGroupLimit, partial before the shuffle) makes the final cut.
+* ``knn_join``: exact top-k for a table of query vectors: a query side of measured,
+  bounded size is broadcast and scored against corpus batches by matrix products
+  (``mapInPandas``); a larger one runs as a blocked product (hash blocks of both sides
+  co-grouped in one shuffle), keeping per-query candidates only; a per-query
+  ``row_number() <= k`` (WindowGroupLimit, partial before the shuffle) makes the cut.
 * ``knn_lsh``: approximate alternative with BucketedRandomProjectionLSH.
 """
 
@@ -86,32 +87,59 @@ def knn_search(corpus: DataFrame, qvec: list[float], k: int = 1000, keep: tuple
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(k).select("doc_id", "score", *keep)
 
 
-def _block_count(queries: DataFrame, qvec: str, block_bytes: int) -> int:
-    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
-    n, d = int(row["n"] or 0), int(row["d"] or 0)
+def _measure(df: DataFrame, vcol: str) -> tuple[int, int]:
+    """(row count, max vector width) from one aggregate."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vcol)).alias("d")).first()
+    return int(row["n"] or 0), int(row["d"] or 0)
+
+
+def _blocks(n: int, d: int, block_bytes: int) -> int:
     per_block = max(1, block_bytes // (d * 8 + 64))
     return max(1, -(-n // per_block))
 
 
-def _topk_fn(bq, k: int, margin: float):
-    """Per corpus batch: scores of every (query, row) pair with one matrix product, then
-    per query the k best rows plus every row within ``margin`` of the k-th score (so the
-    exact cut on rounded scores can still be made after the shuffle)."""
+def _candidates(qids, qmat, docs, mat, k: int, margin: float, chunk: int = 4096):
+    """Per query the k best corpus rows of ``mat`` plus every row within ``margin`` of the
+    k-th score (so the exact cut on rounded scores can still be made after the shuffle).
+    The corpus side is scored ``chunk`` rows at a time: memory stays ``|q| x chunk``."""
     import numpy as np
     import pandas as pd
 
+    for lo in range(0, len(docs), chunk):
+        scores = qmat @ mat[lo:lo + chunk].T
+        kk = min(k, scores.shape[1])
+        kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+        qi, di = np.nonzero(scores >= (kth - margin)[:, None])
+        yield pd.DataFrame({"qid": qids[qi], "doc_id": docs[lo + di], "raw": scores[qi, di]})
+
+
+def _stack(vs):
+    import numpy as np
+
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vs])
+
+
+def _broadcast_fn(bq, k: int, margin: float):
+    """Per corpus batch against the broadcast query block."""
     def run(batches):
         qids, qmat = bq.value
         for pdf in batches:
-            if len(pdf) == 0 or len(qids) == 0:
-                continue
-            docs = pdf["doc_id"].to_numpy()
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_v"].to_numpy()])
-            scores = qmat @ mat.T
-            kk = min(k, scores.shape[1])
-            kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-            qi, di = np.nonzero(scores >= (kth - margin)[:, None])
-            yield pd.DataFrame({"qid": qids[qi], "doc_id": docs[di], "raw": scores[qi, di]})
+            if len(pdf) and len(qids):
+                yield from _candidates(qids, qmat, pdf["doc_id"].to_numpy(), _stack(pdf["_v"]), k, margin)
+    return run
+
+
+def _block_fn(k: int, margin: float):
+    """One (query block, corpus block) cell of the blocked product."""
+    import pandas as pd
+
+    def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({"qid": qpdf["qid"].iloc[:0], "doc_id": pd.Series([], dtype="int64"),
+                                 "raw": pd.Series([], dtype="float64")})
+        parts = list(_candidates(qpdf["qid"].to_numpy(), _stack(qpdf["_qv"]), cpdf["doc_id"].to_numpy(),
+                                 _stack(cpdf["_v"]), k, margin))
+        return pd.concat(parts, ignore_index=True)
     return run
 
 
@@ -119,32 +147,40 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid
              vector_col: str = "vector", block_bytes: int = BROADCAST_QUERY_BYTES, margin: float = 1e-6) -> DataFrame:
     """Exact k nearest corpus rows (dot product) for every query -> (qid, doc_id, score, rank).
 
-    Queries are cut into blocks of at most ``block_bytes`` (measured from the data); each
-    block is broadcast once and every corpus batch is scored against it with a single
-    matrix product in ``mapInPandas``, keeping only per-query candidates for the top k.
-    No query x corpus pair is ever materialised as a row; a final ``row_number <= k``
-    (partial limit before its shuffle) makes the cut on scores rounded to 6 digits, ties
-    by ``doc_id``.
+    The query side is measured first (rows x width). When it fits ``block_bytes`` it is
+    broadcast once and every corpus batch is scored against it with matrix products in
+    ``mapInPandas`` (map-only over the corpus). Otherwise nothing passes through the
+    driver: queries are hashed into ``Qb`` blocks and the corpus into ``Cb`` blocks, each
+    of at most ``block_bytes``; every query block meets every corpus block in one
+    co-grouped shuffle (the blocked matrix product: the corpus is replicated ``Qb`` times,
+    the queries ``Cb`` times) and each cell emits only per-query candidates. Either way no
+    query x corpus pair becomes a row; a final ``row_number <= k`` (partial limit before
+    its shuffle) makes the cut on scores rounded to 6 digits, ties by ``doc_id``.
     """
     import numpy as np
 
     spark = corpus.sparkSession
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("_qv"))
     c = corpus.filter(F.col(vector_col).isNotNull()).select(F.col("doc_id").cast("bigint"), F.col(vector_col).alias("_v"))
-    n_blocks = _block_count(q, "_qv", block_bytes)
     qid_type = q.schema["qid"].dataType.simpleString()
     out_schema = f"qid {qid_type}, doc_id bigint, raw double"
-    parts = []
-    for blk in range(n_blocks):
-        sel = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
-        rows = sel.collect()  # one block: bounded by ``block_bytes``
+    n_q, d_q = _measure(q, "_qv")
+    q_blocks = _blocks(n_q, d_q, block_bytes)
+    if q_blocks == 1:
+        rows = q.collect()  # measured above: at most ``block_bytes``
         ids = np.array([r["qid"] for r in rows])
         mat = np.array([list(r["_qv"]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
         bq = spark.sparkContext.broadcast((ids, mat))
-        parts.append(c.mapInPandas(_topk_fn(bq, k, margin), out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        cand = c.mapInPandas(_broadcast_fn(bq, k, margin), out_schema)
+    else:
+        n_c, d_c = _measure(c, "_v")
+        c_blocks = _blocks(n_c, d_c, block_bytes)
+        qb = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb"),
+                      F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
+        cb = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
+                      F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).alias("cb"))
+        cand = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
+                .applyInPandas(_block_fn(k, margin), out_schema))
     cand = cand.select("qid", "doc_id", F.round("raw", 6).alias("score"))
     win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
     return cand.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k) \
