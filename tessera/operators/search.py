@@ -8,10 +8,11 @@ Two execution shapes:
   terms: ``2 + |terms|`` numbers) come from one global aggregate; scoring is then a
   map-only pass followed by ``TakeOrderedAndProject``. No shuffle of postings at all.
 * **A table of queries** (``similar_cases``, ``batch_keyword_search``). Query terms
-  are a DataFrame; postings are joined on ``term`` (broadcast only when AQE measures
-  the query side small, otherwise a sort-merge join with skew splitting), partial
-  scores are summed per ``(qid, doc_id)`` and cut to the top k per query with
-  ``row_number`` (planned as WindowGroupLimit, which also prunes before the shuffle).
+  are a DataFrame; candidates come from postings joined on ``term`` in two exact
+  MaxScore passes (:func:`maxscore_top_k`): rare terms first, then only the common terms
+  whose score bound can still reach the query's k-th score. Candidates are scored from
+  per-query and per-document term maps and cut to the top k with ``row_number``
+  (planned as WindowGroupLimit, which also prunes before the shuffle).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from ..functions.text import col_, strip_newlines, tokenize
 
 K1 = 1.2
 B = 0.75
+RARE_RATIO = 0.01
 # Characters that open / close a quoted (phrase) query.
 PHRASE_OPEN = "'\"“"
 PHRASE_CLOSE = "'\"”"
@@ -237,6 +239,11 @@ def query_terms_table(queries: DataFrame, qid: str, text) -> DataFrame:
 
 def weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b: float = B,
                       restrict_terms: DataFrame | None = None, max_df_ratio: float = 1.0) -> DataFrame:
+    return _weighted_postings(docs, field_tokens, k1, b, restrict_terms, max_df_ratio)[0]
+
+
+def _weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b: float = B,
+                       restrict_terms: DataFrame | None = None, max_df_ratio: float = 1.0) -> tuple[DataFrame, int]:
     """``(term, doc_id, w)`` with w = idf(term) x tf-norm; exact corpus statistics.
 
     One pass over the corpus: every document emits its postings for the terms some query
@@ -269,25 +276,98 @@ def weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b:
                      (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(avgdl)))))
     if max_df_ratio < 1.0:
         w = w.filter(F.col("df") <= F.lit(n_docs * max_df_ratio))
-    return w.select("term", "doc_id", "w")
+    return w.select("term", "doc_id", "w"), n_docs
 
 
 def batch_keyword_search(docs: DataFrame, queries: DataFrame, qid: str, query_text, field: str = "basics_text",
-                         k: int = 10, max_df_ratio: float = 1.0, keep: tuple = ()) -> DataFrame:
-    """BM25 OR-match for every row of a query table; top ``k`` documents per query.
+                         k: int = 10, max_df_ratio: float = 1.0, keep: tuple = (), rare_ratio: float = RARE_RATIO,
+                         exhaustive: bool = False) -> DataFrame:
+    """BM25 OR-match for every row of a query table; exact top ``k`` documents per query.
 
-    Output ``(qid, doc_id, score, rank)``.
+    Output ``(qid, doc_id, score, rank)``. By default runs :func:`maxscore_top_k`, which
+    never joins a query with all postings of its common terms unless its own scores
+    require it; ``exhaustive=True`` scores every (query, matching document) pair.
     """
     qt = query_terms_table(queries, qid, query_text)
-    wp = weighted_postings(docs, tokenize(field), restrict_terms=qt, max_df_ratio=max_df_ratio)
-    partial = qt.join(wp, "term").select("qid", "doc_id", (F.col("qtf") * F.col("w")).alias("s"))
-    scores = partial.groupBy("qid", "doc_id").agg(F.sum("s").alias("score"))
+    wp, n_docs = _weighted_postings(docs, tokenize(field), restrict_terms=qt, max_df_ratio=max_df_ratio)
+    if exhaustive:
+        partial = qt.join(wp, "term").select("qid", "doc_id", (F.col("qtf") * F.col("w")).alias("s"))
+        return _rank(partial.groupBy("qid", "doc_id").agg(F.sum("s").alias("score")), k)
+    return maxscore_top_k(qt, wp, n_docs, k, rare_ratio)
+
+
+def _rank(scores: DataFrame, k: int) -> DataFrame:
     scores = scores.withColumn("score", F.round("score", 6))
     win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
     return (scores.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
             .select(F.col("qid"), "doc_id", "score", F.col("rank").cast("int")))
 
 
+def _partial(terms: DataFrame, wp: DataFrame) -> DataFrame:
+    """``(qid, doc_id, s)``: qtf x w for the given ``(qid, term, qtf)`` rows' postings."""
+    return terms.select("qid", "term", "qtf").join(wp, "term").select("qid", "doc_id", (F.col("qtf") * F.col("w")).alias("s"))
+
+
+def _kth(scores: DataFrame, k: int, name: str) -> DataFrame:
+    win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+    return scores.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") == k).select("qid", F.col("score").alias(name))
+
+
+def maxscore_top_k(qt: DataFrame, wp: DataFrame, n_docs: int, k: int, rare_ratio: float = RARE_RATIO,
+                   margin: float = 1e-6) -> DataFrame:
+    """Exact top-k per query by MaxScore over ``qt (qid, term, qtf)`` and
+    ``wp (term, doc_id, w)``; all weights are positive, ``ub(term) = qtf x max w``.
+
+    1. Each query's *rare* terms (df <= ``rare_ratio`` x N, plus its rarest term) are
+       joined with their postings; the k-th best of these partial sums, theta, is a lower
+       bound of the query's true k-th score (0 with fewer than k documents).
+    2. The other terms, ordered by ub, split into a non-essential prefix (cumulative ub
+       < theta - ``margin``) and the essential rest. A document holding only
+       non-essential terms scores below theta and cannot enter the top k (not even by a
+       tie after rounding to 6 digits), so only essential postings are joined.
+    3. With ``P`` the partial sum over rare + essential terms and theta' the k-th best P,
+       a candidate survives only if ``P + ub(non-essential) >= theta' - margin``; only
+       survivors are probed for their non-essential terms (join on ``(term, doc_id)``).
+
+    A common term (a third of all documents, say) thus meets only the queries whose
+    bound needs it, and scoring is plain joins and sums (whole-stage code generated).
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(wp.sparkSession)
+    wp = wp.checkpoint(eager=True)
+    tstats = wp.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("maxw"))
+    rare_df = max(1, int(math.ceil(rare_ratio * n_docs)))
+    by_df = Window.partitionBy("qid").orderBy(F.asc("df"), F.asc("term"))
+    qts = (qt.join(tstats, "term")
+           .withColumn("ub", F.col("qtf") * F.col("maxw"))
+           .withColumn("phase1", (F.col("df") <= rare_df) | (F.row_number().over(by_df) == 1))
+           .checkpoint(eager=True))
+
+    p1 = _partial(qts.filter("phase1"), wp).groupBy("qid", "doc_id").agg(F.sum("s").alias("score")).checkpoint(eager=True)
+    by_ub = (Window.partitionBy("qid").orderBy(F.asc("ub"), F.asc("term"))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest = (qts.filter(~F.col("phase1")).join(_kth(p1, k, "theta"), "qid", "left")
+            .withColumn("cum", F.sum("ub").over(by_ub))
+            .withColumn("essential", F.col("cum") >= F.coalesce(F.col("theta"), F.lit(0.0)) - F.lit(margin))
+            .checkpoint(eager=True))
+    non_ess = rest.filter(~F.col("essential"))
+    ub_rest = non_ess.groupBy("qid").agg(F.max("cum").alias("ub_rest"))
+
+    p2 = _partial(rest.filter("essential"), wp).withColumnRenamed("s", "score")
+    part = p1.unionByName(p2).groupBy("qid", "doc_id").agg(F.sum("score").alias("score")).checkpoint(eager=True)
+    survivors = (part.join(_kth(part, k, "theta2"), "qid", "left").join(ub_rest, "qid", "left")
+                 .filter(F.col("score") + F.coalesce(F.col("ub_rest"), F.lit(0.0))
+                         >= F.coalesce(F.col("theta2"), F.lit(0.0)) - F.lit(margin))
+                 .select("qid", "doc_id", "score"))
+    probe = (survivors.select("qid", "doc_id").join(non_ess.select("qid", "term", "qtf"), "qid")
+             .join(wp, ["term", "doc_id"])
+             .groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("extra")))
+    full = (survivors.join(probe, ["qid", "doc_id"], "left")
+            .select("qid", "doc_id", (F.col("score") + F.coalesce(F.col("extra"), F.lit(0.0))).alias("score")))
+    return _rank(full, k)
+
+
 def pseudo_facts(df: DataFrame) -> Column:
     """Follow-up query text of a hit: its facts passage, or newline-free content."""
     return F.when(F.coalesce(F.col("basics_text"), F.lit("")) != "", F.col("basics_text")) \

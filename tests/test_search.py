@@ -91,3 +91,14 @@ def test_persisted_index_matches_scan_search(spark, prepared, scratch):
         a = [(r.doc_id, r.score) for r in se.top_k(indexed_keyword_search(spark, scratch + "/idx", "lyon of the", mode), 30).collect()]
         b = [(r.doc_id, r.score) for r in se.top_k(se.keyword_search(raw, "lyon of the", "content", mode), 30).collect()]
         assert a == b and len(a) > 0
+
+
+def test_maxscore_equals_exhaustive(spark, prepared):
+    bench = spark.read.parquet(SF01 + "/benchmark.parquet")
+    q = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
+    want = sorted(map(tuple, se.batch_keyword_search(prepared, q, "qid", "qtext", k=5, exhaustive=True).collect()))
+    assert len(want) > 0
+    # 0: only each query's rarest term in the first pass; 1: every term is rare
+    for ratio in (0.0, 0.002, 0.01, 1.0):
+        got = sorted(map(tuple, se.batch_keyword_search(prepared, q, "qid", "qtext", k=5, rare_ratio=ratio).collect()))
+        assert got == want, ratio
