@@ -184,7 +184,8 @@ def substring_scan(spark, sf_dir):
 @register
 def exists_filter(spark, sf_dir):
     from ..functions.facts import truthy
-    return prepared(spark, sf_dir).filter(truthy("basics_text")).select("doc_id")
+    # the facts passage is pinned so the filter does not inline the cascade a second time
+    return se.pin(prepared(spark, sf_dir), F.col("basics_text"), "_bt", "doc_id").filter(truthy("_bt")).select("doc_id")
 
 
 @register
