@@ -102,3 +102,19 @@ def test_maxscore_equals_exhaustive(spark, prepared):
     for ratio in (0.0, 0.002, 0.01, 1.0):
         got = sorted(map(tuple, se.batch_keyword_search(prepared, q, "qid", "qtext", k=5, rare_ratio=ratio).collect()))
         assert got == want, ratio
+
+
+def test_maxscore_hot_term_fixture(spark):
+    # one term in a third of all documents, queries mixing it with rare terms and with nothing else
+    rows = []
+    for i in range(600):
+        words = [f"w{i % 97}", f"v{i % 13}", f"u{i}"]
+        if i % 3 == 0:
+            words += ["hot"] * (1 + i % 4)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, basics_text string")
+    qs = spark.createDataFrame([(1, "hot w5 u17"), (2, "hot"), (3, "hot hot v3 w40"), (4, "u599 w1"), (5, "zzz")],
+                               "qid int, qtext string")
+    want = sorted(map(tuple, se.batch_keyword_search(docs, qs, "qid", "qtext", k=7, exhaustive=True).collect()))
+    got = sorted(map(tuple, se.batch_keyword_search(docs, qs, "qid", "qtext", k=7).collect()))
+    assert got == want and {r[0] for r in want} == {1, 2, 3, 4}
