@@ -37,9 +37,24 @@ def get_session(master: str | None = None, app: str = "tessera", shuffle_partiti
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in Python workers (pandas UDFs pickle its functions by
+    reference). In local mode the workers run on this machine: the package's parent
+    directory is put on their ``PYTHONPATH`` (no files written). On a cluster the package
+    is shipped by the deployment (``--py-files`` / an installed wheel)."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting it only when unset.
 
