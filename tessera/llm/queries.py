@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import simhash, toxicity
 from .common import fold, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
     return docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(docs, model).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@register
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
