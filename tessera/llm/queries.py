@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import pieces, simhash, toxicity
 from .common import fold, table
 
+#: Name of the tokenizer model among the installed public tokenizers.
+PIECE_MODEL = "piece_bpe_32k.model"
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -19,6 +22,19 @@ def register(fn):
     return fn
 
 
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(PIECE_MODEL), "rb") as f:
+        return f.read()
+
+
+@register
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pieces.digests(spark, F.col("text"), piece_model()).alias("r")).select("doc_id", "r.*")
+
+
 @register
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
