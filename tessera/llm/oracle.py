@@ -2,4 +2,31 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '-mix-1')) AS key
+  FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, source ASC NULLS LAST) AS nth,
+            (sum(source_size) OVER () * 1.5::DOUBLE
+             - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM per),
+goal AS (
+  SELECT source, source_size, CAST(least(source_size * 2.0::DOUBLE,
+           weight * arg_min(level, nth) FILTER (WHERE level <= 2 * source_size / weight) OVER ()) AS DOUBLE) AS target
+  FROM ranked),
+run AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS budget,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (budget // nullif(source_size, 0)) + greatest(0, least(size, budget - (budget // nullif(source_size, 0)) * source_size - before)) AS BIGINT) AS taken
+FROM run""",
+}
