@@ -3,6 +3,19 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {
+    "op5_chat": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+e AS (SELECT *, md5(concat(coalesce(CAST(turn AS VARCHAR), 'null'), ' ', coalesce(md5(role), 'null'), ' ', coalesce(md5(text), 'null'))) AS h FROM t),
+p AS (
+  SELECT conv_id, string_agg(h, '') OVER w AS prefix, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, count(*) AS copies FROM p
+  WHERE n = total AND prefix NOT IN (SELECT prefix FROM p WHERE n < total) GROUP BY prefix)
+SELECT t.conv_id, CAST(coalesce(floor(t.turn / 1024), -4503599627370496) AS BIGINT) AS segment, count(*) AS n_turns, any_value(copies) AS copies,
+       string_agg(concat('<|', coalesce(role, 'unknown'), '|>\n', replace(coalesce(text, ''), '<|', '< |'), '<|end|>\n'), ''
+                  ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL""".replace("\\n", "\n"),
     "op7_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

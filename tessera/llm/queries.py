@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, simhash, topk, toxicity
+from . import chat, mixing, pieces, simhash, topk, toxicity
 from .common import fold, table
 
 #: Name of the tokenizer model among the installed public tokenizers.
@@ -35,6 +35,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pieces.digests(spark, F.col("text"), piece_model()).alias("r")).select("doc_id", "r.*")
 
 
+@register
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 @register
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
