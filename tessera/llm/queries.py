@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces, simhash, topk, toxicity
+from . import chat, langid, mixing, pieces, simhash, topk, toxicity
 from .common import fold, table
 
 #: Name of the tokenizer model among the installed public tokenizers.
@@ -35,6 +35,15 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pieces.digests(spark, F.col("text"), piece_model()).alias("r")).select("doc_id", "r.*")
 
 
+@register
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, model).alias("r")).select(
+        "doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score", "r.rejected")
+
+
 @register
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
