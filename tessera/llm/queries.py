@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, pieces, simhash, topk, toxicity
+from . import chat, langid, mixing, pieces, quality, simhash, topk, toxicity
 from .common import fold, table
 
 #: Name of the tokenizer model among the installed public tokenizers.
@@ -29,6 +29,15 @@ def piece_model() -> bytes:
         return f.read()
 
 
+@register
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs.where(~held_out), labels.where(~held_out & (F.col("quality") == 1)))
+    return docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @register
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
