@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, pieces, quality, rules, simhash, topk, toxicity
+from . import chat, langid, mixing, pieces, pii, quality, rules, simhash, topk, toxicity
 from .common import fold, table
 
 #: Name of the tokenizer model among the installed public tokenizers.
@@ -29,6 +29,15 @@ def piece_model() -> bytes:
         return f.read()
 
 
+@register
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["k"] == k))).cast("long")
+    return found.select("doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+                        F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 @register
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
