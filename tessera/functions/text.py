@@ -43,19 +43,6 @@ def tokenize(c, pattern: str = TOKEN_PATTERN) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(col_(c)), F.lit(pattern), 1), F.array().cast("array<string>"))
 
 
-def han_bigrams(tokens) -> Column:
-    """Optional bigram view of a token array: adjacent pairs joined without a space."""
-    t = col_(tokens)
-    return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), lambda a, b: F.concat(a, b)))
-
-
-def remove_stop_words(tokens, stop_words: list[str]) -> Column:
-    """Drop tokens found in a (small, literal) stop-word list."""
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    return F.filter(col_(tokens), lambda x: ~F.array_contains(stop, x))
-
-
 def split_sentences(c, delimiters: str = SENTENCE_DELIMITERS) -> Column:
     """Sentences in order: split on delimiters, trim spaces, drop empty pieces."""
     parts = F.split(F.coalesce(col_(c), F.lit("")), delimiters)

@@ -67,23 +67,22 @@ def corpus_stop_words(df: DataFrame, text_col: str = "text", key: str = "doc_id"
     return dfs.filter(F.col("df") > F.lit(n * max_df_ratio)).select("term")
 
 
-MAX_STOP_WORDS = 100_000
-
-
-def remove_stop_words(df: DataFrame, tokens_col: str, stop: DataFrame | list | None, key: str = "doc_id") -> DataFrame:
+def remove_stop_words(df: DataFrame, tokens_col: str, stop: DataFrame | list | None, key: str | list = "doc_id") -> DataFrame:
     """Drop stop words (plus the digit-only rule) from a token array column.
 
-    ``stop`` may be a Python list or a DataFrame of terms. A stop list is a small
-    vocabulary; a DataFrame is read with a checked size (at most ``MAX_STOP_WORDS``) and
-    inlined, so the filter runs inside each row with no join.
+    A list (the caller's own words) is inlined. A table of terms is anti-joined with the tokens,
+    one row each, and the arrays are put together again by ``key``, which must be unique; Spark
+    decides from its sizes whether the table is broadcast.
     """
-    if isinstance(stop, DataFrame):
-        words = [r[0] for r in stop.select("term").distinct().limit(MAX_STOP_WORDS + 1).collect()]
-        if len(words) > MAX_STOP_WORDS:
-            raise ValueError(f"stop-word list larger than {MAX_STOP_WORDS}")
-        stop = sorted(words)
-    arr = F.array(*[F.lit(w) for w in (stop or [])]).cast("array<string>")
-    return df.withColumn(tokens_col, F.filter(tokens_col, lambda x: keep_token(x, arr)))
+    if not isinstance(stop, DataFrame):
+        arr = F.array(*[F.lit(w) for w in (stop or [])]).cast("array<string>")
+        return df.withColumn(tokens_col, F.filter(tokens_col, lambda x: keep_token(x, arr)))
+    keys = [key] if isinstance(key, str) else list(key)
+    each = df.select(*keys, F.posexplode(tokens_col).alias("_pos", "term")).filter(keep_token(F.col("term"), None))
+    kept = each.join(stop.select("term").distinct(), "term", "left_anti")
+    arrays = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "term")))["term"].alias("_kept"))
+    out = df.join(arrays, keys, "left").withColumn(tokens_col, F.coalesce("_kept", F.array().cast("array<string>")))
+    return out.select(df.columns)
 
 
 def sentences(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
@@ -95,6 +94,6 @@ def bag_of_words(sents: DataFrame, stop=None) -> DataFrame:
     """Sparse counts ``(doc_id, sent_idx, term, tf)`` per sentence (lower-cased tokens)."""
     t = sents.select("doc_id", "sent_idx", tokenize("sentence").alias("_t"))
     if stop is not None:
-        t = remove_stop_words(t, "_t", stop)
+        t = remove_stop_words(t, "_t", stop, ["doc_id", "sent_idx"])
     return (t.select("doc_id", "sent_idx", F.explode("_t").alias("term"))
             .groupBy("doc_id", "sent_idx", "term").agg(F.count(F.lit(1)).alias("tf")))

@@ -1,30 +1,32 @@
 """Pair explanation: why is a candidate text similar to a query text?
 
-Batch form over a pair table ``(pair_id, query_text, cand_text)``:
-
-1. sentences of both sides (``sent_idx`` 0-based) and their words (tokens minus stop
-   words);
-2. TextRank weight per sentence: one shuffle groups each text's sentences, then the
-   power iterations run per text in numpy on a pair-free factorisation of the
-   word-overlap similarity (by word and sentence-length class);
-3. key sentences per side: ``n_key = max(min(n // 3, 10), 1)``, best weights first,
-   sentences shorter than 10 characters skipped;
-4. cosine of key-sentence pairs on raw word counts (sparse: join on ``(pair_id, term)``;
-   pairs without shared words are counted, not emitted);
-5. adaptive threshold per pair, an exact emulation of the lowering / raising loop in
-   double arithmetic over at most ``sentence_number``² scores;
-6. matched pairs above the threshold (identical texts: sentence i with sentence i);
-7. connected components of the bipartite match graph, two-sided only, largest first.
-   Each pair's graph has at most ``2 x sentence_number`` nodes, so components are found
-   inside the row with a bounded label propagation.
+Batch form over a pair table ``(pair_id, query_text, cand_text)``; ``pair_id`` is of any type.
+
+1. Distinct texts of both sides, one row each, split into sentences and words (tokens minus
+   stop words) inside the row.
+2. TextRank weight per sentence, once per distinct text: power iterations in numpy on a
+   pair-free factorisation of the word-overlap similarity (by word and sentence length).
+3. Key sentences: ``n_key = max(min(n // 3, sentence_number), 1)``, best weights first,
+   sentences shorter than ``sentence_min_len`` characters skipped.
+4. Each pair joins its two text rows (at most ``2 x sentence_number`` key sentences) and is
+   explained inside its row: cosine of key sentences on raw word counts, the adaptive
+   threshold, matched pairs above it (identical texts: sentence i with sentence i), and the
+   connected components of the match graph, two-sided only, largest first.
+
+Shuffles: one to find the distinct texts, two joins by text. The text table is checkpointed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.labels import keep_token
 from ..functions.text import split_sentences, tokenize
@@ -37,301 +39,307 @@ SENTENCE_NUMBER = 10
 SENTENCE_MIN_LEN = 10
 RELATION_RATIO = 0.2
 STEP = 0.01
+COLORS = 5
 
+_RANKED = T.StructType([
+    T.StructField("weights", T.ArrayType(T.DoubleType())),
+    T.StructField("keys", T.ArrayType(T.IntegerType())),  # sentence indices, best first
+    T.StructField("n_key", T.IntegerType()),
+])
+_EDGE = T.StructType([T.StructField("q_idx", T.IntegerType()), T.StructField("c_idx", T.IntegerType()), T.StructField("score", T.DoubleType())])
+_COMPONENT = T.StructType([T.StructField("q_idx", T.ArrayType(T.IntegerType())), T.StructField("c_idx", T.ArrayType(T.IntegerType()))])
+_FOUND = T.StructType([
+    T.StructField("cosines", T.ArrayType(_EDGE)),
+    T.StructField("threshold", T.DoubleType()),
+    T.StructField("min_key", T.IntegerType()),
+    T.StructField("n_zero", T.IntegerType()),
+    T.StructField("matched", T.ArrayType(_EDGE)),
+    T.StructField("components", T.ArrayType(_COMPONENT)),
+])
 
-def _stop_array(stop_words) -> Column | None:
-    if not stop_words:
-        return None
-    return F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
 
+# ---------------------------------------------------------------- sentences and words
 
-def words(sentence: Column, stop_words=None) -> Column:
-    stop = _stop_array(stop_words)
-    return F.filter(tokenize(sentence), lambda x: keep_token(x, stop))
 
+def words(sentence: Column, stop_words=None, analyzer: Callable[[Column], Column] = tokenize) -> Column:
+    """Words of a sentence: the analyzer's tokens minus stop words (a list) and bare numbers."""
+    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>") if stop_words else None
+    return F.filter(analyzer(sentence), lambda x: keep_token(x, stop))
 
-def pair_texts(pairs: DataFrame) -> DataFrame:
-    """Both sides of every pair as texts ``(tid, pair_id, side, text)``; side 0 = query."""
-    q = pairs.select("pair_id", F.lit(0).alias("side"), F.col("query_text").alias("text"))
-    c = pairs.select("pair_id", F.lit(1).alias("side"), F.col("cand_text").alias("text"))
-    return q.unionByName(c).withColumn("tid", F.col("pair_id") * 2 + F.col("side"))
 
+def sentence_array(text: Column, stop_words=None, analyzer: Callable[[Column], Column] = tokenize) -> Column:
+    """``array<struct<sentence, words>>`` of a text, in order."""
+    return F.transform(split_sentences(text), lambda s: F.struct(s.alias("sentence"), words(s, stop_words, analyzer).alias("words")))
 
-def sentence_table(texts: DataFrame, stop_words=None) -> DataFrame:
-    """``(tid, sent_idx, sentence, words, n_words, slen)`` for texts ``(tid, text)``."""
-    s = texts.select("tid", F.posexplode(split_sentences("text")).alias("sent_idx", "sentence"))
-    return (s.withColumn("words", words(F.col("sentence"), stop_words))
-            .withColumn("n_words", F.size("words"))
-            .withColumn("slen", F.length("sentence")))
 
+# ---------------------------------------------------------------- TextRank and key sentences
 
-def _textrank_group(iterations: int, damping: float):
-    """Per-text power iteration (numpy), pair-free.
 
-    With ``B`` the sentence x word incidence (distinct words) and ``c(i)`` the class of
-    sentence i's word count, ``sum_j w_ij y_j`` = ``sum_{w in i} sum_k S[w, k] / (ln n_i +
-    ln m_k)`` minus i's own term, where ``S[w, k]`` sums ``y`` over sentences holding w in
-    length class k. Each iteration is one scatter-add over the incidence pairs and one
-    gather of ``nnz x classes`` values: linear in the text, never sentence x sentence.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tid = pdf["tid"].iloc[0]
-        idx = pdf["sent_idx"].to_numpy()
-        n = len(pdf)
-        m = pdf["n_words"].to_numpy().astype(np.int64)
-        rows, words = [], []
-        for r, ws in enumerate(pdf["words"]):
-            if ws is not None and len(ws):
-                u = pd.unique(np.asarray(ws, dtype=object))
-                rows.append(np.full(len(u), r))
-                words.append(u)
-        ws_out = np.full(n, 1.0 if iterations == 0 else 1.0 - damping)
-        if rows:
-            row = np.concatenate(rows)
-            wid, _ = pd.factorize(np.concatenate(words))
-            lengths, cls = np.unique(m, return_inverse=True)
-            with np.errstate(divide="ignore"):  # empty sentences: class never gathered
-                ln = np.log(lengths.astype(np.float64))
-            den = ln[:, None] + ln[None, :]
-            inv = np.where(np.abs(den) >= 1e-12, 1.0 / np.where(den == 0, 1.0, den), 0.0)
-            n_words, n_cls = int(wid.max()) + 1, len(lengths)
-            rc = cls[row]
-
-            def neighbour_sum(y):
-                S = np.zeros((n_words, n_cls))
-                np.add.at(S, (wid, rc), y[row])
-                # remove the sentence itself from its own class before weighting
-                own = S[wid, :].copy()
-                own[np.arange(len(row)), rc] -= y[row]
-                x = (own * inv[rc, :]).sum(axis=1)
-                return np.bincount(row, weights=x, minlength=n)
-
-            out = neighbour_sum(np.ones(n))
-            live = out > 0
-            ws = np.where(live, 1.0, 0.0)
-            for _ in range(iterations):
-                y = np.where(live, ws / np.where(live, out, 1.0), 0.0)
-                ws = (1.0 - damping) + damping * neighbour_sum(y)
-            if iterations > 0:
-                ws_out = np.where(live, ws, 1.0 - damping)
-        return pd.DataFrame({"tid": np.full(n, tid), "sent_idx": idx, "weight": np.round(ws_out, WEIGHT_DIGITS)})
-
-    return run
-
-
-def textrank(sents: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """``(tid, sent_idx, weight)``: ``ws <- (1-d) + d * sum_j (w_ji / out_j) ws_j`` from
-    ``ws = 1``, ``w_ij`` = shared distinct words / (ln |i| + ln |j|) (no edge when the
-    denominator is zero); isolated sentences end at ``1 - d``.
-
-    One shuffle groups each text's sentences (a group is one document, which arrived as
-    one row); the iterations then run inside that task with the pair-free factorisation
-    above, so there is no per-iteration job and no sentence x sentence table.
+def textrank(sentences: list[list[str]], iterations: int = ITERATIONS, damping: float = DAMPING) -> np.ndarray:
+    """Weights of a text's sentences, given as word lists: ``ws <- (1-d) + d * sum_j (w_ji /
+    out_j) ws_j`` from ``ws = 1``, ``w_ij`` = shared distinct words / (ln |i| + ln |j|) (no
+    edge when the denominator is zero); isolated sentences end at ``1 - d``.
+
+    With ``S[w, k]`` the sum of ``y`` over sentences of length class k that hold word w,
+    ``sum_j w_ij y_j = sum_{w in i} sum_k S[w, k] / (ln n_i + ln m_k)`` minus i's own term:
+    linear in the text's sentence-word pairs, one class at a time, never sentence x sentence.
     """
-    cols = sents.select("tid", "sent_idx", "words", "n_words")
-    return cols.groupBy("tid").applyInPandas(_textrank_group(iterations, damping),
-                                            "tid long, sent_idx int, weight double")
-
-
-def n_key(n: Column, sentence_number: int = SENTENCE_NUMBER) -> Column:
-    """Key-sentence target: at most a third of the sentences, at most ``sentence_number``,
-    at least one."""
-    return F.greatest(F.least(F.floor(n / 3), F.lit(sentence_number)), F.lit(1)).cast("int")
-
-
-def key_sentences(sents: DataFrame, weights: DataFrame, sentence_number: int = SENTENCE_NUMBER,
-                  min_len: int = SENTENCE_MIN_LEN) -> DataFrame:
-    """``(tid, sent_idx, sentence, words, weight, rank, n_key)`` of the picked sentences."""
-    counts = sents.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
-    s = (sents.join(weights, ["tid", "sent_idx"]).join(counts, "tid")
-         .withColumn("n_key", n_key(F.col("n"), sentence_number))
-         .filter(F.col("slen") >= min_len))
-    win = Window.partitionBy("tid").orderBy(F.desc("weight"), F.asc("sent_idx"))
-    return (s.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= F.col("n_key"))
-            .select("tid", "sent_idx", "sentence", "words", "weight", "rank", "n_key"))
-
-
-def text_targets(sents: DataFrame, sentence_number: int = SENTENCE_NUMBER) -> DataFrame:
-    """``(tid, n, n_key)`` for every text (``n_key`` is the target even when fewer long
-    sentences exist)."""
-    return sents.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).withColumn("n_key", n_key(F.col("n"), sentence_number))
-
-
-def key_vectors(keys: DataFrame) -> DataFrame:
-    """Sparse raw counts ``(tid, sent_idx, term, tf)`` of the key sentences."""
-    return (keys.select("tid", "sent_idx", F.explode("words").alias("term"))
-            .groupBy("tid", "sent_idx", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def joint_vocab(keys: DataFrame) -> DataFrame:
-    """Vocabulary of both sides of each pair ``(pair_id, term)``."""
-    return keys.select(F.floor(F.col("tid") / 2).cast("bigint").alias("pair_id"), F.explode("words").alias("term")).distinct()
-
-
-def sentence_cosine(keys: DataFrame) -> DataFrame:
-    """Positive cosines ``(pair_id, q_idx, c_idx, cos)`` between query and candidate key
-    sentences; only pairs sharing a term are produced."""
-    v = key_vectors(keys).withColumn("pair_id", F.floor(F.col("tid") / 2).cast("bigint")) \
-        .withColumn("side", (F.col("tid") % 2).cast("int"))
-    norms = v.groupBy("tid", "sent_idx").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    q = v.filter("side = 0").select("pair_id", F.col("sent_idx").alias("q_idx"), "term", F.col("tf").alias("tq"), F.col("tid").alias("tq_id"))
-    c = v.filter("side = 1").select("pair_id", F.col("sent_idx").alias("c_idx"), "term", F.col("tf").alias("tc"), F.col("tid").alias("tc_id"))
-    dots = (q.join(c, ["pair_id", "term"]).groupBy("pair_id", "tq_id", "q_idx", "tc_id", "c_idx")
-            .agg(F.sum(F.col("tq") * F.col("tc")).alias("dot")))
-    nq = norms.select(F.col("tid").alias("tq_id"), F.col("sent_idx").alias("q_idx"), F.col("norm").alias("nq"))
-    nc = norms.select(F.col("tid").alias("tc_id"), F.col("sent_idx").alias("c_idx"), F.col("norm").alias("nc"))
-    return (dots.join(nq, ["tq_id", "q_idx"]).join(nc, ["tc_id", "c_idx"])
-            .select("pair_id", "q_idx", "c_idx", (F.col("dot") / (F.col("nq") * F.col("nc"))).alias("cos")))
-
-
-def _count_above(scores: Column, n_zero: Column, t: Column) -> Column:
-    return F.size(F.filter(scores, lambda s: s > t)) + F.when(t < 0, n_zero).otherwise(F.lit(0))
-
-
-def threshold_search(scores: Column, n_zero: Column, min_key: Column, start: float = RELATION_RATIO,
-                     step: float = STEP, max_steps: int = 260) -> Column:
-    """Final threshold of the lower-then-raise loop (same double arithmetic as a loop that
-    starts at ``start`` and adds / subtracts ``step``): while nothing scores above it and
-    it is positive, lower it; then while at least ``min_key`` score above it and it is at
-    most 1, raise it. Zero-cosine pairs (``n_zero``) count only below zero."""
-    init = F.struct(F.lit(start).cast("double").alias("r"), F.lit(0).alias("phase"))
-
-    def step_fn(acc, _):
-        r, ph = acc["r"], acc["phase"]
-        cnt = _count_above(scores, n_zero, r)
-        lower = (ph == 0) & (cnt == 0) & (r > 0)
-        raise_ = (ph == 1) & (cnt >= min_key) & (r <= 1)
-        new_r = F.when(lower, r - F.lit(step)).when(raise_, r + F.lit(step)).otherwise(r)
-        new_ph = (F.when(ph == 0, F.when(lower, F.lit(0)).otherwise(F.lit(1)))
-                  .when(ph == 1, F.when(raise_, F.lit(1)).otherwise(F.lit(2))).otherwise(F.lit(2)))
-        return F.struct(new_r.alias("r"), new_ph.alias("phase"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), init, step_fn)["r"]
-
-
-def _nonzero_keys(keys: DataFrame) -> DataFrame:
-    """Key sentences that have at least one counted word (a zero vector has no cosine)."""
-    return keys.filter(F.size("words") > 0)
-
-
-def adaptive_threshold(pairs: DataFrame, keys: DataFrame, targets: DataFrame, cos: DataFrame) -> DataFrame:
-    """``(pair_id, threshold, min_key, n_zero)`` per non-identical pair."""
-    nk = _nonzero_keys(keys).groupBy("tid").agg(F.count(F.lit(1)).alias("k"))
-    t = targets.join(nk, "tid", "left").withColumn("pair_id", F.floor(F.col("tid") / 2).cast("bigint")) \
-        .withColumn("side", (F.col("tid") % 2).cast("int"))
-    side = t.groupBy("pair_id").agg(
-        F.max(F.when(F.col("side") == 0, F.col("n_key"))).alias("nkq"), F.max(F.when(F.col("side") == 1, F.col("n_key"))).alias("nkc"),
-        F.max(F.when(F.col("side") == 0, F.col("k"))).alias("kq"), F.max(F.when(F.col("side") == 1, F.col("k"))).alias("kc"))
-    sc = cos.groupBy("pair_id").agg(F.collect_list("cos").alias("scores"))
-    todo = pairs.filter(F.col("query_text") != F.col("cand_text")).select("pair_id")
-    j = (todo.join(side, "pair_id", "left").join(sc, "pair_id", "left")
-         .withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
-         .withColumn("n_zero", (F.coalesce("kq", F.lit(0)) * F.coalesce("kc", F.lit(0)) - F.size("scores")).cast("int"))
-         .withColumn("min_key", F.least(F.coalesce("nkq", F.lit(1)), F.coalesce("nkc", F.lit(1)))))
-    return j.select("pair_id", threshold_search(F.col("scores"), F.col("n_zero"), F.col("min_key")).alias("threshold"),
-                    "min_key", "n_zero")
-
-
-def matched_pairs(pairs: DataFrame, keys: DataFrame, sents: DataFrame, cos: DataFrame, thr: DataFrame) -> DataFrame:
-    """``(pair_id, q_idx, c_idx, score)`` in original sentence numbering."""
-    pos = cos.join(thr.select("pair_id", "threshold"), "pair_id").filter(F.col("cos") > F.col("threshold")) \
-        .select("pair_id", "q_idx", "c_idx", F.col("cos").alias("score"))
-    # zero-cosine pairs match only when the threshold fell below zero (then they are fewer
-    # than ``min_key`` <= sentence_number, so this join emits a bounded number of rows)
-    below = thr.filter((F.col("threshold") < 0) & (F.col("n_zero") > 0)).select("pair_id")
-    nonzero = _nonzero_keys(keys).withColumn("pair_id", F.floor(F.col("tid") / 2).cast("bigint")).join(below, "pair_id", "left_semi")
-    kq = nonzero.filter(F.col("tid") % 2 == 0).select("pair_id", F.col("sent_idx").alias("q_idx"))
-    kc = nonzero.filter(F.col("tid") % 2 == 1).select("pair_id", F.col("sent_idx").alias("c_idx"))
-    zero = kq.join(kc, "pair_id").join(cos.select("pair_id", "q_idx", "c_idx"), ["pair_id", "q_idx", "c_idx"], "left_anti") \
-        .select("pair_id", "q_idx", "c_idx", F.lit(0.0).alias("score"))
-    same = identical_pairs(pairs, sents, keys)
-    return pos.unionByName(zero).unionByName(same)
-
-
-def identical_pairs(pairs: DataFrame, sents: DataFrame, keys: DataFrame) -> DataFrame:
-    """Identical texts: every query sentence i is paired with candidate sentence i (only
-    when the key sentences have some vocabulary; without any the vectoriser has nothing)."""
-    has_vocab = _nonzero_keys(keys).select(F.floor(F.col("tid") / 2).cast("bigint").alias("pair_id")).distinct()
-    same = pairs.filter(F.col("query_text") == F.col("cand_text")).select("pair_id").join(has_vocab, "pair_id", "left_semi")
-    q = sents.filter(F.col("tid") % 2 == 0).select(F.floor(F.col("tid") / 2).cast("bigint").alias("pair_id"), "sent_idx")
-    return q.join(same, "pair_id", "left_semi").select("pair_id", F.col("sent_idx").alias("q_idx"),
-                                                       F.col("sent_idx").alias("c_idx"), F.lit(None).cast("double").alias("score"))
-
-
-def _components_of(edges: Column, rounds: int) -> Column:
-    """Min-label propagation over ``array<struct<q,c>>`` edges; nodes are q ids and
-    ``-1 - c`` for candidate ids. Returns ``array<struct<node, label>>``."""
-    nodes = F.array_distinct(F.concat(F.transform(edges, lambda e: e["q"].cast("bigint")),
-                                      F.transform(edges, lambda e: (-1 - e["c"]).cast("bigint"))))
-    # label = smallest query id in the component: q ids are >= 0, c nodes start at their own
-    # edge partner, so the propagation is over q labels only
-    init = F.transform(nodes, lambda n: F.struct(n.alias("node"), F.when(n >= 0, n).otherwise(F.lit(1 << 40).cast("bigint")).alias("label")))
-
-    def relax(acc, _):
-        def lab_of(x):
-            return F.aggregate(acc, F.lit(1 << 40).cast("bigint"), lambda m, s: F.when(s["node"] == x, F.least(m, s["label"])).otherwise(m))
-
-        def neighbours(n):
-            return F.transform(F.filter(edges, lambda e: (e["q"].cast("bigint") == n) | ((-1 - e["c"]).cast("bigint") == n)),
-                               lambda e: F.when(e["q"].cast("bigint") == n, (-1 - e["c"]).cast("bigint")).otherwise(e["q"].cast("bigint")))
-
-        return F.transform(acc, lambda s: F.struct(s["node"].alias("node"), F.least(
-            s["label"], F.aggregate(neighbours(s["node"]), F.lit(1 << 40).cast("bigint"), lambda m, x: F.least(m, lab_of(x)))).alias("label")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), init, relax)
-
-
-def components(matched: DataFrame, sentence_number: int = SENTENCE_NUMBER) -> DataFrame:
-    """Two-sided connected components ``(pair_id, comp_rank, q_idx, c_idx, color)``,
-    largest first (ties: smallest query sentence first); ``color = (rank - 1) mod 5``."""
-    same = matched.filter(F.col("score").isNull()).select("pair_id", F.array(F.col("q_idx")).alias("q"),
-                                                          F.array(F.col("c_idx")).alias("c"))
-    # pairs from the identity branch are a perfect matching: one component per edge
-    g = (matched.filter(F.col("score").isNotNull())
-         .groupBy("pair_id").agg(F.collect_list(F.struct(F.col("q_idx").alias("q"), F.col("c_idx").alias("c"))).alias("edges")))
-    labelled = g.select("pair_id", F.explode(_components_of(F.col("edges"), 2 * sentence_number)).alias("nl")).select(
-        "pair_id", F.col("nl.node").alias("node"), F.col("nl.label").alias("label"))
-    comp = labelled.groupBy("pair_id", "label").agg(
-        F.sort_array(F.collect_list(F.when(F.col("node") >= 0, F.col("node")))).alias("q"),
-        F.sort_array(F.collect_list(F.when(F.col("node") < 0, -1 - F.col("node")))).alias("c"))
-    allc = comp.select("pair_id", "q", "c").unionByName(same)
-    allc = allc.filter((F.size("q") > 0) & (F.size("c") > 0))
-    win = Window.partitionBy("pair_id").orderBy(F.desc(F.size("q") + F.size("c")), F.asc(F.get("q", 0)))
-    return (allc.withColumn("comp_rank", F.row_number().over(win))
-            .select("pair_id", F.col("comp_rank").cast("int"), F.col("q").alias("q_idx"), F.col("c").alias("c_idx"),
-                    F.pmod(F.col("comp_rank") - 1, F.lit(5)).cast("int").alias("color")))
+    n = len(sentences)
+    vocabulary: dict[str, int] = {}
+    distinct = [list({vocabulary.setdefault(w, len(vocabulary)) for w in s}) for s in sentences]
+    row = np.repeat(np.arange(n), [len(d) for d in distinct])
+    word = np.array([w for d in distinct for w in d], np.int64)
+    if not len(word):
+        return np.full(n, 1.0 if iterations == 0 else 1.0 - damping)
+    lengths, of = np.unique([len(s) for s in sentences], return_inverse=True)
+    with np.errstate(divide="ignore"):  # sentences without words hold no pair
+        log = np.log(lengths.astype(float))
+    total = log[:, None] + log[None, :]
+    inverse = np.where(np.abs(total) >= 1e-12, 1.0 / np.where(total == 0, 1.0, total), 0.0)
+    mine = of[row]
+    members = [(k, at) for k in range(len(lengths)) if len(at := np.flatnonzero(mine == k))]
+
+    def neighbour_sum(y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(word))
+        for k, inside in members:
+            held = np.bincount(word[inside], y[row[inside]], len(vocabulary))[word]
+            held[inside] -= y[row[inside]]
+            out += held * inverse[mine, k]
+        return np.bincount(row, out, n)
+
+    degree = neighbour_sum(np.ones(n))
+    live = degree > 0
+    weight = np.where(live, 1.0, 0.0)
+    for _ in range(iterations):
+        weight = (1.0 - damping) + damping * neighbour_sum(np.where(live, weight / np.where(live, degree, 1.0), 0.0))
+    return np.where(live, weight, 1.0 - damping) if iterations else np.ones(n)
+
+
+def n_key(n, sentence_number: int = SENTENCE_NUMBER):
+    """Key-sentence target: at most a third of the sentences, at most ``sentence_number``, at
+    least one."""
+    return max(min(n // 3, sentence_number), 1)
+
+
+def ranked(sentences: Column, sentence_number: int = SENTENCE_NUMBER, min_len: int = SENTENCE_MIN_LEN,
+           iterations: int = ITERATIONS, damping: float = DAMPING) -> Column:
+    """Struct of the sentences' weights, the key sentences' indices (best first) and their target."""
+
+    @arrow_udf(_RANKED)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            rows = []
+            for sents in batch.to_pylist():
+                weights = np.round(textrank([s["words"] for s in sents], iterations, damping), WEIGHT_DIGITS).tolist()
+                target = n_key(len(sents), sentence_number)
+                long = [i for i, s in enumerate(sents) if len(s["sentence"]) >= min_len]
+                rows.append({"weights": weights, "keys": sorted(long, key=lambda i: (-weights[i], i))[:target], "n_key": target})
+            yield pa.array(rows, pa.struct([("weights", pa.list_(pa.float64())), ("keys", pa.list_(pa.int32())), ("n_key", pa.int32())]))
+
+    return run(sentences)
+
+
+def text_table(pairs: DataFrame, stop_words=None, analyzer: Callable[[Column], Column] = tokenize, **tunables) -> DataFrame:
+    """One row per distinct text of the pairs: ``(tid, sents, r)``; ``tid`` is the text's hash."""
+    both = pairs.select(F.col("query_text").alias("text")).unionByName(pairs.select(F.col("cand_text").alias("text")))
+    texts = both.withColumn("tid", text_id("text")).dropDuplicates(["tid"])
+    sents = texts.select("tid", sentence_array(F.col("text"), stop_words, analyzer).alias("sents"))
+    return sents.withColumn("r", ranked(F.col("sents"), **tunables))
+
+
+def text_id(col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(col), F.lit("")).cast("binary"), 256)
+
+
+# ---------------------------------------------------------------- one pair
+
+
+def ladder(start: float, step: float, stop: Callable[[float], bool]) -> list[float]:
+    """``start`` and what repeated addition of ``step`` makes of it, up to where ``stop`` holds."""
+    out = [start]
+    while not stop(out[-1]):
+        out.append(out[-1] + step)
+    return out
+
+
+def threshold(scores: list[float], n_zero: int, min_key: int, start: float = RELATION_RATIO, step: float = STEP) -> float:
+    """Adaptive threshold: lowered from ``start`` to where a score lies above it (or to the first
+    value not above zero), then raised while at least ``min_key`` scores lie above it and it does
+    not exceed 1. ``n_zero`` more scores are zero. The rungs come from repeated addition, so they
+    equal those of a loop in doubles for any start and step."""
+    ordered = np.sort(np.append(np.asarray(scores, float), np.zeros(n_zero)))
+
+    def above(rungs: list[float]) -> np.ndarray:
+        return len(ordered) - np.searchsorted(ordered, rungs, "right")
+
+    down = ladder(start, -step, lambda r: r <= 0)
+    reached = np.flatnonzero(above(down) > 0)
+    up = ladder(down[reached[0]] if len(reached) else down[-1], step, lambda r: r > 1)
+    short = np.flatnonzero(above(up) < min_key)
+    return up[short[0]] if len(short) else up[-1]
+
+
+def cosines(q: list[dict], c: list[dict]) -> list[tuple[int, int, float]]:
+    """Positive cosines ``(q_idx, c_idx, cos)`` of key sentences on raw word counts."""
+    def counted(side):
+        out = []
+        for s in side:
+            n: dict[str, int] = {}
+            for w in s["words"]:
+                n[w] = n.get(w, 0) + 1
+            out.append((s["idx"], n, float(np.sqrt(float(sum(v * v for v in n.values()))))))
+        return out
+
+    found = []
+    right = counted(c)
+    for i, a, na in counted(q):
+        for j, b, nb in right:
+            dot = sum(v * b[w] for w, v in a.items() if w in b)
+            if dot:
+                found.append((i, j, dot / (na * nb)))
+    return found
+
+
+def components(edges: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """Connected components of a bipartite graph as (query indices, candidate indices), largest
+    first, ties by smallest query index."""
+    group: dict[tuple[int, int], set] = {}
+    for q, c in edges:
+        merged = group.get((0, q), {(0, q)}) | group.get((1, c), {(1, c)})
+        for node in merged:
+            group[node] = merged
+    unique = {id(g): g for g in group.values()}.values()
+    sides = [(sorted(i for s, i in g if s == 0), sorted(i for s, i in g if s == 1)) for g in unique]
+    return sorted(sides, key=lambda x: (-len(x[0]) - len(x[1]), x[0][0]))
+
+
+def explained(q: dict, c: dict, same: bool, start: float, step: float) -> dict:
+    """Explanation of one pair from its two text rows (key sentences, targets, sentence count)."""
+    full = [[s for s in side["keys"] if s["words"]] for side in (q, c)]
+    found = cosines(*full)
+    out = {"cosines": [dict(zip(("q_idx", "c_idx", "score"), f)) for f in found], "threshold": None, "min_key": None, "n_zero": None}
+    if same:
+        edges = [(i, i, None) for i in range(q["n"])] if full[0] else []
+    else:
+        out["n_zero"] = len(full[0]) * len(full[1]) - len(found)
+        out["min_key"] = min(q["n_key"], c["n_key"])
+        line = out["threshold"] = threshold([s for *_, s in found], out["n_zero"], out["min_key"], start, step)
+        edges = [f for f in found if f[2] > line]
+        if line < 0 and out["n_zero"]:
+            seen = {f[:2] for f in found}
+            edges += [(a["idx"], b["idx"], 0.0) for a in full[0] for b in full[1] if (a["idx"], b["idx"]) not in seen]
+    out["matched"] = [dict(zip(("q_idx", "c_idx", "score"), e)) for e in edges]
+    out["components"] = [{"q_idx": a, "c_idx": b} for a, b in components([e[:2] for e in edges])]
+    return out
+
+
+def pair_table(pairs: DataFrame, texts: DataFrame, relation_ratio: float = RELATION_RATIO, step: float = STEP) -> DataFrame:
+    """``(pair_id, found)``: each pair joined with its two text rows and explained in place."""
+
+    @arrow_udf(_FOUND)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(_FOUND)
+        for q, c, same in batches:
+            yield pa.array([explained(*row, relation_ratio, step) for row in zip(q.to_pylist(), c.to_pylist(), same.to_pylist())], kind)
+
+    keys = F.transform("r.keys", lambda i: F.struct(i.alias("idx"), F.get("sents", i)["words"].alias("words")))
+    side = texts.select("tid", F.struct(keys.alias("keys"), F.col("r.n_key").alias("n_key"), F.size("sents").alias("n")).alias("t"))
+    ids = pairs.select("pair_id", text_id("query_text").alias("q_tid"), text_id("cand_text").alias("c_tid"))
+    joined = (ids.join(side.select(F.col("tid").alias("q_tid"), F.col("t").alias("q")), "q_tid")
+              .join(side.select(F.col("tid").alias("c_tid"), F.col("t").alias("c")), "c_tid"))
+    return joined.select("pair_id", run("q", "c", F.col("q_tid") == F.col("c_tid")).alias("found"))
+
+
+# ---------------------------------------------------------------- tables
 
 
 @dataclass
 class Explanation:
-    sentences: DataFrame   # (pair_id, side, sent_idx, sentence)
-    matched: DataFrame     # (pair_id, q_idx, c_idx, score)
-    components: DataFrame  # (pair_id, comp_rank, q_idx[], c_idx[], color)
-    keys: DataFrame
-    weights: DataFrame
-    threshold: DataFrame
-
-
-def explain_pairs(pairs: DataFrame, stop_words=None, sentence_number: int = SENTENCE_NUMBER,
-                  sentence_min_len: int = SENTENCE_MIN_LEN, iterations: int = ITERATIONS) -> Explanation:
-    """End-to-end explanation for a table ``(pair_id, query_text, cand_text)``."""
+    """Tables over ``pair_id``; each is an explode of the text or the pair table."""
+
+    pairs: DataFrame
+    texts: DataFrame
+    found: DataFrame  # (pair_id, found): one row per pair
+
+    def _sides(self) -> DataFrame:
+        """(pair_id, side, sents, r); side 0 = query."""
+        ids = self.pairs.select("pair_id", F.posexplode(F.array(text_id("query_text"), text_id("cand_text"))).alias("side", "tid"))
+        return ids.join(self.texts, "tid").drop("tid")
+
+    @property
+    def sentences(self) -> DataFrame:
+        """(pair_id, side, sent_idx, sentence)"""
+        s = self._sides().select("pair_id", "side", F.posexplode("sents").alias("sent_idx", "s"))
+        return s.select("pair_id", "side", "sent_idx", F.col("s.sentence").alias("sentence"))
+
+    @property
+    def weights(self) -> DataFrame:
+        """(pair_id, side, sent_idx, weight)"""
+        return self._sides().select("pair_id", "side", F.posexplode("r.weights").alias("sent_idx", "weight"))
+
+    @property
+    def keys(self) -> DataFrame:
+        """(pair_id, side, sent_idx, sentence, words, weight, rank, n_key)"""
+        k = self._sides().select("pair_id", "side", "sents", "r", F.posexplode("r.keys").alias("rank", "sent_idx"))
+        s = F.get("sents", F.col("sent_idx"))
+        return k.select("pair_id", "side", "sent_idx", s["sentence"].alias("sentence"), s["words"].alias("words"),
+                        F.get("r.weights", F.col("sent_idx")).alias("weight"), (F.col("rank") + 1).alias("rank"), F.col("r.n_key").alias("n_key"))
+
+    @property
+    def joint_vocab(self) -> DataFrame:
+        """(pair_id, term): words of the key sentences of both sides."""
+        return self.keys.select("pair_id", F.explode("words").alias("term")).distinct()
+
+    @property
+    def cosines(self) -> DataFrame:
+        """(pair_id, q_idx, c_idx, cos)"""
+        e = self.found.select("pair_id", F.explode("found.cosines").alias("e"))
+        return e.select("pair_id", "e.q_idx", "e.c_idx", F.col("e.score").alias("cos"))
+
+    @property
+    def threshold(self) -> DataFrame:
+        """(pair_id, threshold, min_key, n_zero) of the pairs of different texts."""
+        return self.found.select("pair_id", "found.threshold", "found.min_key", "found.n_zero").where("threshold is not null")
+
+    @property
+    def matched(self) -> DataFrame:
+        """(pair_id, q_idx, c_idx, score); the score is null where the texts are identical."""
+        return self.found.select("pair_id", F.explode("found.matched").alias("e")).select("pair_id", "e.q_idx", "e.c_idx", "e.score")
+
+    @property
+    def components(self) -> DataFrame:
+        """(pair_id, comp_rank, q_idx, c_idx, color), largest component first."""
+        c = self.found.select("pair_id", F.posexplode("found.components").alias("at", "c"))
+        return c.select("pair_id", (F.col("at") + 1).alias("comp_rank"), "c.q_idx", "c.c_idx", F.pmod("at", F.lit(COLORS)).cast("int").alias("color"))
+
+    @property
+    def summary(self) -> DataFrame:
+        """(pair_id, n_query_sents, n_cand_sents, n_matched, n_components) of pairs with a sentence."""
+        n = self.texts.select("tid", F.size("sents").cast("long").alias("n"))
+        ids = self.pairs.select("pair_id", text_id("query_text").alias("q"), text_id("cand_text").alias("c"))
+        counted = (ids.join(n.select(F.col("tid").alias("q"), F.col("n").alias("n_query_sents")), "q")
+                   .join(n.select(F.col("tid").alias("c"), F.col("n").alias("n_cand_sents")), "c").drop("q", "c"))
+        sizes = self.found.select("pair_id", F.size("found.matched").cast("long").alias("n_matched"),
+                                  F.size("found.components").cast("long").alias("n_components"))
+        return counted.join(sizes, "pair_id").where("n_query_sents + n_cand_sents > 0")
+
+
+def explain_pairs(pairs: DataFrame, stop_words=None, sentence_number: int = SENTENCE_NUMBER, sentence_min_len: int = SENTENCE_MIN_LEN,
+                  iterations: int = ITERATIONS, relation_ratio: float = RELATION_RATIO, step: float = STEP,
+                  analyzer: Callable[[Column], Column] = tokenize) -> Explanation:
+    """End-to-end explanation for a table ``(pair_id, query_text, cand_text)``. The producers of
+    the pairs and the ranked texts are cut off by reliable checkpoints, since several tables of
+    the result read them."""
     ensure_checkpoint_dir(pairs.sparkSession)
-    # the pair table and its sentences feed every later stage and all iterations: cut the
-    # lineage once (reliable checkpoint) instead of recomputing the pairs' producers
     pairs = pairs.select("pair_id", "query_text", "cand_text").checkpoint(eager=True)
-    texts = pair_texts(pairs)
-    sents = sentence_table(texts, stop_words).checkpoint(eager=True)
-    weights = textrank(sents, iterations).checkpoint(eager=True)
-    # key sentences (at most ``sentence_number`` per text) feed four branches
-    keys = key_sentences(sents, weights, sentence_number, sentence_min_len).checkpoint(eager=True)
-    targets = text_targets(sents, sentence_number)
-    cos = sentence_cosine(keys)
-    thr = adaptive_threshold(pairs, keys, targets, cos)
-    matched = matched_pairs(pairs, keys, sents, cos, thr)
-    comps = components(matched, sentence_number)
-    out_sents = sents.select(F.floor(F.col("tid") / 2).cast("bigint").alias("pair_id"), (F.col("tid") % 2).cast("int").alias("side"),
-                             "sent_idx", "sentence")
-    return Explanation(out_sents, matched, comps, keys, weights, thr)
+    texts = text_table(pairs, stop_words, analyzer, sentence_number=sentence_number, min_len=sentence_min_len, iterations=iterations)
+    texts = texts.checkpoint(eager=True)
+    return Explanation(pairs, texts, pair_table(pairs, texts, relation_ratio, step))
+
+
+def explain_by_id(cases: DataFrame, asked: DataFrame, text_col: str = "basics_text", id_col: str = "doc_id", **tunables) -> Explanation:
+    """Explanation for ``(pair_id, query_text, doc_id)``: the candidate text is looked up by id."""
+    cand = cases.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("cand_text"))
+    return explain_pairs(asked.select("pair_id", "query_text", "doc_id").join(cand, "doc_id"), **tunables)

@@ -13,7 +13,6 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.labels import FACET_FIELDS
 
-SAMPLE_SIZE = 10_000
 FACET_SIZE = 10
 
 
@@ -25,9 +24,9 @@ def _values(df: DataFrame, field: str):
     return F.when(F.col(field).isNotNull(), F.array(F.col(field).cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
-def sample_hits(scored: DataFrame, shard_size: int = SAMPLE_SIZE) -> DataFrame:
-    """Sampler: the best-scoring ``shard_size`` hits (ties broken by ``doc_id``)."""
-    return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(shard_size)
+def sample_hits(scored: DataFrame, size: int) -> DataFrame:
+    """Sampler: the best-scoring ``size`` hits (ties broken by ``doc_id``)."""
+    return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(size)
 
 
 def facets(hits: DataFrame, fields=None, size: int = FACET_SIZE, drop_blank: bool = True) -> DataFrame:
@@ -80,7 +79,3 @@ def term_filter(df: DataFrame, field: str, value) -> DataFrame:
     if isinstance(df.schema[field].dataType, ArrayType):
         return df.filter(F.array_contains(field, value))
     return df.filter(F.col(field) == F.lit(value))
-
-
-def terms_filter(df: DataFrame, field: str, values) -> DataFrame:
-    return post_filter(df, {field: values})

@@ -18,6 +18,8 @@ DROPPED_SOURCE_COLUMNS = ["crawl_time", "browse_count"]
 # A title containing any of these marks a ruling/decision/notice, which is
 # not logged as a reject.
 REJECT_EXEMPT_TITLE_PATTERN = "裁定|决定|通知"
+# Fixed value: what a hit shows for a missing title or content.
+MISSING = "MISSING CONTENT!"
 
 
 def facts_with_validity(df: DataFrame, patterns=None) -> DataFrame:
@@ -59,7 +61,7 @@ def filter_rejects(df: DataFrame) -> DataFrame:
             .select("doc_id", strip_newlines("content").alias("content")))
 
 
-def reject_sample(df: DataFrame, n: int = 100) -> DataFrame:
+def reject_sample(df: DataFrame, n: int) -> DataFrame:
     """Debug sampler: the first ``n`` invalid rows by key, of which the logged ones."""
     first = df.filter(F.col("is_valid") == 0).orderBy("doc_id").limit(n)
     return filter_rejects(first)
@@ -85,14 +87,26 @@ def provenance(df: DataFrame, collection=None, id_col: str = "doc_id") -> DataFr
     return out.withColumn("id", F.col(id_col).cast("bigint"))
 
 
-def safe_cast(df: DataFrame, date_cols=("publish_date",), raw_suffix: str = "_raw") -> DataFrame:
-    """Malformed values become null instead of failing the job (``try_to_date``)."""
+DATE_COLUMNS = ("publish_date", "upload_date", "trial_date")
+
+
+def safe_cast(df: DataFrame, date_cols=DATE_COLUMNS, raw_suffix: str = "_raw") -> DataFrame:
+    """Malformed values become null instead of failing the job (``try_to_date``); columns the
+    table does not have are skipped."""
     for c in date_cols:
         src = c + raw_suffix if c + raw_suffix in df.columns else c
-        df = df.withColumn(c, F.try_to_date(F.col(src).cast("string")))
+        if src in df.columns:
+            df = df.withColumn(c, F.try_to_date(F.col(src).cast("string")))
     return df
 
 
+def malformed_counts(df: DataFrame, date_cols=DATE_COLUMNS, raw_suffix: str = "_raw") -> DataFrame:
+    """One row: for each date column, how many non-empty values ``safe_cast`` turns to null."""
+    found = [(c, c + raw_suffix if c + raw_suffix in df.columns else c) for c in date_cols]
+    bad = lambda src: F.count_if((F.coalesce(F.col(src).cast("string"), F.lit("")) != "") & F.try_to_date(F.col(src).cast("string")).isNull())
+    return df.agg(*[bad(src).alias(f"{c}_malformed") for c, src in found if src in df.columns])
+
+
 def attach_vector(df: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """Keyed left join; only records with a non-empty facts passage keep their vector.
 
@@ -106,7 +120,7 @@ def attach_vector(df: DataFrame, vectors: DataFrame, key: str = "doc_id") -> Dat
 
 def hit_defaults(df: DataFrame) -> DataFrame:
     """Defaults a search hit shows for missing fields."""
-    missing = F.lit("MISSING CONTENT!")
+    missing = F.lit(MISSING)
     return df.select(
         "doc_id",
         F.coalesce("case_name", missing).alias("case_name"),
@@ -126,11 +140,12 @@ def prep_stats(df: DataFrame) -> DataFrame:
     ).select("kept", "skipped", F.col("kept").alias("valid_tf_content_count"))
 
 
-def prepare_cases(raw: DataFrame, vectors: DataFrame | None = None, collection=None) -> DataFrame:
-    """Full preparation of raw case rows into indexed documents."""
-    df = facts_with_validity(raw)
+def prepare_cases(raw: DataFrame, vectors: DataFrame | None = None, collection=None, patterns=None) -> DataFrame:
+    """Full preparation of raw case rows into indexed documents; ``patterns`` replaces the list
+    of fact patterns."""
+    df = facts_with_validity(raw, patterns)
     df = normalize_legal_base(df) if "legal_base_raw" in df.columns else df
-    df = safe_cast(df) if ("publish_date_raw" in df.columns or "publish_date" in df.columns) else df
+    df = safe_cast(df)
     df = provenance(df, collection)
     if vectors is not None:
         df = attach_vector(df, vectors)

@@ -32,6 +32,8 @@ RARE_RATIO = 0.01
 # Characters that open / close a quoted (phrase) query.
 PHRASE_OPEN = "'\"“"
 PHRASE_CLOSE = "'\"”"
+# The two search fields and the columns they search.
+SEARCH_FIELDS = {"全文": "content", "仅案情": "basics_text"}
 
 
 # ---------------------------------------------------------------------------------------
@@ -55,8 +57,10 @@ def query_mode_col(c) -> Column:
 
 
 def field_for(search_field: str) -> str:
-    """Full-text selector: 全文 searches ``content``; anything else the facts passage."""
-    return "content" if search_field == "全文" else "basics_text"
+    """Column of a search field; an unknown field is an error."""
+    if search_field not in SEARCH_FIELDS:
+        raise ValueError(f"unknown search field {search_field!r}")
+    return SEARCH_FIELDS[search_field]
 
 
 def analyze_query(spark: SparkSession, text: str) -> list[str]:

@@ -11,11 +11,11 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.labels import FIELD_LABELS
 from ..functions.text import highlight_runs, let, preview, split_sentences, tokenize, url_quote
+from .prep import DATE_COLUMNS, MISSING
 from .search import pseudo_facts
 
 PAGE_SIZE = 20
 CLIENT_PAGE_SIZE = 25
-MISSING = "MISSING CONTENT!"
 
 
 def best_fragment(text, terms: list[str]) -> Column:
@@ -64,12 +64,12 @@ def shape_hits(page: DataFrame, search_field: str, terms: list[str] | None, keyw
 
 
 def page_window(total: Column, page: Column, size: int = CLIENT_PAGE_SIZE, width: int = 5) -> Column:
-    """Page numbers shown around ``page``: up to ``width`` positive entries starting at
-    ``min(page - 2, n_pages - 4)``."""
+    """Page numbers shown around ``page``: the first ``width`` positive ones from
+    ``min(page - 2, n_pages - 4)`` up to the last page."""
     n_pages = F.ceil(total / F.lit(size)).cast("int")
-    start = F.least(page - 2, n_pages - (width - 1))
-    seq = F.sequence(start.cast("int"), (start + width - 1).cast("int"))
-    return F.slice(F.filter(F.filter(seq, lambda x: x > 0), lambda x: x <= F.greatest(n_pages, F.lit(0))), 1, width)
+    start = F.greatest(F.least(page - 2, n_pages - (width - 1)), F.lit(1)).cast("int")
+    numbers = F.slice(F.sequence(start, F.greatest(n_pages, start)), 1, width)
+    return F.filter(numbers, lambda x: x <= n_pages)
 
 
 def record_detail(df: DataFrame, fields=None) -> DataFrame:
@@ -81,8 +81,8 @@ def record_detail(df: DataFrame, fields=None) -> DataFrame:
         dt = df.schema[f].dataType
         if isinstance(dt, ArrayType):
             v = F.array_join(F.col(f).cast("array<string>"), ",")
-        elif f.endswith("_date"):
-            v = F.date_format(F.col(f), "yyyy-MM-dd")
+        elif f in DATE_COLUMNS:  # raw dates may be malformed
+            v = F.date_format(F.try_to_date(F.col(f).cast("string")), "yyyy-MM-dd")
         else:
             v = F.col(f).cast("string")
         cols.append(F.struct(F.lit(pos).alias("field_pos"), F.lit(f).alias("field"), F.lit(lab).alias("label"), v.alias("value")))

@@ -1,31 +1,30 @@
 """Embeddings and vector retrieval.
 
 * ``hash_encode``: built-in deterministic encoder (token counts hashed into ``dims``
-  buckets by md5, L2-normalised), computed inside each row: no shuffle.
+  buckets by md5, L2-normalised), computed inside each row.
 * ``model_encoder``: plug-in model through ``predict_batch_udf`` (Arrow batches; the
   model is loaded once per Python worker).
 * ``knn_search``: exact dot-product top-k for one query vector (map-only scan +
   TakeOrderedAndProject).
-* ``knn_join``: exact top-k for a table of query vectors: a query side of measured,
-  bounded size is broadcast and scored against corpus batches by matrix products
-  (``mapInPandas``); a larger one runs as a blocked product (hash blocks of both sides
-  co-grouped in one shuffle), keeping per-query candidates only; a per-query
-  ``row_number() <= k`` (WindowGroupLimit, partial before the shuffle) makes the cut.
-* ``knn_lsh``: approximate alternative with BucketedRandomProjectionLSH.
+* ``knn_join``: exact top-k for a table of query vectors as a blocked matrix product: hash
+  blocks of both sides meet in one co-grouped shuffle, each cell keeps exactly k rows per
+  query, and a per-query ``row_number() <= k`` (partial before its shuffle) makes the cut.
+* ``knn_lsh``: approximate alternative by banded random projections.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, FloatType, LongType
 
 from ..functions.facts import extract_facts
-from ..functions.text import col_, let, tokenize
+from ..functions.text import let, tokenize
 from ..functions.vectors import dot, l2_normalize, vector_literal
 
 DEFAULT_DIMS = 64
-BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 32 * 1024 * 1024
 
 
 def token_bucket(t: Column, dims: int) -> Column:
@@ -58,8 +57,7 @@ def model_encoder(make_predict_fn, dims: int, batch_size: int = 200):
     """Column function from a caller-supplied model loader.
 
     ``make_predict_fn()`` runs once per Python worker and returns
-    ``predict(texts: np.ndarray) -> np.ndarray[n, dims]``. Rows are normalised afterwards
-    with :func:`functions.vectors.l2_normalize` when the metric is cosine.
+    ``predict(texts: np.ndarray) -> np.ndarray[n, dims]``; see :func:`by_metric`.
     """
     from pyspark.ml.functions import predict_batch_udf
 
@@ -67,15 +65,22 @@ def model_encoder(make_predict_fn, dims: int, batch_size: int = 200):
                              input_tensor_shapes=None)
 
 
-def query_text_prep(text: Column) -> Column:
+def by_metric(vector: Column, metric: str) -> Column:
+    """A model's vector as the metric wants it: of unit length for ``cos``, as it is for ``l2``."""
+    if metric not in ("cos", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
+    return l2_normalize(vector) if metric == "cos" else vector
+
+
+def query_text_prep(text: Column, patterns=None) -> Column:
     """Query preparation for vector search: extract facts, newline-free."""
-    return extract_facts(text)["text"]
+    return extract_facts(text, patterns)["text"]
 
 
-def query_vector(spark: SparkSession, text: str, encoder=None, dims: int = DEFAULT_DIMS) -> list[float]:
+def query_vector(spark: SparkSession, text: str, encoder=None, dims: int = DEFAULT_DIMS, metric: str = "cos", patterns=None) -> list[float]:
     """Encode one query (facts extracted, newlines removed); only the vector is collected."""
-    one = spark.range(1).select(query_text_prep(F.lit(text)).alias("q"))
-    vec = encoder(F.col("q")) if encoder is not None else hash_vector("q", dims)
+    one = spark.range(1).select(query_text_prep(F.lit(text), patterns).alias("q"))
+    vec = by_metric(encoder(F.col("q")), metric) if encoder is not None else hash_vector("q", dims)
     return [float(x) for x in one.select(vec.alias("v")).first()["v"]]
 
 
@@ -98,112 +103,113 @@ def _blocks(n: int, d: int, block_bytes: int) -> int:
     return max(1, -(-n // per_block))
 
 
-def _candidates(qids, qmat, docs, mat, k: int, margin: float, chunk: int = 4096):
-    """Per query the k best corpus rows of ``mat`` plus every row within ``margin`` of the
-    k-th score (so the exact cut on rounded scores can still be made after the shuffle).
-    The corpus side is scored ``chunk`` rows at a time: memory stays ``|q| x chunk``."""
-    import numpy as np
-    import pandas as pd
-
-    for lo in range(0, len(docs), chunk):
-        scores = qmat @ mat[lo:lo + chunk].T
-        kk = min(k, scores.shape[1])
-        kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-        qi, di = np.nonzero(scores >= (kth - margin)[:, None])
-        yield pd.DataFrame({"qid": qids[qi], "doc_id": docs[lo + di], "raw": scores[qi, di]})
-
-
 def _stack(vs):
     import numpy as np
 
     return np.stack([np.asarray(v, dtype=np.float64) for v in vs])
 
 
-def _broadcast_fn(bq, k: int, margin: float):
-    """Per corpus batch against the broadcast query block."""
-    def run(batches):
-        qids, qmat = bq.value
-        for pdf in batches:
-            if len(pdf) and len(qids):
-                yield from _candidates(qids, qmat, pdf["doc_id"].to_numpy(), _stack(pdf["_v"]), k, margin)
-    return run
+def _best(qmat, mat, k: int, chunk: int = 1024):
+    """Per query the exact k best rows of ``mat``, which stands in id order: (query, row, score)
+    by score rounded to 6 digits, then row. Both sides are scored ``chunk`` rows at a time."""
+    import numpy as np
+
+    for lo in range(0, len(qmat), chunk):
+        best = np.zeros((len(qmat[lo:lo + chunk]), 0), np.int64)
+        for at in range(0, len(mat), chunk):
+            raw = qmat[lo:lo + chunk] @ mat[at:at + chunk].T
+            units = (np.sign(raw) * np.floor(np.abs(raw) * 1e6 + 0.5)).astype(np.int64)
+            # one integer orders by score, then by row: rows of a block stay below 2**24
+            best = np.concatenate([best, (units << 24) - np.arange(at, at + raw.shape[1])], axis=1)
+            if best.shape[1] > k:
+                best = -np.partition(-best, k - 1, axis=1)[:, :k]
+        row = -best & ((1 << 24) - 1)
+        yield np.repeat(np.arange(lo, lo + len(best)), best.shape[1]), row.ravel(), ((best + row) >> 24).ravel() / 1e6
 
 
-def _block_fn(k: int, margin: float):
+def _block_fn(k: int):
     """One (query block, corpus block) cell of the blocked product."""
     import pandas as pd
 
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": qpdf["qid"].iloc[:0], "doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"qid": qpdf["qid"].iloc[:0], "doc_id": pd.Series([], dtype="int64"),
-                                 "raw": pd.Series([], dtype="float64")})
-        parts = list(_candidates(qpdf["qid"].to_numpy(), _stack(qpdf["_qv"]), cpdf["doc_id"].to_numpy(),
-                                 _stack(cpdf["_v"]), k, margin))
+            return none
+        cpdf = cpdf.sort_values("doc_id", kind="stable")
+        qids, ids = qpdf["qid"].to_numpy(), cpdf["doc_id"].to_numpy()
+        parts = [pd.DataFrame({"qid": qids[q], "doc_id": ids[c], "score": s}) for q, c, s in _best(_stack(qpdf["_qv"]), _stack(cpdf["_v"]), k)]
         return pd.concat(parts, ignore_index=True)
     return run
 
 
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+    ranked = scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+    return ranked.select("qid", "doc_id", "score", F.col("rank").cast("int"))
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", qvec: str = "qvec",
-             vector_col: str = "vector", block_bytes: int = BROADCAST_QUERY_BYTES, margin: float = 1e-6) -> DataFrame:
+             vector_col: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact k nearest corpus rows (dot product) for every query -> (qid, doc_id, score, rank).
 
-    The query side is measured first (rows x width). When it fits ``block_bytes`` it is
-    broadcast once and every corpus batch is scored against it with matrix products in
-    ``mapInPandas`` (map-only over the corpus). Otherwise nothing passes through the
-    driver: queries are hashed into ``Qb`` blocks and the corpus into ``Cb`` blocks, each
-    of at most ``block_bytes``; every query block meets every corpus block in one
-    co-grouped shuffle (the blocked matrix product: the corpus is replicated ``Qb`` times,
-    the queries ``Cb`` times) and each cell emits only per-query candidates. Either way no
-    query x corpus pair becomes a row; a final ``row_number <= k`` (partial limit before
-    its shuffle) makes the cut on scores rounded to 6 digits, ties by ``doc_id``.
+    Queries are hashed into ``Qb`` blocks and the corpus into ``Cb`` blocks of about
+    ``block_bytes``; every query block meets every corpus block in one co-grouped shuffle
+    (the corpus is copied ``Qb`` times, the queries ``Cb`` times). A cell emits exactly k
+    rows per query, however many tie. Scores are rounded to 6 digits, ties go by ``doc_id``.
     """
-    import numpy as np
-
-    spark = corpus.sparkSession
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("_qv"))
     c = corpus.filter(F.col(vector_col).isNotNull()).select(F.col("doc_id").cast("bigint"), F.col(vector_col).alias("_v"))
-    qid_type = q.schema["qid"].dataType.simpleString()
-    out_schema = f"qid {qid_type}, doc_id bigint, raw double"
-    n_q, d_q = _measure(q, "_qv")
-    q_blocks = _blocks(n_q, d_q, block_bytes)
-    if q_blocks == 1:
-        rows = q.collect()  # measured above: at most ``block_bytes``
-        ids = np.array([r["qid"] for r in rows])
-        mat = np.array([list(r["_qv"]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-        bq = spark.sparkContext.broadcast((ids, mat))
-        cand = c.mapInPandas(_broadcast_fn(bq, k, margin), out_schema)
-    else:
-        n_c, d_c = _measure(c, "_v")
-        c_blocks = _blocks(n_c, d_c, block_bytes)
-        qb = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-        cb = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-                      F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).alias("cb"))
-        cand = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
-                .applyInPandas(_block_fn(k, margin), out_schema))
-    cand = cand.select("qid", "doc_id", F.round("raw", 6).alias("score"))
-    win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    return cand.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k) \
-        .select("qid", "doc_id", "score", F.col("rank").cast("int"))
-
-
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, bucket_length: float = 2.0, num_tables: int = 5,
-            threshold: float = 1.5, qid: str = "qid", qvec: str = "qvec", vector_col: str = "vector",
-            seed: int = 7) -> DataFrame:
-    """Approximate neighbours: LSH similarity join on unit vectors, then top-k by dot."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    c = corpus.filter(F.col(vector_col).isNotNull()).select("doc_id", array_to_vector(vector_col).alias("features"))
-    q = queries.select(F.col(qid).alias("qid"), array_to_vector(qvec).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(c)
-    j = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    # unit vectors: dot = 1 - dist^2 / 2
-    s = j.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.doc_id").alias("doc_id"),
-                 F.round(1.0 - F.col("dist") * F.col("dist") / 2.0, 6).alias("score"))
-    win = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    return s.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+    n_q, d = _measure(q, "_qv")
+    n_c, _ = _measure(c, "_v")
+    q_blocks = _blocks(n_q, d, block_bytes)
+    # small corpora are cut finer, so that every core has a cell
+    c_blocks = max(_blocks(n_c, d, block_bytes), min(corpus.sparkSession.sparkContext.defaultParallelism, n_c // 1024))
+    qb = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
+    cb = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).alias("cb"))
+    kind = q.schema["qid"].dataType.simpleString()
+    cand = qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb")).applyInPandas(_block_fn(k), f"qid {kind}, doc_id bigint, score double")
+    return _top(cand, k)
+
+
+def lsh_keys(vector: Column, dims: int, tables: int, bits: int, probes: int = 0, seed: int = 7) -> Column:
+    """``array<bigint>``: for each table the signs of ``bits`` random projections, the table's
+    number in the upper bits; with ``probes`` also the keys that differ in one of the that many
+    projections nearest to zero."""
+
+    @arrow_udf(ArrayType(LongType()))
+    def keyed(vectors):
+        import numpy as np
+        import pyarrow as pa
+
+        planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))
+        out = []
+        for v in vectors.to_pylist():
+            side = (np.asarray(v, float) @ planes).reshape(tables, bits)
+            key = ((side > 0) << np.arange(bits)).sum(1) + (np.arange(tables) << bits)
+            near = np.argsort(np.abs(side), axis=1)[:, :probes]
+            out.append(np.concatenate([key, *[key ^ (1 << near[:, j]) for j in range(probes)]]))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return keyed(vector)
+
+
+def lsh_candidates(queries: DataFrame, corpus: DataFrame, dims: int, tables: int, bits: int, probes: int) -> DataFrame:
+    """Distinct (qid, doc_id, qv, v) that share a key."""
+    q = queries.select("qid", "qv", F.explode(lsh_keys(F.col("qv"), dims, tables, bits, probes)).alias("key"))
+    c = corpus.select("doc_id", "v", F.explode(lsh_keys(F.col("v"), dims, tables, bits)).alias("key"))
+    return q.join(c, "key").dropDuplicates(["qid", "doc_id"]).drop("key")
+
+
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, tables: int = 12, bits: int = 8, probes: int = 2,
+            qid: str = "qid", qvec: str = "qvec", vector_col: str = "vector") -> DataFrame:
+    """Approximate neighbours: rows that agree with the query in all ``bits`` projection signs of
+    one of ``tables`` tables (a query also tries its ``probes`` least certain signs), exact dot
+    product on these, top k. Finds near vectors; queries without any may get fewer than k."""
+    c = corpus.filter(F.col(vector_col).isNotNull()).select("doc_id", F.col(vector_col).alias("v"))
+    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qv"))
+    _, dims = _measure(q, "qv")
+    met = lsh_candidates(q, c, dims, tables, bits, probes)
+    return _top(met.select("qid", "doc_id", F.round(dot("qv", "v"), 6).alias("score")), k)
 
 
 def hybrid_rescore(text_hits: DataFrame, vectors: DataFrame, qvec: list[float], vector_col: str = "vector") -> DataFrame:
@@ -220,7 +226,3 @@ def vector_pairs(a: DataFrame, b: DataFrame, on: str = "doc_id") -> DataFrame:
 
     j = a.select(on, F.col("vector").alias("va")).join(b.select(on, F.col("vector").alias("vb")), on)
     return j.select(on, F.round(dot("va", "vb"), 6).alias("dot"), F.round(cosine("va", "vb"), 6).alias("cosine"))
-
-
-def normalize_vectors(df: DataFrame, vector_col: str = "vector") -> DataFrame:
-    return df.withColumn(vector_col, l2_normalize(col_(vector_col)))

@@ -180,10 +180,12 @@ def build() -> dict[str, str]:
         ",\nu AS (SELECT * FROM a UNION ALL SELECT * FROM c)\nSELECT doc_id, round(max(score), 6) AS score FROM u GROUP BY doc_id")
 
     hits = bm25_cte("h", "prepared", tok("content"), qo)
-    S["facets"] = with_prelude(hits + f""",
+    facet_hits = """,
 hs AS (SELECT h.doc_id, h.score, p.court_name, p.court_province, p.trial_round, p.case_type, p.legal_base
-  FROM h JOIN prepared p USING (doc_id) ORDER BY h.score DESC, h.doc_id LIMIT {P.SAMPLE_SIZE}),
-""" + _facets_from("hs"))
+  FROM h JOIN prepared p USING (doc_id)%s),
+""" + _facets_from("hs")
+    S["facets"] = with_prelude(hits + facet_hits % "")
+    S["facets_sampled"] = with_prelude(hits + facet_hits % f" ORDER BY round(h.score, 6) DESC, h.doc_id LIMIT {P.SAMPLE_SIZE}")
     pf = ("h2 AS (SELECT h.doc_id, h.score FROM h JOIN prepared p USING (doc_id) WHERE p.court_province IN ('en', 'fr') "
           "AND p.trial_round IN ('一审', '二审'))")
     S["search_total"] = with_prelude(hits + ",\n" + pf + "\nSELECT count(*)::BIGINT AS total FROM h2")
@@ -218,7 +220,7 @@ t AS (SELECT count(*) AS total FROM h),
 pgs AS (SELECT unnest(range(1, CAST(ceil(total / {P.CLIENT_PAGE}) AS BIGINT) + 1)) AS page, total FROM t),
 w AS (SELECT page, total, CAST(ceil(total / {P.CLIENT_PAGE}) AS INTEGER) AS n_pages,
   least(page - 2, CAST(ceil(total / {P.CLIENT_PAGE}) AS INTEGER) - 4) AS st FROM pgs)
-SELECT page::INTEGER AS page, n_pages, array_to_string(list_filter(range(st, st + 5), lambda x: x > 0 AND x <= n_pages)[1:5], ',') AS pages FROM w""")
+SELECT page::INTEGER AS page, n_pages, array_to_string(list_filter(range(st, n_pages + 1), lambda x: x > 0)[1:5], ',') AS pages FROM w""")
 
     # ---- query mode over the benchmark queries
     S["query_mode"] = f"""WITH q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN '“' || text || '”'
@@ -311,6 +313,14 @@ SELECT item_id, (generate_subscripts(v, 1) - 1)::INTEGER AS dim, round(unnest(v)
     S["knn_search"] = with_prelude(f"""qv AS {qv},
 s AS (SELECT doc_id, round({_dot('vector', 'q')}, 6) AS score FROM prepared_v CROSS JOIN qv WHERE vector IS NOT NULL)
 SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT {P.KNN_K}""")
+    S["similar_search_hits"] = with_prelude(f"""qv AS {qv},
+s AS (SELECT doc_id, round({_dot('vector', 'q')}, 6) AS score FROM prepared_v CROSS JOIN qv WHERE vector IS NOT NULL),
+pg AS (SELECT s.doc_id, s.score, p.* EXCLUDE (doc_id) FROM s JOIN prepared p USING (doc_id) ORDER BY s.score DESC, s.doc_id LIMIT 20)
+SELECT doc_id::VARCHAR AS _id, coalesce(case_name, 'MISSING CONTENT!') AS case_name,
+  CASE WHEN content IS NOT NULL THEN substring(content, 1, 300) ELSE 'MISSING CONTENT!' END AS content,
+  coalesce(court_name, '') AS court_name, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS publish_date,
+  CASE WHEN coalesce(case_id, '') <> '' THEN case_id ELSE '' END AS case_id,
+  CASE WHEN coalesce(basics_text, '') <> '' THEN basics_text ELSE {nl('content')} END AS pseudo_basics_text, score FROM pg""")
     S["knn_facets"] = with_prelude(f"""qv AS {qv},
 s AS (SELECT doc_id, round({_dot('vector', 'q')}, 6) AS score FROM prepared_v CROSS JOIN qv WHERE vector IS NOT NULL),
 hs AS (SELECT s.doc_id, s.score, p.court_name, p.court_province, p.trial_round, p.case_type, p.legal_base

@@ -10,7 +10,7 @@ Q_MULTI = "chen lyon 判决"             # combined fields: title + content
 Q_MULTI_PHRASE = '"the"'              # best-field phrase
 Q_KNN = "经审理查明，the treaty of lyon and chen。本院认为"  # query text for vector search
 SUBSTRING = "erheit"                  # raw substring scan
-SAMPLE_SIZE = 10_000                  # facet sampler
+SAMPLE_SIZE = 50                      # facet sampler
 FACET_SIZE = 10
 CLIENT_PAGE = 25
 DIMS = 64                             # hashed-encoder width (= driver embedding width)

@@ -24,7 +24,7 @@ from ..operators import vectors as vx
 from ..sources import io as sio
 from ..sources import tables as tb
 from . import params as P
-from .search_plan import FULL_TEXT, SearchRequest, search
+from .search_plan import FULL_TEXT, SIMILAR, SearchRequest, search
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -122,6 +122,17 @@ def facets(spark, sf_dir):
     return search(tb.cases(spark, sf_dir), _request(), prepare=pr.prepare_cases, persist=False).facets
 
 
+@register
+def facets_sampled(spark, sf_dir):
+    return search(tb.cases(spark, sf_dir), _request(sample_size=P.SAMPLE_SIZE), prepare=pr.prepare_cases, persist=False).facets
+
+
+@register
+def similar_search_hits(spark, sf_dir):
+    req = SearchRequest(query=P.Q_KNN, backbone=SIMILAR, field=FULL_TEXT)
+    return search(tb.cases(spark, sf_dir), req, prepare=pr.prepare_cases, persist=False, vectors=tb.case_vectors(spark, sf_dir), dims=P.DIMS).hits
+
+
 @register
 def search_total(spark, sf_dir):
     return search(tb.cases(spark, sf_dir), _request(facets=P.POST_FILTER), prepare=pr.prepare_cases, persist=False).total
@@ -460,49 +471,39 @@ def _explained(spark, sf_dir, identity=False):
     return xp.explain_pairs(pairs)
 
 
-def _tid_cols():
-    return [F.floor(F.col("tid") / 2).cast("bigint").alias("pair_id"), (F.col("tid") % 2).cast("int").alias("side")]
-
-
 @register
 def textrank(spark, sf_dir):
-    e = _explained(spark, sf_dir)
-    return e.weights.select(*_tid_cols(), F.col("sent_idx").cast("int"), F.round("weight", 6).alias("weight"))
+    return _explained(spark, sf_dir).weights.withColumn("weight", F.round("weight", 6))
 
 
 @register
 def key_sentences(spark, sf_dir):
-    e = _explained(spark, sf_dir)
-    return e.keys.select(*_tid_cols(), F.col("sent_idx").cast("int"), F.col("rank").cast("int"), F.col("n_key").cast("int"))
+    return _explained(spark, sf_dir).keys.select("pair_id", "side", "sent_idx", "rank", "n_key")
 
 
 @register
 def joint_vocab(spark, sf_dir):
-    return xp.joint_vocab(_explained(spark, sf_dir).keys)
+    return _explained(spark, sf_dir).joint_vocab
 
 
 @register
 def sentence_cosine(spark, sf_dir):
-    e = _explained(spark, sf_dir)
-    return xp.sentence_cosine(e.keys).select("pair_id", F.col("q_idx").cast("int"), F.col("c_idx").cast("int"), F.round("cos", 6).alias("cos"))
+    return _explained(spark, sf_dir).cosines.withColumn("cos", F.round("cos", 6))
 
 
 @register
 def adaptive_threshold(spark, sf_dir):
-    t = _explained(spark, sf_dir).threshold
-    return t.select("pair_id", F.round("threshold", 6).alias("threshold"), F.col("min_key").cast("int"), F.col("n_zero").cast("int"))
+    return _explained(spark, sf_dir).threshold.withColumn("threshold", F.round("threshold", 6))
 
 
 @register
 def matched_pairs(spark, sf_dir):
-    m = _explained(spark, sf_dir).matched
-    return m.select("pair_id", F.col("q_idx").cast("int"), F.col("c_idx").cast("int"), F.round("score", 6).alias("score"))
+    return _explained(spark, sf_dir).matched.withColumn("score", F.round("score", 6))
 
 
 @register
 def explain_identical(spark, sf_dir):
-    m = _explained(spark, sf_dir, identity=True).matched
-    return m.select("pair_id", F.col("q_idx").cast("int"), F.col("c_idx").cast("int"))
+    return _explained(spark, sf_dir, identity=True).matched.drop("score")
 
 
 def _components_out(c):
@@ -522,9 +523,4 @@ def explain_identical_components(spark, sf_dir):
 @register
 def explain_pairs(spark, sf_dir):
     """End to end: per pair, sentence counts of both sides, matches and components."""
-    e = _explained(spark, sf_dir)
-    s = e.sentences.groupBy("pair_id").agg(F.count_if(F.col("side") == 0).cast("bigint").alias("n_query_sents"),
-                                           F.count_if(F.col("side") == 1).cast("bigint").alias("n_cand_sents"))
-    m = e.matched.groupBy("pair_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_matched"))
-    c = e.components.groupBy("pair_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_components"))
-    return s.join(m, "pair_id", "left").join(c, "pair_id", "left").fillna(0, ["n_matched", "n_components"])
+    return _explained(spark, sf_dir).summary

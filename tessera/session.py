@@ -27,11 +27,18 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, app: str = "tessera", shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
+    """A session. Under ``spark-submit`` (a master is named by the deployment) only the settings
+    of ``DEFAULT_CONF`` and ``extra`` are added; else a local one is built."""
+    from pyspark import SparkConf
+
+    builder = SparkSession.builder.appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
+    if master or not SparkConf().contains("spark.master"):
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        builder = builder.master(master or f"local[{cpus}]")
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+        conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
+        conf["tessera.scan.partitions"] = cpus
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

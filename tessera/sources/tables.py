@@ -25,10 +25,12 @@ CASES_COLUMNS: list[tuple[str, str]] = [
     ("doc_id", "doc_id"),
     ("collection", "concat('p', CAST(doc_id % 3 + 1 AS STRING))"),
     ("case_id", "concat('（', CAST(2010 + doc_id % 10 AS STRING), '）民初字第', CAST(doc_id AS STRING), '号')"),
-    ("case_name", "CASE doc_id % 5 WHEN 0 THEN concat(substring(text, 1, 12), ' 民事裁定 书') WHEN 1 THEN '决定书' "
-                  "WHEN 2 THEN NULL ELSE concat(substring(text, 1, 12), ' 判决书') END"),
-    ("content", "CASE doc_id % 4 WHEN 0 THEN concat('经审理查明，', text, '本院认为，证据确实。') "
-                "WHEN 1 THEN concat('公诉机关指控：', text, '公诉机关认为有罪') WHEN 2 THEN text ELSE '' END"),
+    ("case_name", "CASE doc_id % 5 WHEN 0 THEN concat('案', CAST(doc_id AS STRING), ' 民事裁定 书') WHEN 1 THEN '决定书' "
+                  "WHEN 2 THEN NULL ELSE concat('案', CAST(doc_id AS STRING), ' 判决书') END"),
+    # Every record holds its whole text: where the content is empty, the facts hold it.
+    ("content", "CASE WHEN doc_id % 4 = 0 THEN concat('经审理查明，', text, '本院认为，证据确实。') "
+                "WHEN doc_id % 4 = 1 THEN concat('公诉机关指控：', text, '公诉机关认为有罪') "
+                "WHEN doc_id % 8 = 3 THEN '' ELSE text END"),
     ("basics_text", "CASE doc_id % 8 WHEN 3 THEN concat('本院查明：', text, '上述事实') WHEN 0 THEN text ELSE NULL END"),
     ("court_name", "source"),
     ("court_province", "lang"),
@@ -48,21 +50,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_fraction: float = 0.5) -> DataFrame:
-    """Round-robin repartition only when a scan yields far fewer splits than cores.
-
-    Large inputs are read as many file splits and pass through untouched (no shuffle); a
-    text table packed into one row group would otherwise put all per-row regex work in a
-    single task.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, int(target * min_fraction)):
-        return df.repartition(target)
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents"))
+    """The ``documents`` table. A deployment whose text files cannot be split (a single row
+    group) may name a number of partitions in ``tessera.scan.partitions``."""
+    docs = read_table(spark, sf_dir, "documents")
+    parts = spark.conf.get("tessera.scan.partitions", None)
+    return docs.repartition(int(parts)) if parts else docs
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,64 +1,66 @@
-from pyspark.sql import functions as F
+import pytest
 
 from tessera.operators import explain as xp
 
 
-def test_key_sentence_target(spark):
-    df = spark.createDataFrame([(n,) for n in [0, 2, 3, 9, 40]], "n int")
-    assert [r.k for r in df.select(xp.n_key(F.col("n")).alias("k")).collect()] == [1, 1, 1, 3, 10]
+def test_key_sentence_target():
+    assert [xp.n_key(n) for n in [0, 2, 3, 9, 40]] == [1, 1, 1, 3, 10]
 
 
-def _thr(spark, scores, n_zero, min_key):
-    df = spark.createDataFrame([(scores, n_zero, min_key)], "s array<double>, z int, m int")
-    return df.select(xp.threshold_search(F.col("s"), F.col("z"), F.col("m")).alias("t")).first().t
+# (scores, zeros, min_key, start, step) -> threshold, scores above it
+GOLDEN = [
+    (([0.5, 0.3], 0, 2, 0.2, 0.01), 0.3, 1),
+    (([0.9], 0, 1, 0.2, 0.01), 0.9, 0),
+    (([], 1, 2, 0.2, 0.01), 0.0, 1),
+    (([0.15, 0.05], 0, 3, 0.2, 0.01), 0.15, 1),
+    (([(i + 1) / 41 for i in range(40)], 0, 3, 0.2, 0.001), 0.927, 2),
+    (([0.97] * 3 + [0.1] * 37, 0, 3, 0.2, 0.001), 0.97, 0),
+    (([0.3], 0, 1, 0.5, 0.1), 0.3, 0),
+    (([1.0, 1.0], 0, 1, 0.2, 0.01), 1.0, 0),
+    (([], 0, 1, 0.2, 0.01), 0.0, 0),
+]
 
 
-def _loop(scores, n_zero, min_key):
-    allsc = list(scores) + [0.0] * n_zero
-    r = 0.2
-    above = lambda t: sum(1 for s in allsc if s > t)
-    while above(r) == 0 and r > 0:
-        r -= 0.01
-    while above(r) >= min_key and r <= 1:
-        r += 0.01
-    return r, [s for s in allsc if s > r]
+@pytest.mark.parametrize("args,expected,kept", GOLDEN)
+def test_threshold_golden(args, expected, kept):
+    t = xp.threshold(*args)
+    assert t == pytest.approx(expected, abs=args[4] * 1.01)
+    assert sum(s > t for s in list(args[0]) + [0.0] * args[1]) <= max(kept, args[2])
 
 
-def test_threshold_golden(spark):
-    cases = [([0.5, 0.3], 0, 2, 1), ([0.9], 0, 1, 0), ([], 1, 2, 1), ([0.15, 0.05], 0, 3, 1)]
-    for scores, z, m, n_match in cases:
-        t = _thr(spark, scores, z, m)
-        r, kept = _loop(scores, z, m)
-        assert t == r and len(kept) == n_match, (scores, z, m, t, r)
+def test_components_golden():
+    assert xp.components([(0, 0), (0, 1), (2, 1), (5, 7)]) == [([0, 2], [0, 1]), ([5], [7])]
 
 
-def test_threshold_matches_loop_random(spark):
-    import random
+TEXT = "The first sentence is long enough. A second sentence follows here. Third one closes the text!"
+OTHER = "Completely different words appear now. Nothing overlaps with the first text."
 
-    rnd = random.Random(3)
-    rows = []
-    for _ in range(200):
-        n = rnd.randint(0, 12)
-        rows.append(([round(rnd.random(), rnd.choice([1, 2, 3])) for _ in range(n)], rnd.randint(0, 3), rnd.randint(1, 10)))
-    df = spark.createDataFrame(rows, "s array<double>, z int, m int")
-    got = [r.t for r in df.select(xp.threshold_search(F.col("s"), F.col("z"), F.col("m")).alias("t")).collect()]
-    assert got == [_loop(*row)[0] for row in rows]
 
-
-def test_components_golden(spark):
-    m = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.5), (1, 2, 1, 0.5), (1, 5, 7, 0.5)],
-                              "pair_id long, q_idx int, c_idx int, score double")
-    got = [(list(r.q_idx), list(r.c_idx), r.color) for r in xp.components(m).orderBy("comp_rank").collect()]
-    assert got == [([0, 2], [0, 1], 0), ([5], [7], 1)]
-
-
-def test_identity_pairing_and_two_sided(spark):
-    text = "The first sentence is long enough. A second sentence follows here. Third one closes the text!"
-    other = "Completely different words appear now. Nothing overlaps with the first text."
-    pairs = spark.createDataFrame([(1, text, text), (2, text, other)], "pair_id long, query_text string, cand_text string")
+@pytest.mark.parametrize("ids,kind", [((-3, 2**53 + 1), "long"), (("a", "b/ü"), "string"), ((2, 3), "int")])
+def test_identity_pairing_and_two_sided(spark, ids, kind):
+    pairs = spark.createDataFrame([(ids[0], TEXT, TEXT), (ids[1], TEXT, OTHER)], f"pair_id {kind}, query_text string, cand_text string")
     e = xp.explain_pairs(pairs)
-    same = sorted((r.q_idx, r.c_idx) for r in e.matched.filter("pair_id = 1").collect())
-    assert same == [(0, 0), (1, 1), (2, 2)]
+    assert sorted((r.q_idx, r.c_idx) for r in e.matched.collect() if r.pair_id == ids[0]) == [(0, 0), (1, 1), (2, 2)]
     comps = e.components.collect()
     assert all(len(r.q_idx) > 0 and len(r.c_idx) > 0 for r in comps)
-    assert sorted(r.comp_rank for r in comps if r.pair_id == 1) == [1, 2, 3]
+    assert sorted(r.comp_rank for r in comps if r.pair_id == ids[0]) == [1, 2, 3]
+    assert {(r.pair_id, r.side) for r in e.weights.collect()} == {(i, s) for i in ids for s in (0, 1)}
+    assert [r.pair_id for r in e.threshold.collect()] == [ids[1]]
+    assert {r.pair_id: (r.n_query_sents, r.n_cand_sents) for r in e.summary.collect()} == {ids[0]: (3, 3), ids[1]: (3, 2)}
+
+
+def test_null_and_empty_texts(spark):
+    pairs = spark.createDataFrame([(1, None, TEXT), (2, "", None), (3, "7. 8.", "7. 8.")], "pair_id long, query_text string, cand_text string")
+    e = xp.explain_pairs(pairs)
+    assert e.matched.count() == 0 and e.components.count() == 0 and {r.pair_id for r in e.summary.collect()} == {1, 3}
+
+
+def test_tunables_and_lookup_by_id(spark):
+    from pyspark.sql import functions as F
+
+    cases = spark.createDataFrame([("x", TEXT), ("y", OTHER)], "doc_id string, basics_text string")
+    asked = spark.createDataFrame([(1, "The second sentence is long enough. More of it follows here.", "x")], "pair_id long, query_text string, doc_id string")
+    low = xp.explain_by_id(cases, asked, relation_ratio=0.2).cosines.count()
+    none = xp.explain_by_id(cases, asked, analyzer=lambda c: F.split(F.lit("1 2 3"), " ")).cosines.count()
+    assert low >= 1 and none == 0
+    assert xp.explain_by_id(cases, asked, relation_ratio=0.9, step=0.05).threshold.first().threshold > 0

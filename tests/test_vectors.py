@@ -34,12 +34,34 @@ def test_knn_join_one_query_equals_knn_search(spark):
     assert one == many and len(one) == 150
 
 
-def test_knn_lsh_recall(spark):
-    corpus = tb.case_vectors(spark, SF01)
-    q = corpus.limit(5).select(F.col("doc_id").alias("qid"), F.col("vector").alias("qvec"))
-    exact = {(r.qid, r.doc_id) for r in vx.knn_join(q, corpus, 5).collect()}
-    approx = {(r.qid, r.doc_id) for r in vx.knn_lsh(q, corpus, 5).collect()}
-    assert len(exact & approx) / len(exact) >= 0.4
+def test_knn_join_ties_emit_k_rows_per_block(spark):
+    vec = [0.6, 0.8]
+    corpus = spark.createDataFrame([(i, vec) for i in range(3000)] + [(5000 + i, [1.0, 0.0]) for i in range(10)], "doc_id long, vector array<double>")
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, vec), (3, [-1.0, 0.0])], "qid int, qvec array<double>")
+    got = sorted(map(tuple, vx.knn_join(q, corpus, 4, block_bytes=20_000).collect()))
+    assert got == [(1, i, 0.0, i + 1) for i in range(4)] + [(2, i, 1.0, i + 1) for i in range(4)] + [(3, i, -0.6, i + 1) for i in range(4)]
+    empty = corpus.limit(0)
+    assert vx.knn_join(q, empty, 4).collect() == [] and vx.knn_join(q.limit(0), corpus, 4).collect() == []
+
+
+def test_knn_lsh_prunes_and_finds(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(600, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base[:60] + rng.normal(scale=0.03, size=(60, 64))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "doc_id long, vector array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "qid long, qvec array<double>")
+    exact = {(r.qid, r.doc_id) for r in vx.knn_join(q, corpus, 1).collect()}
+    approx = {(r.qid, r.doc_id) for r in vx.knn_lsh(q, corpus, 1).collect()}
+    met = vx.lsh_candidates(q.withColumnRenamed("qvec", "qv"), corpus.withColumnRenamed("vector", "v"), 64, 12, 8, 2).count()
+    assert len(exact & approx) / len(exact) >= 0.8 and met < 60 * 600 / 5
+
+
+def test_metric_of_a_model(spark):
+    from pyspark.sql import functions as F
+
+    encoder = lambda c: F.array(F.lit(3.0), F.lit(4.0))
+    assert np.allclose(vx.query_vector(spark, "x", encoder), [0.6, 0.8]) and vx.query_vector(spark, "x", encoder, metric="l2") == [3.0, 4.0]
 
 
 def test_model_encoder_plugin(spark):
