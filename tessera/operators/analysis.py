@@ -4,8 +4,8 @@ bag of words.
 Postings are the inverted index: ``(term, doc_id, tf, positions, dl)``. Building them is
 one explode + one aggregation keyed by ``(term, doc_id)``; because a document lives in
 one row, the map-side partial aggregate already collapses each document's tokens, so the
-shuffle carries one row per distinct (term, doc) pair. ``write_postings`` stores them
-partitioned by a hash of the term so a query reads only the buckets of its terms.
+shuffle carries one row per distinct (term, doc) pair. ``write_postings`` stores them in term
+order so a query reads only the row groups of its terms.
 """
 
 from __future__ import annotations
@@ -29,18 +29,21 @@ def postings(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> Data
             .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl")))
 
 
-def write_postings(p: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Persist postings partitioned by ``term_bucket`` (hash of term), sorted by term."""
-    (p.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-     .repartition("term_bucket").sortWithinPartitions("term", "doc_id")
-     .write.mode(mode).partitionBy("term_bucket").parquet(path))
+def by_term(p: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Postings range-partitioned and sorted by (term, doc_id): files hold ranges of terms, so
+    Parquet statistics prune a term filter to a few files and row groups, and the posting list
+    of a very common term is cut into several files."""
+    ranged = p.repartitionByRange(partitions, "term", "doc_id") if partitions else p.repartitionByRange("term", "doc_id")
+    return ranged.sortWithinPartitions("term", "doc_id")
 
 
-def read_postings_for(spark, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
-    """Read only the partitions holding ``terms`` (partition pruning + pushed filter)."""
-    ids = sorted({int(r[0]) for r in spark.createDataFrame([(t,) for t in terms], "term string")
-                  .select(F.pmod(F.xxhash64("term"), F.lit(buckets))).collect()})
-    return spark.read.parquet(path).filter(F.col("term_bucket").isin(ids) & F.col("term").isin(terms))
+def write_postings(p: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
+    by_term(p, partitions).write.mode(mode).parquet(path)
+
+
+def read_postings_for(spark, path: str, terms: list[str]) -> DataFrame:
+    """Postings of ``terms``; the filter is pushed into the scan."""
+    return spark.read.parquet(path).filter(F.col("term").isin(list(terms)))
 
 
 def term_stats(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:

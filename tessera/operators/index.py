@@ -1,13 +1,14 @@
 """Persisted inverted index: build once, query many times without scanning the corpus.
 
-Layout under ``path``:
-  ``postings/term_bucket=<b>/``  rows ``(term, doc_id, tf, positions, dl)``, files sorted by
-                                 term so Parquet min/max statistics skip row groups;
-  ``stats/``                     one row ``(n_docs, total_len)`` of the indexed field.
-
-A query resolves its terms' buckets, reads only those partitions with the term filter
-pushed into the scan, and aggregates the matching postings per document: one shuffle
-keyed by ``doc_id`` over matching postings only.
+Layout under ``path/<field>/``:
+  ``postings``  rows ``(term, doc_id, tf, positions, dl)`` in (term, doc_id) order, so a term
+                filter reads few row groups and a very common term spans several files; every
+                document also has a row under the empty term, which the analyzer never makes;
+  ``terms``     ``(term, df)`` in term order;
+  ``stats``     one row ``(n_docs, total_len)``.
+
+A query reads the df of its own terms (a handful of rows), then their postings with the filter
+pushed into the scan, and aggregates them per document: one shuffle over matching postings.
 """
 
 from __future__ import annotations
@@ -18,40 +19,93 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .analysis import postings, read_postings_for, write_postings
-from .search import B, K1, analyze_query
-
-DEFAULT_BUCKETS = 64
-
-
-def build_index(docs: DataFrame, text_col: str, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    p = postings(docs, text_col)
-    write_postings(p, f"{path}/postings", buckets)
-    t = docs.select(F.size(tokenize(text_col)).alias("dl"))
-    (t.agg(F.count_if(F.col("dl") > 0).cast("bigint").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_len"))
-     .coalesce(1).write.mode("overwrite").parquet(f"{path}/stats"))
-
-
-def indexed_keyword_search(spark: SparkSession, path: str, query: str, mode: str = "or",
-                           buckets: int = DEFAULT_BUCKETS, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 ``match`` against a built index -> ``(doc_id, score)`` (same scores as
-    ``search.keyword_search`` on the indexed field)."""
-    terms = analyze_query(spark, query)
-    qtf = Counter(terms)
-    uniq = list(qtf)
-    if not uniq:
-        return spark.createDataFrame([], "doc_id bigint, score double")
-    qt = spark.createDataFrame([(t, n) for t, n in qtf.items()], "term string, qtf int")
-    p = read_postings_for(spark, f"{path}/postings", uniq, buckets).select("term", "doc_id", "tf", "dl")
-    st = spark.read.parquet(f"{path}/stats").first()
-    n_docs = float(st["n_docs"])
-    avgdl = st["total_len"] / st["n_docs"] if st["n_docs"] else 0.0
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # the df and query-term tables hold one row per query term: broadcast is bounded
-    w = (p.join(F.broadcast(df), "term").join(F.broadcast(qt), "term")
-         .withColumn("s", F.col("qtf") * F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                     * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(avgdl)))))
-    g = w.groupBy("doc_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("n_terms"))
-    if mode == "and":
-        g = g.filter(F.col("n_terms") == len(uniq))
-    return g.select("doc_id", "score")
+from .analysis import read_postings_for, write_postings
+from .search import B, K1, CorpusStats, _tf_norm, analyze_query, bm25_idf, query_mode
+
+FIELDS = ("content", "basics_text")
+
+
+def build_index(docs: DataFrame, path: str, fields=FIELDS, partitions: int | None = None) -> None:
+    """Index the text ``fields`` of ``docs`` (doc_id, fields...); one pass over the corpus each."""
+    spark = docs.sparkSession
+    for field in fields:
+        at = f"{path.rstrip('/')}/{field}"
+        head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("term")))
+        tok = docs.select("doc_id", tokenize(field).alias("_t")).withColumn("dl", F.size("_t"))
+        rows = tok.select("doc_id", "dl", F.explode(F.concat(head, F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))))).alias("x"))
+        p = (rows.select("doc_id", "dl", "x.pos", "x.term").groupBy("term", "doc_id")
+             .agg(F.count_if(F.col("pos") >= 0).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl")))
+        write_postings(p, f"{at}/postings", partitions=partitions)
+        written = spark.read.parquet(f"{at}/postings")
+        terms = written.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        (terms.repartitionByRange(partitions, "term") if partitions else terms.repartitionByRange("term")).sortWithinPartitions(
+            "term").write.mode("overwrite").parquet(f"{at}/terms")
+        stats = written.filter("term = ''").agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_len"))
+        stats.write.mode("overwrite").parquet(f"{at}/stats")
+
+
+def stored_stats(spark: SparkSession, path: str, field: str, terms: list[str]) -> CorpusStats:
+    """Corpus size, total length and the df of the query's terms."""
+    at = f"{path.rstrip('/')}/{field}"
+    row = spark.read.parquet(f"{at}/stats").first()
+    df = {r["term"]: r["df"] for r in spark.read.parquet(f"{at}/terms").filter(F.col("term").isin(terms)).collect()}
+    return CorpusStats(row["n_docs"], row["total_len"], {t: df.get(t, 0) for t in terms})
+
+
+def _lookup(spark: SparkSession, path: str, field: str, query: str):
+    """(tokens, distinct tokens, their postings, statistics) of a query, or None without tokens."""
+    tokens = analyze_query(spark, query)
+    if not tokens:
+        return None
+    distinct = list(dict.fromkeys(tokens))
+    return tokens, distinct, read_postings_for(spark, f"{path.rstrip('/')}/{field}/postings", distinct), stored_stats(spark, path, field, distinct)
+
+
+def _nothing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "doc_id bigint, score double")
+
+
+def _by_term(values: dict) -> F.Column:
+    """Value of the ``term`` column among a query's few terms."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("term"))
+
+
+def indexed_keyword_search(spark: SparkSession, path: str, query: str, field: str = "content", mode: str = "or",
+                           k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 ``match`` -> ``(doc_id, score)``, the scores of ``search.keyword_search``."""
+    found = _lookup(spark, path, field, query)
+    if found is None:
+        return _nothing(spark)
+    tokens, distinct, postings, stats = found
+    weight = {t: n * bm25_idf(stats.n_docs, stats.df[t]) for t, n in Counter(tokens).items()}
+    part = _by_term(weight) * _tf_norm(F.col("tf").cast("double"), F.col("dl"), stats.avgdl, k1, b)
+    g = postings.select("doc_id", part.alias("s")).groupBy("doc_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("n"))
+    return (g.filter(F.col("n") == len(distinct)) if mode == "and" else g).select("doc_id", "score")
+
+
+def indexed_phrase_search(spark: SparkSession, path: str, query: str, field: str = "content", k1: float = K1, b: float = B) -> DataFrame:
+    """``match_phrase`` -> ``(doc_id, score)``, the scores of ``search.phrase_search``: a phrase
+    starts where every token's positions, moved back by its place, agree."""
+    found = _lookup(spark, path, field, query)
+    if found is None:
+        return _nothing(spark)
+    tokens, distinct, postings, stats = found
+    held = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(distinct)]
+    docs = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("n"), *held).filter(F.col("n") == len(distinct))
+
+    def starts(place: int, token: str):
+        return F.transform(f"p{distinct.index(token)}", lambda x: x - place)
+
+    begin = starts(0, tokens[0])
+    for place, token in enumerate(tokens[1:], 1):
+        begin = F.array_intersect(begin, starts(place, token))
+    idf = sum(bm25_idf(stats.n_docs, stats.df[t]) for t in tokens)
+    pf = docs.select("doc_id", "dl", F.size(begin).cast("double").alias("pf")).filter("pf > 0")
+    return pf.select("doc_id", (F.lit(idf) * _tf_norm(F.col("pf"), F.col("dl"), stats.avgdl, k1, b)).alias("score"))
+
+
+def indexed_search(spark: SparkSession, path: str, query: str, field: str = "content") -> DataFrame:
+    """Quoted query -> phrase search, else OR-match."""
+    if query_mode(query) == "phrase":
+        return indexed_phrase_search(spark, path, query, field)
+    return indexed_keyword_search(spark, path, query, field)

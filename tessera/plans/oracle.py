@@ -169,6 +169,8 @@ def build() -> dict[str, str]:
                                       "\nSELECT doc_id, round(score, 6) AS score FROM h")
     S["facts_search"] = with_prelude(bm25_cte("h", "prepared", tok("basics_text"), qo) +
                                      "\nSELECT doc_id, round(score, 6) AS score FROM h ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
+    for scan in ("keyword_search", "phrase_search", "facts_search"):
+        S[f"indexed_{scan}"] = S[scan]
     S["title_phrase"] = with_prelude(phrase_cte("h", "prepared", tok("case_name"), P.Q_TITLE) +
                                      "\nSELECT doc_id, round(score, 6) AS score FROM h")
     S["multi_field_search"] = with_prelude(

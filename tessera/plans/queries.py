@@ -6,6 +6,7 @@ preparation) and runs over whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ from ..functions.text import preview, strip_newlines
 from ..functions.vectors import l2_norm, l2_normalize
 from ..operators import analysis as an
 from ..operators import facets as fc
+from ..operators import index as ix
 from ..operators import prep as pr
 from ..operators import search as se
 from ..operators import shape as sh
 from ..operators import vectors as vx
+from ..session import ensure_checkpoint_dir
 from ..sources import io as sio
 from ..sources import tables as tb
 from . import params as P
@@ -93,6 +96,35 @@ def multi_field_phrase(spark, sf_dir):
     return h.select("doc_id", F.round("score", 6).alias("score"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def case_index(spark, sf_dir):
+    """Index of the prepared cases, built once per application in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/case-index-{uuid.uuid4().hex}"
+        ix.build_index(prepared(spark, sf_dir).select("doc_id", *ix.FIELDS), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+@register
+def indexed_keyword_search(spark, sf_dir):
+    return se.top_k(ix.indexed_search(spark, case_index(spark, sf_dir), P.Q_OR), 20)
+
+
+@register
+def indexed_phrase_search(spark, sf_dir):
+    h = ix.indexed_search(spark, case_index(spark, sf_dir), P.Q_PHRASE)
+    return h.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register
+def indexed_facts_search(spark, sf_dir):
+    return se.top_k(ix.indexed_search(spark, case_index(spark, sf_dir), P.Q_OR, se.field_for("仅案情")), 20)
+
+
 @register
 def query_mode(spark, sf_dir):
     bench = tb.read_table(spark, sf_dir, "benchmark")
@@ -318,7 +350,7 @@ def prep_stats(spark, sf_dir):
 
 @register
 def line_range(spark, sf_dir):
-    docs = tb.read_table(spark, sf_dir, "documents").select("doc_id")
+    docs = tb.read_table(spark, sf_dir, "documents")
     return sio.line_range(docs, P.LINE_START, 0).select(F.col("line_no"), "doc_id")
 
 

@@ -1,9 +1,8 @@
 """Scans and sinks: line-JSON records, line ranges, fixed-width float32 vectors, stop-word
 files, document loads and deletes.
 
-Line ordinals are computed per partition plus a partition offset (see
-``with_line_numbers``) rather than with a global window, which would pull every row into
-one partition.
+Line ordinals are per file: position in its split plus the lengths of the file's earlier
+splits (see ``with_line_numbers``); no window runs over the rows.
 """
 
 from __future__ import annotations
@@ -25,27 +24,39 @@ def read_case_lines(spark: SparkSession, path: str, schema: T.StructType = CASE_
             .json(path))
 
 
-def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
-    """Append a 0-based ordinal in scan order without leaving the JVM.
+def split_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, malformed lines) of a scan with a ``_corrupt`` column; the records lose it."""
+    return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt"), raw.filter(F.col("_corrupt").isNotNull())
+
+
+def with_file_position(df: DataFrame) -> DataFrame:
+    """Columns ``_file``, ``_split`` and ``_row`` of a file scan: file, first byte of the split and
+    an ascending number within it."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+                     F.monotonically_increasing_id().alias("_row"))
 
-    ``monotonically_increasing_id`` is consecutive inside a partition and carries the
-    partition index in its upper bits; one small aggregate gives the row count of every
-    partition (one row per partition), a running sum over those counts gives each
-    partition's offset, and a broadcast join on the partition index adds it back. This is
-    what ``zipWithIndex`` does, minus the round trip of every row through Python. The
-    scan must be deterministic (file splits are).
-    """
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(col, (F.col("_off") + F.col("_mid") - F.col("_base")).cast("bigint")).drop("_pid", "_mid", "_base", "_off")
 
+def with_line_numbers(df: DataFrame, col: str = "line_no", keep_file: bool = False) -> DataFrame:
+    """Append the 0-based line ordinal within its file without leaving the JVM.
 
-def line_range(df: DataFrame, start: int = 0, end: int = 0, col: str = "line_no") -> DataFrame:
-    """Rows with ordinal in ``[start, end)``; ``end == 0`` means unbounded."""
-    n = with_line_numbers(df, col)
+    Rows of a split are consecutive in scan order, so ``monotonically_increasing_id`` counts
+    them; one aggregate gives each split's length and first number (one row per split), a
+    running sum per file its offset. ``df`` is a file scan (it needs ``_metadata``), possibly
+    with projections and with position columns of ``with_file_position``.
+    """
+    tagged = df if "_split" in df.columns else with_file_position(df)
+    splits = tagged.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_base"))
+    w = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_split", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # one row per file split (at most one per some 100 MB of input)
+    out = tagged.join(F.broadcast(offsets), ["_file", "_split"])
+    out = out.withColumn(col, (F.col("_off") + F.col("_row") - F.col("_base")).cast("bigint")).drop("_split", "_row", "_base", "_off")
+    return out if keep_file else out.drop("_file")
+
+
+def line_range(df: DataFrame, start: int = 0, end: int = 0, col: str = "line_no", keep_file: bool = False) -> DataFrame:
+    """Rows whose ordinal in their file lies in ``[start, end)``; ``end == 0`` means unbounded."""
+    n = with_line_numbers(df, col, keep_file)
     cond = F.col(col) >= start
     if end > 0:
         cond = cond & (F.col(col) < end)
@@ -53,6 +64,7 @@ def line_range(df: DataFrame, start: int = 0, end: int = 0, col: str = "line_no"
 
 
 def line_lookup(df: DataFrame, k: int, col: str = "line_no") -> DataFrame:
+    """Line ``k`` of every file."""
     return with_line_numbers(df, col).filter(F.col(col) == k)
 
 
@@ -66,27 +78,35 @@ def read_vectors_binary(spark: SparkSession, path: str, dims: int, key: str = "o
     return spark.createDataFrame(rdd, schema)
 
 
-def write_vectors(df: DataFrame, path: str, key: str = "doc_id", mode: str = "overwrite") -> None:
+def partition_path(spark: SparkSession, path: str, column: str, value: str) -> str:
+    """Directory of a partition value, escaped as Spark's own writer does."""
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    return f"{path.rstrip('/')}/{column}={escaped}"
+
+
+def write_collection(df: DataFrame, path: str, collection: str, fmt: str = "parquet") -> None:
+    """Replace one collection of a table partitioned by ``collection``; a rerun leaves the same
+    rows, other collections are untouched."""
+    target = partition_path(df.sparkSession, path, "collection", collection)
+    df.drop("collection").write.mode("overwrite").format(fmt).save(target)
+
+
+def write_vectors(df: DataFrame, path: str, collection: str, key: str = "doc_id") -> None:
     """Keyed vector sink (Parquet): rows carry their key, so no positional alignment."""
-    df.select(key, "vector").write.mode(mode).parquet(path)
+    write_collection(df.select(key, "vector"), path, collection)
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     df.write.mode(mode).format(fmt).save(path)
 
 
-def write_stat(df: DataFrame, path: str) -> None:
+def write_stat(df: DataFrame, path: str, collection: str) -> None:
     """One-row stat sidecar (``valid_tf_content_count``) as JSON."""
-    df.select("valid_tf_content_count").coalesce(1).write.mode("overwrite").json(path)
-
-
-def write_rejects(df: DataFrame, path: str, stage: str) -> None:
-    df.write.mode("overwrite").json(f"{path.rstrip('/')}/stage={stage}")
+    write_collection(df.select("valid_tf_content_count").coalesce(1), path, collection, "json")
 
 
-def load_documents(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Document load: append, one directory per collection."""
-    df.write.mode(mode).partitionBy("collection").parquet(path)
+def write_rejects(df: DataFrame, path: str, stage: str, collection: str) -> None:
+    write_collection(df, f"{path.rstrip('/')}/stage={stage}", collection, "json")
 
 
 def delete_by_term(df: DataFrame, field: str, value) -> DataFrame:
@@ -95,13 +115,13 @@ def delete_by_term(df: DataFrame, field: str, value) -> DataFrame:
 
 
 def delete_collection(spark: SparkSession, path: str, collection: str) -> None:
-    """Physically drop one collection of a table written by :func:`load_documents`: its
-    partition directory is removed through the Hadoop FileSystem of the table path (works
-    for any Hadoop-compatible store); other collections are untouched."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/collection={collection}")
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
-        fs.delete(fs_path, True)
+    """Physically drop one collection of a table partitioned by ``collection`` through the
+    Hadoop FileSystem of its path; a collection that is not there is an error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(partition_path(spark, path, "collection", collection))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        raise FileNotFoundError(f"no collection {collection!r} under {path}")
+    fs.delete(target, True)
 
 
 def read_stop_words(spark: SparkSession, path: str) -> DataFrame:

@@ -48,13 +48,15 @@ def test_offline_load_end_to_end(spark, scratch):
     offline_load(spark, p, paths, "p2-1")
     docs = spark.read.parquet(paths.documents)
     assert docs.count() == 2 and {r.collection for r in docs.collect()} == {"p2-1"}
-    row = docs.filter("id = 0").first()
+    row = docs.filter("case_name = '甲乙借款判决书'").first()
     assert row.basics_text == "甲向乙借款。" and list(row.legal_base) == ["《民法》第1条"] and row.vector is not None
-    assert docs.filter("id = 1").first().vector is None
+    assert docs.filter("case_name = '决定书'").first().vector is None
     assert "crawl_time" not in docs.columns
+    ids = {r.case_id: r.doc_id for r in docs.collect()}
+    assert len(set(ids.values())) == 2
     stat = spark.read.json(paths.stats).first()
     assert stat.valid_tf_content_count == 1
-    assert spark.read.json(os.path.join(paths.rejects, "stage=filter")).count() == 0  # title is a decision
+    assert spark.read.text(os.path.join(paths.rejects, "stage=filter")).count() == 0  # title is a decision
     post = spark.read.parquet(paths.postings)
     assert post.filter("term = '借'").count() == 1
     # delete a collection physically
@@ -62,6 +64,47 @@ def test_offline_load_end_to_end(spark, scratch):
     assert not os.path.exists(os.path.join(paths.documents, "collection=p2-1"))
 
 
+def test_two_collections_malformed_lines_and_a_rerun(spark, scratch):
+    import pytest
+
+    paths = LoadPaths(*(os.path.join(scratch, d) for d in ["docs", "vecs", "post", "rej", "stat"]))
+    files = {}
+    for name in ("p2:2", "p3"):
+        files[name] = os.path.join(scratch, f"{name.replace(':', '_')}.txt")
+        _write_cases(files[name], ["{bad", CASE_A, CASE_B, "[1", CASE_A])
+    for name in ("p2:2", "p3", "p2:2"):
+        offline_load(spark, files[name], paths, name)
+    docs = spark.read.parquet(paths.documents)
+    assert docs.count() == 6 and docs.select("doc_id").distinct().count() == 6 and "_corrupt" not in docs.columns
+    assert {r.collection for r in docs.collect()} == {"p2:2", "p3"}
+    assert spark.read.parquet(paths.vectors).count() == 4 and spark.read.json(paths.stats).count() == 2
+    bad = spark.read.json(os.path.join(paths.rejects, "stage=parse")).collect()
+    assert sorted((r.collection, r.line_no, r._corrupt) for r in bad) == [(c, n, x) for c in ("p2:2", "p3") for n, x in ((0, "{bad"), (3, "[1"))]
+    assert spark.read.parquet(paths.postings).filter("term = '借'").count() == 4
+    sio.delete_collection(spark, paths.documents, "p2:2")
+    assert {r.collection for r in spark.read.parquet(paths.documents).collect()} == {"p3"}
+    with pytest.raises(FileNotFoundError):
+        sio.delete_collection(spark, paths.documents, "p2:2")
+
+
+def test_line_numbers_of_two_files_in_many_splits(spark, scratch):
+    import random
+
+    lines = {"a.txt": 700, "b.txt": 1100}
+    for name, n in lines.items():
+        _write_cases(os.path.join(scratch, name), [{"case_id": f"{name}-{i}", "content": "x" * random.Random(i).randint(1, 400)} for i in range(n)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = sio.read_case_lines(spark, scratch)
+        assert raw.rdd.getNumPartitions() > 4
+        got = sorted((r.case_id, r.line_no) for r in sio.with_line_numbers(raw).collect())
+        assert got == sorted((f"{name}-{i}", i) for name, n in lines.items() for i in range(n))
+        assert sio.line_range(raw, 690, 710).count() == 30 and sio.line_lookup(raw, 800).first().case_id == "b.txt-800"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_stop_words_file(spark, scratch):
     p = os.path.join(scratch, "stop.txt")
     with open(p, "w", encoding="utf-8") as f:
@@ -79,5 +122,15 @@ def test_incremental_stream_picks_only_new_files(spark, scratch):
     assert spark.read.parquet(table).count() == 1
     _write_cases(os.path.join(land, "p2.txt"), [CASE_A, CASE_B])
     start_incremental_load(spark, land, table, ck).awaitTermination()
+    _write_cases(os.path.join(land, "p3.txt"), ["{bad", CASE_B])
+    start_incremental_load(spark, land, table, ck).awaitTermination()
+    bad = spark.read.json(table + "_rejects").collect()
+    assert [(r.collection, r.line_no, r._corrupt) for r in bad] == [("p3", 0, "{bad")]
+    # the batch load gives a record the same key
+    paths = LoadPaths(*(os.path.join(scratch, d) for d in ["docs", "vecs", "post", "rej", "stat"]))
+    offline_load(spark, os.path.join(land, "p3.txt"), paths, "p3")
+    key = spark.read.parquet(paths.documents).first().doc_id
     out = spark.read.parquet(table)
+    assert [r.doc_id for r in out.filter("collection = 'p3'").collect()] == [key] and "_corrupt" not in out.columns
+    out = out.filter("collection <> 'p3'")
     assert out.count() == 3 and sorted(r.collection for r in out.select("collection").distinct().collect()) == ["p1", "p2"]

@@ -19,10 +19,10 @@ def test_query_mode_golden():
 
 
 def test_page_window_golden(spark):
-    rows = [(3 * 25, 1), (9 * 25, 5), (9 * 25, 9)]
+    rows = [(3 * 25, 1), (9 * 25, 5), (9 * 25, 9), (9 * 25, 1), (9 * 25, 2), (0, 1)]
     df = spark.createDataFrame(rows, "total int, page int")
     got = [list(r.w) for r in df.select(sh.page_window(F.col("total"), F.col("page")).alias("w")).collect()]
-    assert got == [[1, 2, 3], [3, 4, 5, 6, 7], [5, 6, 7, 8, 9]]
+    assert got == [[1, 2, 3], [3, 4, 5, 6, 7], [5, 6, 7, 8, 9], [1, 2, 3, 4, 5], [1, 2, 3, 4, 5], []]
 
 
 def test_preview_and_followup(spark):
@@ -82,16 +82,23 @@ def test_similar_cases_self_hit(spark, prepared):
     assert {(3, 3), (11, 11)} <= {(r.qid, r.doc_id) for r in top}
 
 
-def test_persisted_index_matches_scan_search(spark, prepared, scratch):
-    from tessera.operators.index import build_index, indexed_keyword_search
+def test_persisted_index_matches_scan_search(spark, scratch):
+    from tessera.operators import index as ix
+    from tessera.sources import tables as tb
 
-    raw = tb.cases(spark, SF01)
-    build_index(raw, "content", scratch + "/idx")
-    for mode in ("or", "and"):
-        a = [(r.doc_id, r.score) for r in se.top_k(indexed_keyword_search(spark, scratch + "/idx", "lyon of the", mode), 30).collect()]
-        b = [(r.doc_id, r.score) for r in se.top_k(se.keyword_search(raw, "lyon of the", "content", mode), 30).collect()]
-        assert a == b and len(a) > 0
+    docs = tb.documents(spark, SF01).select("doc_id", F.col("text").alias("content"))
+    docs = docs.unionByName(spark.createDataFrame([(100_000, "the the of the of the"), (100_001, ""), (100_002, None)], docs.schema))
+    ix.build_index(docs, scratch, ["content"], partitions=5)
 
+    def rounded(df):
+        return sorted((r.doc_id, round(r.score, 6)) for r in df.collect())
+
+    for q, mode in [("lyon chen of", "or"), ("the of lyon", "and"), ("xyzzy", "or"), ("!", "or")]:
+        assert rounded(ix.indexed_keyword_search(spark, scratch, q, mode=mode)) == rounded(se.keyword_search(docs, q, "content", mode))
+    for q in ['"of the"', '"the of the"', '"the the"', '"xyzzy the"']:
+        assert rounded(ix.indexed_search(spark, scratch, q)) == rounded(se.phrase_search(docs, q, "content"))
+    plan = ix.indexed_keyword_search(spark, scratch, "lyon chen")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan
 
 def test_maxscore_equals_exhaustive(spark, prepared):
     bench = spark.read.parquet(SF01 + "/benchmark.parquet")
