@@ -29,6 +29,8 @@ from ..functions.text import col_, strip_newlines, tokenize
 K1 = 1.2
 B = 0.75
 RARE_RATIO = 0.01
+#: Terms that carry document lengths among postings; no token begins like them.
+LENGTH_MARK, LENGTH_KEYS = "#", 1024
 # Characters that open / close a quoted (phrase) query.
 PHRASE_OPEN = "'\"“"
 PHRASE_CLOSE = "'\"”"
@@ -220,14 +222,31 @@ def multi_field_search(docs: DataFrame, query: str, fields=("case_name", "conten
     return keyword_search(docs, query, "+".join(fields), "or", keep, field_tokens=combined)
 
 
-def multi_field_phrase(docs: DataFrame, query: str, fields=("case_name", "content"), keep: tuple = ()) -> DataFrame:
-    """``multi_match`` of type phrase: phrase score per field, best field wins."""
-    parts = [phrase_search(docs, query, f, keep) for f in fields]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    firsts = [F.first(k).alias(k) for k in keep]
-    return u.groupBy("doc_id").agg(F.max("score").alias("score"), *firsts)
+def multi_field_phrase(docs: DataFrame, query: str, fields=("case_name", "content"), keep: tuple = (), k1: float = K1, b: float = B) -> DataFrame:
+    """``multi_match`` of type phrase: phrase score per field, best field wins. The fields are
+    analysed side by side in one row: one pass for the statistics, one for the scores."""
+    terms = analyze_query(docs.sparkSession, query)
+    out_cols = ["doc_id", "score", *keep]
+    names = [f"_toks.f{i}" for i in range(len(fields))]
+    tok = pin(docs, F.struct(*[tokenize(f).alias(f"f{i}") for i, f in enumerate(fields)]), "_toks", "doc_id", *keep)
+    if not terms:
+        return tok.withColumn("score", F.lit(0.0)).limit(0).select(*out_cols)
+    distinct = list(dict.fromkeys(terms))
+    row = tok.agg(*[a for i, c in enumerate(names) for a in (
+        F.count_if(F.size(c) > 0).alias(f"n{i}"), F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(f"t{i}"),
+        *[F.count_if(F.array_contains(c, t)).alias(f"d{i}_{j}") for j, t in enumerate(distinct)])]).first()
+    scores = []
+    for i, c in enumerate(names):
+        stats = CorpusStats(row[f"n{i}"], row[f"t{i}"], {t: row[f"d{i}_{j}"] for j, t in enumerate(distinct)})
+        if all(stats.df.values()):  # else no record holds the phrase in this field
+            idf = sum(bm25_idf(stats.n_docs, stats.df[t]) for t in terms)
+            pf = _phrase_freq(c, terms).cast("double")
+            tok = tok.withColumn(f"_pf{i}", pf)
+            scores.append(F.when(F.col(f"_pf{i}") > 0, F.lit(idf) * _tf_norm(F.col(f"_pf{i}"), F.size(c), stats.avgdl, k1, b)))
+    if not scores:
+        return tok.withColumn("score", F.lit(0.0)).limit(0).select(*out_cols)
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return tok.withColumn("score", best).filter("score is not null").select(*out_cols)
 
 
 # ---------------------------------------------------------------------------------------
@@ -252,8 +271,9 @@ def _weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b:
 
     One pass over the corpus: every document emits its postings for the terms some query
     uses (``restrict_terms``, pruned before the per-(term, doc) aggregation so the shuffle
-    carries only useful postings) plus one length row under the empty term, which the
-    analyzer never produces. That table is written to the reliable checkpoint directory,
+    carries only useful postings) plus one length row under one of ``LENGTH_KEYS`` terms
+    that the analyzer never produces (several, so that no key gets a row of every document).
+    That table is written to the reliable checkpoint directory,
     and N, mean length and df are small aggregates over it, so the corpus (and any
     preparation feeding it) is read and analysed once. ``max_df_ratio`` < 1 drops very
     common terms (changes scores; off by default).
@@ -261,18 +281,21 @@ def _weighted_postings(docs: DataFrame, field_tokens: Column, k1: float = K1, b:
     from ..session import ensure_checkpoint_dir
 
     tok = pin(docs, field_tokens, "_tok", "doc_id").withColumn("_dl", F.size("_tok"))
-    ex = tok.select("doc_id", "_dl", F.explode(F.concat(F.array(F.lit("")), "_tok")).alias("term"))
+    length_key = F.concat(F.lit(LENGTH_MARK), F.pmod(F.xxhash64("doc_id"), F.lit(LENGTH_KEYS)).cast("string"))
+    ex = tok.select("doc_id", "_dl", F.explode(F.concat(F.array(length_key), "_tok")).alias("term"))
+    is_length = F.startswith("term", F.lit(LENGTH_MARK))
     if restrict_terms is not None:
-        keep = restrict_terms.select("term").distinct().unionByName(ex.sparkSession.range(1).select(F.lit("").alias("term")))
+        marks = ex.sparkSession.range(LENGTH_KEYS).select(F.concat(F.lit(LENGTH_MARK), F.col("id").cast("string")).alias("term"))
+        keep = restrict_terms.select("term").distinct().unionByName(marks)
         ex = ex.join(keep, "term", "left_semi")
-    tf = ex.groupBy("term", "doc_id").agg((F.count(F.lit(1)) - F.when(F.col("term") == "", 1).otherwise(0)).alias("tf"),
+    tf = ex.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"),
                                           F.first("_dl").alias("dl"))
     ensure_checkpoint_dir(docs.sparkSession)
     tf = tf.checkpoint(eager=True)
-    lengths = tf.filter(F.col("term") == "")
+    lengths = tf.filter(is_length)
     st = lengths.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tot")).first()
     n_docs, avgdl = int(st["n"]), (int(st["tot"]) / int(st["n"]) if st["n"] else 0.0)
-    post = tf.filter(F.col("term") != "")
+    post = tf.filter(~is_length)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = (post.join(df, "term")
          .withColumn("idf", F.log(1.0 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -356,6 +356,10 @@ w AS (SELECT term, doc_id, ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * (tf *
 s AS (SELECT qid, doc_id, round(sum(qtf * w), 6) AS score FROM qt JOIN w USING (term) GROUP BY qid, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT qid, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= {P.SIMILAR_K}""")
+    S["similar_stored_cases"] = S["similar_cases"].replace(
+        "q AS (SELECT item_id AS qid, text AS qtext FROM benchmark)",
+        f"q AS (SELECT doc_id AS qid, CASE WHEN coalesce(basics_text, '') <> '' THEN basics_text ELSE {nl('content')} END AS qtext "
+        f"FROM prepared WHERE court_name = '{P.SIMILAR_COURT}' AND case_type = '刑事')")
     S.update(explain_sql())
     return S
 

@@ -22,3 +22,4 @@ LINE_START = 100
 LINE_LOOKUP = 7
 POST_FILTER = {"court_province": ["en", "fr"], "trial_round": ["一审", "二审"]}
 TERMS_FILTER_LAWS = ["《民法》第1条", "《民法》第2条", "《合同法》第二条"]
+SIMILAR_COURT = "src7"                # whose criminal cases are searched by document

@@ -142,6 +142,14 @@ def similar_cases(spark, sf_dir):
     return se.batch_keyword_search(prepared(spark, sf_dir), q, "qid", "qtext", "basics_text", P.SIMILAR_K)
 
 
+@register
+def similar_stored_cases(spark, sf_dir):
+    """Stored cases as queries: the criminal cases of one court against the facts of all cases."""
+    p = prepared(spark, sf_dir)
+    asked = p.filter((F.col("court_name") == P.SIMILAR_COURT) & (F.col("case_type") == "刑事"))
+    return se.similar_cases(p, asked, P.SIMILAR_K)
+
+
 # ---------------------------------------------------------------- search response
 
 
