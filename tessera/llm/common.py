@@ -14,6 +14,19 @@ from ..session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch; batches of texts are further cut by bytes inside the tasks.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches() -> None:
+    """Texts are long rows: send Python workers batches of ``BATCH_ROWS`` of them at most."""
+    spark = SparkSession.active()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -28,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import textbatch as tb
-from .common import hash_sample
+from .common import bounded_batches, hash_sample
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -41,22 +41,23 @@ PREDICTION = StructType([StructField("lang", StringType()), StructField("score",
 SEPARATOR = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 
-def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of every subword of a batch."""
+def subwords(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text index, bucket) of every subword of a batch, in portions of about a megabyte of text."""
     buf, offsets = tb.text_bytes(texts)
-    w = tb.words(buf, offsets, SEPARATOR)
-    doc = w.doc()
-    low = tb.LOWER[buf]
-    ids, hashes = [doc], [tb.span_hashes(low, w.start, w.end)]
-    # Grams of a word with its edges: shorter grams at its start and end carry their place.
-    for n in (3, 4):
-        word, h = tb.inner_grams(low, w, n, n)
-        ids.append(doc[word])
-        hashes.append(h)
-    for salt, start, end in ((11, w.start, np.minimum(w.start + 2, w.end)), (12, np.maximum(w.end - 2, w.start), w.end)):
-        ids.append(doc)
-        hashes.append(tb.mix(tb.span_hashes(low, start, end) + np.uint64(salt)))
-    return np.concatenate(ids), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    whole = tb.words(buf, offsets, SEPARATOR)
+    docs = whole.doc()
+    for at, stop in tb.word_chunks(whole):
+        w, doc = tb.part(whole, at, stop), docs[at:stop]
+        ids, hashes = [doc], [tb.span_hashes(buf, w.start, w.end, tb.LOWER)]
+        # Grams inside the word; its first and last two bytes carry their place.
+        for n in (3, 4):
+            word, h = tb.inner_grams(buf, w, n, n, tb.LOWER)
+            ids.append(doc[word])
+            hashes.append(h)
+        for salt, start, end in ((11, w.start, np.minimum(w.start + 2, w.end)), (12, np.maximum(w.end - 2, w.start), w.end)):
+            ids.append(doc)
+            hashes.append(tb.mix(tb.span_hashes(buf, start, end, tb.LOWER) + np.uint64(salt)))
+        yield np.concatenate(ids), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -76,15 +77,13 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def _packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Each text's subword counts: distinct buckets, then their counts (32-bit integers)."""
     for batch in texts:
-        out = []
         for part in tb.slices(batch):
-            doc, at = subwords(part)
-            key, n = np.unique(doc * BUCKETS + at, return_counts=True)
+            counts = [np.unique(doc * BUCKETS + at, return_counts=True) for doc, at in subwords(part)]
+            key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *[c[0] for c in counts]]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([np.zeros(0), *[c[1] for c in counts]]), len(key))
             first = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS)
-            for i in range(len(part)):
-                s = slice(first[i], first[i + 1])
-                out.append(np.concatenate([key[s] % BUCKETS, n[s]]).astype("<u4").tobytes())
-        yield pa.array(out, pa.binary())
+            rows = [slice(first[i], first[i + 1]) for i in range(len(part))]
+            yield pa.array([np.concatenate([key[s] % BUCKETS, n[s]]).astype("<u4").tobytes() for s in rows], pa.binary())
 
 
 def train(rows: list[bytes], langs: list[str]) -> dict:
@@ -137,6 +136,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
     """Learn from the rows given (the caller leaves out what must not be learnt from)."""
+    bounded_batches()
     named = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     chosen = hash_sample(named, "_id", sample, SEED)
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     """Column: struct of the language, its probability and whether it is rejected."""
+    bounded_batches()
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf(PREDICTION)
@@ -165,20 +166,19 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
         m = held.value
         names = np.array(m["names"], object)
         for batch in texts:
-            langs, scores, rejected = [], [], []
             for part in tb.slices(batch):
                 n, known = len(part), has_letter(part)
                 if not len(names):
                     known[:] = False
-                doc, at = subwords(part)
-                many = np.maximum(np.bincount(doc, minlength=n), 1)
-                z = np.stack([np.bincount(doc, m["votes"][:, j][at], n) / many for j in range(len(names))], 1) if len(names) else np.zeros((n, 1))
-                p = softmax(z)
+                many, z = np.zeros(n), np.zeros((n, max(1, len(names))))
+                for doc, at in subwords(part):
+                    many += np.bincount(doc, minlength=n)
+                    for j in range(len(names)):
+                        z[:, j] += np.bincount(doc, m["votes"][:, j][at], n)
+                p = softmax(z / np.maximum(many, 1)[:, None])
                 score = np.where(known, p.max(1), 0.0)
-                langs += [x if k else "und" for x, k in zip(names[p.argmax(1)] if len(names) else [None] * n, known)]
-                scores.append(score)
-                rejected.append(~known | (score < m["line"]))
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64()),
-                                              pa.array(np.concatenate(rejected), pa.bool_())], names=["lang", "score", "rejected"])
+                langs = [x if k else "und" for x, k in zip(names[p.argmax(1)] if len(names) else [None] * n, known)]
+                yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64()),
+                                                  pa.array(~known | (score < m["line"]), pa.bool_())], names=["lang", "score", "rejected"])
 
     return predicted(F.col(text_col))

@@ -31,9 +31,10 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import textbatch as tb
+from .common import bounded_batches
 
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 ENCODED = StructType([StructField("ids", ArrayType(IntegerType())), StructField("begin", ArrayType(IntegerType())),
                       StructField("end", ArrayType(IntegerType()))])
 DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
@@ -257,16 +258,16 @@ def encoder(model: bytes) -> Encoder:
 def encoded(spark: SparkSession, text: Column, model: bytes) -> Column:
     """Column: struct of ``ids`` and the byte spans ``begin``, ``end`` of each text's pieces.
     ``model`` is the content of the model file (its size is that of the vocabulary)."""
+    bounded_batches()
     held = spark.sparkContext.broadcast(model)
 
     @arrow_udf(ENCODED)
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder(held.value)
         for batch in texts:
-            rows = [row for part in tb.slices(batch) for row in of.encode(part.to_pylist())]
-            yield pa.StructArray.from_arrays(
-                [_lists([np.frombuffer(r[0], "<i4") for r in rows]), _lists([r[1] for r in rows]), _lists([r[2] for r in rows])],
-                names=["ids", "begin", "end"])
+            for part in tb.slices(batch):
+                rows = [(np.frombuffer(ids, "<i4"), begin.astype(np.int32), end.astype(np.int32)) for ids, begin, end in of.encode(part.to_pylist())]
+                yield pa.StructArray.from_arrays([_lists([r[j] for r in rows]) for j in range(3)], names=["ids", "begin", "end"])
 
     return made(text)
 
@@ -279,18 +280,16 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def digests(spark: SparkSession, text: Column, model: bytes) -> Column:
     """Column: struct of the number of ids and the hashes of the ids, of the text decoded from
     them and of the spans; the arrays stay in the worker that made them."""
+    bounded_batches()
     held = spark.sparkContext.broadcast(model)
 
     @arrow_udf(DIGESTS)
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder(held.value)
         sha = hashlib.sha256
-        for batch in texts:
-            rows = []
-            for part in tb.slices(batch):
-                for ids, begin, end in of.encode(part.to_pylist()):
-                    rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(of.decode(ids).encode()).hexdigest(),
-                                 sha(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()))
+        for part in (part for batch in texts for part in tb.slices(batch)):
+            rows = [(len(ids) // 4, sha(ids).hexdigest(), sha(of.decode(ids).encode()).hexdigest(),
+                     sha(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()) for ids, begin, end in of.encode(part.to_pylist())]
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]],
                                              names=["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])

@@ -31,7 +31,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from . import textbatch as tb
-from .common import cut
+from .common import bounded_batches, cut
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_mark_words")
 _STRUCT = StructType([StructField(c, LongType()) for c in COUNTS])
@@ -101,8 +101,9 @@ def counts(texts: pa.Array) -> np.ndarray:
 def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Struct of ``COUNTS`` for each text."""
     for batch in texts:
-        x = np.concatenate([counts(part) for part in tb.slices(batch, 2 << 20)])
-        yield pa.StructArray.from_arrays([pa.array(x[:, j], pa.int64()) for j in range(x.shape[1])], names=list(COUNTS))
+        for part in tb.slices(batch):
+            x = counts(part)
+            yield pa.StructArray.from_arrays([pa.array(x[:, j], pa.int64()) for j in range(x.shape[1])], names=list(COUNTS))
 
 
 def transformed() -> list[Column]:
@@ -214,6 +215,7 @@ def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per text: doc_id, the counts, base_failed, distance (squared), kept."""
+    bounded_batches()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("c"))
     rows = cut(rows.select("doc_id", "lang", "source", "c.*"))
     units = cut(_grouped(rows).select("doc_id", "unit", *COUNTS, F.array(*transformed()).alias("x")))

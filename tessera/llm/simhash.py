@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
 from . import textbatch as tb
-from .common import cut
+from .common import bounded_batches, cut
 
 SEED = 42
 #: Fingerprints the driver may see when it lays out the shards, wanted shard size, most shards.
@@ -74,12 +74,13 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: Column, size: int) -> Column:
     """Column: the fingerprint of each text as a signed 64-bit integer."""
+    bounded_batches()
 
     @arrow_udf(LongType())
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            parts = [majority(*shingle_hashes(part, size)) for part in tb.slices(batch, 2 << 20)]
-            yield pa.array(np.concatenate(parts).view(np.int64), pa.int64())
+            for part in tb.slices(batch):
+                yield pa.array(majority(*shingle_hashes(part, size)).view(np.int64), pa.int64())
 
     return made(text)
 

@@ -150,7 +150,22 @@ def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20):
+def word_chunks(w: Words, limit: int = STEP):
+    """Consecutive ranges of words that span about ``limit`` bytes, so that what is derived from
+    a very long text never stands in memory at once."""
+    at = 0
+    while at < len(w.start):
+        stop = max(at + 1, int(np.searchsorted(w.end, w.start[at] + limit, "right")))
+        yield at, stop
+        at = stop
+
+
+def part(w: Words, at: int, stop: int) -> Words:
+    """The words of a range; ``first`` then gives the texts' offsets into the range."""
+    return Words(w.start[at:stop], w.end[at:stop], np.clip(w.first - at, 0, max(0, min(stop, len(w.start)) - at)))
+
+
+def slices(texts: pa.Array, limit: int = STEP):
     """Consecutive slices of the array of about ``limit`` bytes, each of whole texts."""
     n = len(texts)
     if n == 0:

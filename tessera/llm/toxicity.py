@@ -28,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
 from . import textbatch as tb
-from .common import hash_sample
+from .common import bounded_batches, hash_sample
 
 DIMS = 1 << 20
 SAMPLE = 6_000
@@ -41,24 +41,39 @@ GRAMS = (4, 6)
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, coordinate) of every word, neighbour pair and skip pair of a batch."""
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text index, coordinate) of every word, neighbour pair, skip pair and inner gram of a
+    batch, in portions of about a megabyte of text."""
     buf, offsets = tb.text_bytes(texts)
     w = tb.words(buf, offsets, SEPARATOR)
-    h, doc = tb.span_hashes(buf, w.start, w.end, tb.LOWER), w.doc()
-    two, doc2 = tb.pair_hashes(h, doc, 1, 1)
-    skip, doc3 = tb.pair_hashes(h, doc, 2, 2)
-    hashes, docs = [h, two, skip], [doc, doc2, doc3]
-    for n in GRAMS:
-        word, gram = tb.inner_grams(buf, w, n, 100 + n, tb.LOWER)
-        hashes.append(gram)
-        docs.append(doc[word])
-    at = (np.concatenate(hashes) >> np.uint64(64 - 20)).astype(np.int64)
-    return np.concatenate(docs), at
-
-
-def distinct(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique(doc * DIMS + at)
+    doc = w.doc()
+    for at, stop in tb.word_chunks(w):
+        # Pairs reach two words beyond the portion; those beginning there belong to the next.
+        ahead = tb.part(w, at, stop + 2)
+        h, of = tb.span_hashes(buf, ahead.start, ahead.end, tb.LOWER), doc[at:stop + 2]
+        n = stop - at
+        hashes, docs = [h[:n]], [of[:n]]
+        for gap in (1, 2):
+            pairs, texts_of = tb.pair_hashes(h[:n + gap], of[:n + gap], gap, gap)
+            hashes.append(pairs)
+            docs.append(texts_of)
+        for size in GRAMS:
+            word, gram = tb.inner_grams(buf, tb.part(w, at, stop), size, 100 + size, tb.LOWER)
+            hashes.append(gram)
+            docs.append(of[word])
+        yield np.concatenate(docs), (np.concatenate(hashes) >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def present(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text index, coordinate) of a batch; with ``table``, of coordinates that have a
+    weight there."""
+    parts = []
+    for doc, at in features(texts):
+        if table is not None:
+            used = table[at] != 0
+            doc, at = doc[used], at[used]
+        parts.append(np.unique(doc * DIMS + at))
+    key = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
     return key // DIMS, key % DIMS
 
 
@@ -66,13 +81,11 @@ def distinct(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The distinct coordinates of each text as little-endian 32-bit integers."""
     for batch in texts:
-        out = []
         for part in tb.slices(batch):
-            doc, at = distinct(*features(part))
+            doc, at = present(part)
             first = np.searchsorted(doc, np.arange(len(part) + 1))
             at = at.astype("<u4")
-            out += [at[first[i]:first[i + 1]].tobytes() for i in range(len(part))]
-        yield pa.array(out, pa.binary())
+            yield pa.array([at[first[i]:first[i + 1]].tobytes() for i in range(len(part))], pa.binary())
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -103,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     The labelled ids are sampled first (``sample`` expected), so only their texts are read out
     and the list of ids that is broadcast is bounded.
     """
+    bounded_batches()
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("_y"))
     known = hash_sample(known, "_id", sample, SEED)
@@ -140,6 +154,7 @@ def hash_of(key: str | None) -> int:
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     """Column: probability (0 to 1) that the text is toxic."""
+    bounded_batches()
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf(DoubleType())
@@ -148,13 +163,9 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
         table = np.zeros(DIMS, np.float32)
         table[m["at"]] = m["w"]
         for batch in texts:
-            out = []
             for part in tb.slices(batch):
-                doc, at = features(part)
-                used = table[at] != 0
-                doc, at = distinct(doc[used], at[used])
+                doc, at = present(part, table)
                 z = m["bias"] + np.bincount(doc, table[at], len(part))
-                out.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
-            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+                yield pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
 
     return scored(F.col(text_col))
