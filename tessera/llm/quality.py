@@ -28,10 +28,12 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from . import textbatch as tb
-from .common import hash_sample
+from .common import bounded_batches, hash_sample
 
 SAMPLE, SEED = 8_000, 21
 BINS, STEPS, RATE = 24, 2_000, 0.1
+#: Weight of the squared norm, per positive, of the ranking and of the final model.
+ROUGH, NORM = 5.0, 0.02
 FEATURES = ("words", "chars", "mean_length", "long_words", "short_words", "upper", "capitals", "digits", "symbols", "bars", "bangs", "stops",
             "commas", "quotes", "distinct", "neighbours", "windows", "lines", "line_words", "high_bytes", "odd_ends", "lone_marks")
 
@@ -96,8 +98,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
 @arrow_udf(ArrayType(DoubleType()))
 def _described(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        x = np.concatenate([statistics(part) for part in tb.slices(batch)])
-        yield pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+        for part in tb.slices(batch):
+            x = statistics(part)
+            yield pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
 
 
 def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -122,10 +125,11 @@ def _spread(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def descend(gradient, size: int) -> np.ndarray:
+def descend(gradient, size: int, decay: float) -> np.ndarray:
+    """Adam; ``decay`` is the weight of the squared norm in the objective."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
-        g = gradient(w)
+        g = gradient(w) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return w
@@ -148,19 +152,23 @@ def train(p: np.ndarray, u: np.ndarray) -> dict:
     """Bin edges, weights and prior from statistics of positives and of unlabelled texts."""
     pool = np.concatenate([p, u])
     width = len(FEATURES)
-    edges = np.stack([np.quantile(pool[:, j], np.linspace(0, 1, BINS + 2)[1:-1]) for j in range(width)]) if len(pool) else np.zeros((width, BINS))
+    # The number of bins follows the square root of the sample; unused edges lie beyond all values.
+    used = int(np.clip(np.sqrt(len(p)) / 2, 4, BINS))
+    edges = np.full((width, BINS), np.inf)
+    if len(pool):
+        edges[:, :used] = np.quantile(pool, np.linspace(0, 1, used + 2)[1:-1], axis=0).T
     size = width * (BINS + 1) + 1
     if not len(p) or not len(u):
         return {"edges": edges, "w": np.zeros(size), "prior": 0.5}
     bp, bu = binned(p, edges), binned(u, edges)
-    half = (slice(0, None, 2), slice(1, None, 2))
-
-    def against(w):
-        a, b = bp[half[0]], bu[half[0]]
-        return (_spread(a, _sigmoid(_raw(w, a)) - 1, size) / len(a) + _spread(b, _sigmoid(_raw(w, b)), size) / len(b))
-
-    rough = descend(against, size)
-    prior = class_prior(_raw(rough, bp[half[1]]), _raw(rough, bu[half[1]]))
+    # Scores for the prior come from a classifier fitted on the other half of the sample.
+    scored_p, scored_u = np.empty(len(p)), np.empty(len(u))
+    for one, other in ((slice(0, None, 2), slice(1, None, 2)), (slice(1, None, 2), slice(0, None, 2))):
+        a, b = bp[one], bu[one]
+        rough = descend(lambda w: (_spread(a, _sigmoid(_raw(w, a)) - 1, size) + _spread(b, _sigmoid(_raw(w, b)), size) * (len(a) / max(1, len(b)))) / max(1, len(a)),
+                        size, ROUGH / max(1, len(a)))
+        scored_p[other], scored_u[other] = _sigmoid(_raw(rough, bp[other])), _sigmoid(_raw(rough, bu[other]))
+    prior = class_prior(scored_p, scored_u)
 
     def risk(w):
         sp, su = _sigmoid(_raw(w, bp)), _sigmoid(_raw(w, bu))
@@ -169,12 +177,13 @@ def train(p: np.ndarray, u: np.ndarray) -> dict:
         of_negative = _spread(bu, su, size) / len(bu) - prior * _spread(bp, sp, size) / len(bp)
         return of_positive + of_negative if negative >= 0 else -of_negative
 
-    return {"edges": edges, "w": descend(risk, size), "prior": prior}
+    return {"edges": edges, "w": descend(risk, size, NORM / len(p)), "prior": prior}
 
 
 def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """``good``: ids of trusted positives. ``docs``: the rows that may be learnt from; their
     hash sample is the unlabelled text. Both samples are chosen by id, then described in place."""
+    bounded_batches()
     ids = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
     positive = hash_sample(good.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct(), "_id", sample, SEED)
     web = hash_sample(ids, "_id", sample, SEED + 1).distinct()
@@ -200,13 +209,14 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     """Column: probability (0 to 1) that the text is good."""
+    bounded_batches()
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf(DoubleType())
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
         for batch in texts:
-            parts = [_sigmoid(_raw(m["w"], binned(statistics(part), m["edges"]))) for part in tb.slices(batch)]
-            yield pa.array(np.concatenate(parts), pa.float64())
+            for part in tb.slices(batch):
+                yield pa.array(_sigmoid(_raw(m["w"], binned(statistics(part), m["edges"]))), pa.float64())
 
     return scored(F.col(text_col))
