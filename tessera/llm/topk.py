@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK, QUERIES = 8_192, 1_024
-#: Rows of a grid column: how many blocks one query block is copied to.
-COLUMN = 8 * BLOCK
+#: Most rows of a grid column and queries of a grid line; a cell compares these in one task. Larger
+#: cells copy less, so only inputs too small to occupy the cluster get cells of single blocks.
+COLUMN, LINE = 8 * BLOCK, 8 * QUERIES
 #: Largest magnitude of a quantised component; sums of products stay within 64 bits.
 LARGEST = 1 << 24
 
@@ -187,7 +188,10 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
     # The grid: every block of rows is copied to each row of the grid, every block of queries to
     # each column; both are dealt by hash, a cell holds a few blocks of either side.
     n, m = vectors.count(), queries.count()
-    columns, lines = max(1, math.ceil(n / COLUMN)), max(1, math.ceil(m / 8))
+    busy = rows.sparkSession.sparkContext.defaultParallelism
+    lines = max(1, math.ceil(m * QUERIES / LINE))
+    columns = max(1, math.ceil(n / COLUMN), min(2 * math.ceil(n / BLOCK), math.ceil(2 * busy / lines)))
+    cells = 4 * columns * lines  # partitions; more than cells, so that few share one
     deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     left = index.select("part", "ids", "width", "data", deal("part", columns).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("y"))
     right = queries.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"),
@@ -201,7 +205,8 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
                 asked, found, scores = top(ids, x, query_ids, q, k)
                 yield pa.RecordBatch.from_pydict({"query_id": asked, "vec_id": found, "score": scores.astype(np.int64)})
 
-    met = left.join(right, ["x", "y"]).select("ids", "width", "data", "q_ids", "q_width", "q_data")
+    # A given number of partitions: cells weigh by their work, not by the few bytes they hold.
+    met = left.repartition(cells, "x", "y").join(right.repartition(cells, "x", "y"), ["x", "y"]).select("ids", "width", "data", "q_ids", "q_width", "q_data")
     near = met.mapInArrow(compare, "query_id long, vec_id long, score long")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
