@@ -10,8 +10,13 @@ Every step covers all texts. A step is one aggregation: distances are binned fin
 summed per group and bin (so a source with a third of all texts is pre-aggregated before the
 shuffle), and the bins up to the subset's size give the next estimate. Groups of fewer than
 ``LEAST`` texts are estimated together with the other small groups of their language, and these,
-if still too few, with those of all languages. Scales below ``FLOOR`` count as ``FLOOR``, so
-that statistics that are zero in nearly all texts do not reject on the first deviation.
+if still too few, with those of all languages.
+
+No scale is a constant. A variance estimated below the mean counting error of the subset's own
+texts counts as that error, so that statistics that are zero in nearly all texts do not reject on
+the first deviation: 1 / n for the log of n words, 1 / (4 n) for the square root of a share of n
+(its binomial error, whatever the share), ``CLUMP`` times that for repeated words, as one
+repeated window covers two windows of three words.
 
 Defined results: null and empty texts have zero counts and fail the base rule on length; null
 languages and sources are groups like any other; repeated rows are judged alike; empty tables
@@ -36,8 +41,10 @@ from .common import bounded_batches, cut
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_mark_words")
 _STRUCT = StructType([StructField(c, LongType()) for c in COUNTS])
 DIMS = 7
-SUBSET, STEPS, LEVEL, LEAST = 0.75, 6, 0.9999, 100
-FLOOR = (0.4, 0.12, 0.06, 0.18, 0.15, 0.08, 0.08)
+SUBSET, STEPS, LEVEL, LEAST = 0.75, 6, 0.999, 100
+CLUMP = 6
+#: Counting error of each statistic: the place in ``inverse_lengths`` and its factor.
+ERROR = ((0, 1.0), (1, 0.25), (1, 0.25), (2, 0.25), (0, 0.25 * CLUMP), (0, 0.25), (0, 0.25))
 GRID = 128  # bins to one unit of a statistic
 FINE = 32  # bins to a doubling of a squared distance
 #: Groups up to which their estimates are sent to all executors (about 1 kB each).
@@ -114,6 +121,11 @@ def transformed() -> list[Column]:
             root("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), root("n_repeat_words", n), root("n_capital_words", n), root("n_mark_words", n)]
 
 
+def inverse_lengths() -> list[Column]:
+    """One over the words, the characters and the lines of a text."""
+    return [1 / F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines")]
+
+
 def chi_square(p: int, share: float) -> float:
     """Quantile of the chi-square distribution, by bisection."""
     lo, hi = 0.0, 1000.0
@@ -154,7 +166,7 @@ def _shared(table: DataFrame) -> DataFrame:
 
 def _start(rows: DataFrame) -> DataFrame:
     """(unit, n, mu, inverse): medians and 1.4826 times the median absolute deviations, exact to
-    the grid, from counts per grid cell."""
+    the grid, from counts per grid cell; the counting errors are means over all texts."""
     long = rows.select("unit", F.posexplode("x").alias("j", "v"))
 
     def median(df, value):
@@ -166,8 +178,10 @@ def _start(rows: DataFrame) -> DataFrame:
 
     mid = cut(median(long, F.col("v")))
     off = median(long.join(_shared(mid).withColumnRenamed("n", "_n"), ["unit", "j"]), F.abs(F.col("v") - F.col("m")))
-    both = mid.join(off.select("unit", "j", F.col("m").alias("d")), ["unit", "j"])
-    spread = F.greatest(F.col("d") * 1.4826, F.element_at(F.array(*[F.lit(f) for f in FLOOR]), F.col("j") + 1))
+    lengths = rows.groupBy("unit").agg(*[F.avg(F.col("e")[i]).alias(f"e{i}") for i in range(3)])
+    errors = cut(lengths.select("unit", F.array(*[F.sqrt(F.col(f"e{i}") * f) for i, f in ERROR]).alias("least")))
+    both = mid.join(off.select("unit", "j", F.col("m").alias("d")), ["unit", "j"]).join(_shared(errors), "unit")
+    spread = F.greatest(F.col("d") * 1.4826, F.element_at("least", F.col("j") + 1))
     per = both.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "m", spread.alias("s")))).alias("v"))
     inverse = F.flatten(F.array(*[F.array(*[1 / F.pow(F.col("v")[i]["s"], 2) if i == j else F.lit(0.0) for j in range(DIMS)]) for i in range(DIMS)]))
     return per.select("unit", "n", F.transform("v", lambda t: t["m"]).alias("mu"), inverse.alias("inverse"))
@@ -185,17 +199,18 @@ _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 @arrow_udf(ArrayType(DoubleType()))
 def _inverted(moments: pa.Array) -> pa.Array:
-    """Means, then the inverse of the covariance (consistent for normal data, scales floored)."""
+    """Means, then the inverse of the covariance (consistent for normal data, no variance below
+    its counting error)."""
     factor = SUBSET / chi_square_share(DIMS + 2, chi_square(DIMS, SUBSET))
     out = []
     for m in moments.to_pylist():
-        n, sums, squares = m[0], np.array(m[1:1 + DIMS]), m[1 + DIMS:]
+        n, sums, squares = m[0], np.array(m[1:1 + DIMS]), m[1 + DIMS:-3]
         mu = sums / n
         cov = np.zeros((DIMS, DIMS))
         for (i, j), s in zip(_PAIRS, squares):
             cov[i, j] = cov[j, i] = s / n - mu[i] * mu[j]
         cov *= factor
-        short = np.maximum(np.array(FLOOR) ** 2 - np.diag(cov), 0)
+        short = np.maximum([m[len(m) - 3 + i] / n * f for i, f in ERROR] - np.diag(cov), 0)
         out.append(np.concatenate([mu, np.linalg.inv(cov + np.diag(short)).ravel()]).tolist())
     return pa.array(out, pa.list_(pa.float64()))
 
@@ -204,7 +219,7 @@ def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
     """One concentration step."""
     placed = rows.join(_shared(now), "unit").withColumn("bin", F.floor(F.log2(_distance() + 2.0 ** -10) * FINE).cast("long"))
     x = [F.col("x")[i] for i in range(DIMS)]
-    moments = [F.sum(c).alias(f"m{k}") for k, c in enumerate([F.lit(1.0), *x, *[x[i] * x[j] for i, j in _PAIRS]])]
+    moments = [F.sum(c).alias(f"m{k}") for k, c in enumerate([F.lit(1.0), *x, *[x[i] * x[j] for i, j in _PAIRS], *[F.col("e")[i] for i in range(3)]])]
     bins = placed.groupBy("unit", "bin").agg(F.first("n").alias("n"), *moments)
     before = F.coalesce(F.sum("m0").over(Window.partitionBy("unit").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     inner = bins.withColumn("before", before).where(F.col("before") < F.col("n") * SUBSET)
@@ -218,10 +233,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bounded_batches()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("c"))
     rows = cut(rows.select("doc_id", "lang", "source", "c.*"))
-    units = cut(_grouped(rows).select("doc_id", "unit", *COUNTS, F.array(*transformed()).alias("x")))
+    units = cut(_grouped(rows).select("doc_id", "unit", *COUNTS, F.array(*transformed()).alias("x"), F.array(*inverse_lengths()).alias("e")))
     now = cut(_start(units))
     for _ in range(STEPS):
-        now = cut(_step(units.select("unit", "x"), now))
+        now = cut(_step(units.select("unit", "x", "e"), now))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     far = units.join(_shared(now), "unit").withColumn("distance", _distance())
     return far.select("doc_id", *COUNTS, failed.alias("base_failed"), "distance",

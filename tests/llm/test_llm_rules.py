@@ -71,3 +71,16 @@ def test_repeated_rows_and_empty_table(spark):
     got = [r for r in rules.judge(documents(spark, extra)).collect() if r["doc_id"] == 7]
     assert len(got) == 4
     assert rules.judge(documents(spark).limit(0)).collect() == []
+
+
+def test_scales_are_those_of_the_group(spark):
+    """Texts a few percent of symbols or a third of word length away from a uniform group go."""
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(a, b)))
+    rows = [(i, " ".join(word(2, 8) for _ in range(rng.randint(150, 400))), "en", "a") for i in range(400)]
+    rows += [(1000 + i, " ".join(word(2, 8) + "#" * (j % 5 == 0) for j in range(250)), "en", "a") for i in range(10)]
+    rows += [(2000 + i, " ".join(word(4, 9) for _ in range(250)), "en", "a") for i in range(10)]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert sum(got[i]["kept"] for i in range(400)) >= 396
+    assert not any(got[i]["kept"] for i in got if i >= 1000)
