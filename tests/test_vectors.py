@@ -57,6 +57,14 @@ def test_knn_lsh_prunes_and_finds(spark):
     assert len(exact & approx) / len(exact) >= 0.8 and met < 60 * 600 / 5
 
 
+def test_knn_lsh_recall_on_registered_tables(spark):
+    from tessera.plans import queries
+
+    exact = {(r.qid, r.doc_id) for r in queries.knn_join(spark, SF01).collect()}
+    approx = {(r.qid, r.doc_id) for r in queries.knn_lsh(spark, SF01).collect()}
+    assert len(exact) == 10 * len({q for q, _ in exact}) and len(exact & approx) / len(exact) >= 0.9
+
+
 def test_metric_of_a_model(spark):
     from pyspark.sql import functions as F
 
