@@ -7,13 +7,19 @@ mixed to their target weights, and texts are encoded with the public SentencePie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, pieces, pii, queries, simhash, toxicity
 from tessera.llm.common import cut, fold, table
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of a whole row, told from others with the same id. Nulls do not enter xxhash64 by
+    themselves, so what is null is hashed too."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more as toxic go. The classifier learns from the documents it is
     given and from ``labels`` outside the held-out fold."""
@@ -23,14 +29,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the documents with its smallest id stay; of rows that repeat an id, the
-    smallest text. A component without any id keeps its rows."""
-    found = simhash.near_duplicates(docs, size=3, radius=2)
-    first = cut(found.groupBy("component_id").agg(F.count("*").alias("n")).where("component_id is not null").select(F.col("component_id").alias("_id")))
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r"))
-    lost = docs.where(F.col("doc_id").isNull())
-    return kept.select("doc_id", "_r.*").select(docs.columns).unionByName(lost)
+    """Of each component one row stays: the one with its smallest id; of rows that repeat that id,
+    the smallest text; of a component without any id, the smallest text. Components with the
+    same smallest id count as one."""
+    found = simhash.near_duplicates(docs, size=3, radius=2, carry={"_row": row_key(docs)})
+    # No smaller id is in the component, so no table of groups is needed; copies of a row share its key.
+    nameless = F.col("component_id").isNull()
+    asked = found.where(nameless | (F.col("doc_id") == F.col("component_id")))
+    first = cut(asked.groupBy("_row").agg(F.first("component_id").alias("_id"), F.first(F.when(nameless, F.col("label"))).alias("_label")))
+    rows = docs.withColumn("_row", row_key(docs)).join(first, "_row")
+    kept = rows.groupBy("_id", "_label").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_r"))
+    return kept.select("_r.*").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +54,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as often as the mix takes it, in whole texts: the words taken, rounded
     to a multiple of the document's. A document without words is not taken."""
-    taken = mixing.mix(docs)
+    taken = mixing.mix(docs, carry={"_row": row_key(docs)})
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    copies = cut(taken.groupBy("doc_id").agg(F.max(times).alias("_times")).select(F.col("doc_id").alias("_id"), "_times"))
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
+    copies = cut(taken.groupBy("_row").agg(F.max(times).alias("_times")))
+    rows = docs.withColumn("_row", row_key(docs)).join(copies, "_row").where("_times > 0")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(docs.columns)
 
 

@@ -254,13 +254,16 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24)), F.sum(F.shiftright(F.xxhash64("b", "a"), 24))).first())
 
 
-def near_duplicates(docs: DataFrame, size: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, fp, component_id) for every row of ``docs``."""
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), size).alias("fp")))
+def near_duplicates(docs: DataFrame, size: int, radius: int, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row (doc_id, fp, component_id) for every row of ``docs``; with ``carry`` also its columns
+    (checkpointed with the fingerprints, so keep them small) and ``label``, a fingerprint that names
+    the component whether it has ids or not."""
+    more = [c.alias(n) for n, c in (carry or {}).items()]
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), size).alias("fp"), *more))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(prints, radius)).withColumnRenamed("node", "fp")
     # A label is itself a fingerprint of its component and has no row of its own in ``found``.
     named = prints.join(found, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = cut(named.join(cut(lowest), "label").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(named.join(cut(lowest), "label").select("fp", "component_id", "label"))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", *(carry or {}), *(["label"] if carry else []))

@@ -72,6 +72,22 @@ def test_run_equals_the_stages(spark, sf):
     assert key(pipeline.run(spark, sf)) == key(docs)
 
 
+def test_rows_without_or_with_repeated_ids(spark, sf):
+    """Copies of a text with an id or of each other go, whatever their ids; a clean text whose id
+    also stands on a copy stays; counts of the mix belong to rows."""
+    a, b, c = "seven has a text of its own here", "a first text that the third document has", "nobody gave this text any id at all"
+    rows = [(7, a, "en", "s", 1), (3, b, "en", "s", 1), (7, b, "en", "s", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 2),
+            (None, c, "en", "s", 1), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    single = stage("near_duplicates")(spark, docs, sf)
+    got = sorted(map(tuple, single.collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[4], rows[7]], key=str)
+
+    two = spark.createDataFrame([(None, "one two three four", "en", "s", 1), (None, "five six", "en", "s", 2), (None, None, "en", "s", 0)], COLUMNS)
+    texts = [r["text"] for r in stage("mixing")(spark, two, sf).collect()]
+    assert None not in texts and {t: texts.count(t) for t in set(texts)} == {"five six": 2, "one two three four": 1 + (9 - 6 - 2 >= 2)}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_empty_input(spark, sf, name):
     assert stage(name)(spark, spark.createDataFrame([], COLUMNS), sf).withColumn("x", F.lit(1)).collect() == []
