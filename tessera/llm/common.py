@@ -3,6 +3,7 @@ lineage cuts and prefix sums that never put a whole group into one task."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +43,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table written in the folder of ``spark.checkpoint.dir``: for loops, since a
+    checkpoint carries its plan's constraints on, which grow with every round."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hash_sample(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
     """Deterministic sample of the ids whose hash falls below ``size / count``: a map-side
     filter, ``size`` rows expected (all of them if there are fewer); repeats of one id are

@@ -51,4 +51,34 @@ scored AS (
   FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    # crc32 runs over the digits' bytes: a byte enters by xor, each -1 after it is one of its eight bit steps.
+    "op11_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, max(pos) AS n,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR d IN string_split(CAST(conv_id AS VARCHAR), '')])),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM t GROUP BY conv_id),
+b AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS lent FROM c LEFT JOIN c o ON o.conv_id = c.base),
+r AS (
+  SELECT t.conv_id, t.pos - b.h + b.lent AS depth, role, text FROM t JOIN b USING (conv_id) WHERE t.pos > b.h
+  UNION ALL SELECT b.conv_id, t.pos, role, text FROM b JOIN t ON t.conv_id = b.base WHERE t.pos <= b.h),
+p AS (
+  SELECT conv_id, depth, string_agg(concat(md5(role), md5(text)), '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, strlen(text) AS bytes FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+n AS (
+  SELECT p.prefix, p.depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+         sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE l.len = p.depth), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY p.prefix, p.depth),
+e AS (SELECT n.*, up.conv_id AS parent_conv_id FROM n LEFT JOIN n up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.prefix = left(n.prefix, CAST(64 * (n.depth - 1) AS BIGINT))),
+k AS (SELECT e.*, coalesce(x.n_children, 0) AS n_children FROM e LEFT JOIN (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM e WHERE depth > 0 GROUP BY ALL) x ON x.conv_id = e.conv_id AND x.depth = e.depth)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, any_value(a.parent_conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs, any_value(a.n_children) AS n_children,
+       count(*) FILTER (WHERE d.n_children = 0) AS n_leaves, CAST(sum(d.saved) AS BIGINT) AS saved_tokens, any_value(a.ends_sha256) AS ends_sha256
+FROM k a JOIN k d ON d.depth >= a.depth AND left(d.prefix, CAST(64 * a.depth AS BIGINT)) = a.prefix
+GROUP BY a.conv_id, a.depth""",
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, pieces, pii, quality, rules, simhash, topk, toxicity
+from . import chat, langid, mixing, pieces, pii, quality, rules, simhash, topk, toxicity, trie
 from .common import fold, table
 
 #: Name of the tokenizer model among the installed public tokenizers.
@@ -95,3 +95,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.statistics(table(spark, sf_dir, "conversations"))
