@@ -81,4 +81,18 @@ SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, any_value(a.parent_conv_id)
        count(*) FILTER (WHERE d.n_children = 0) AS n_leaves, CAST(sum(d.saved) AS BIGINT) AS saved_tokens, any_value(a.ends_sha256) AS ends_sha256
 FROM k a JOIN k d ON d.depth >= a.depth AND left(d.prefix, CAST(64 * a.depth AS BIGINT)) = a.prefix
 GROUP BY a.conv_id, a.depth""",
+    "op12_negatives": r"""
+WITH e AS (
+  SELECT row_number() OVER () AS key, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.key, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, CAST(coalesce(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, c.v)]), 0) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.key <> c.key WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+r AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.key, p.n ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.key = p.key AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3""",
 }

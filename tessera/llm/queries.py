@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, pieces, pii, quality, rules, simhash, topk, toxicity, trie
+from . import chat, langid, mixing, negatives, packing, pieces, pii, quality, rules, simhash, topk, toxicity, trie
 from .common import fold, table
 
 #: Name of the tokenizer model among the installed public tokenizers.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: The tokenizer whose ids are packed into sequences.
+BYTE_MODEL = "byte_bpe_50k.json"
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +31,13 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(BYTE_MODEL), encoding="utf-8") as f:
+        return f.read()
+
+
 @register
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -100,3 +109,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.statistics(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.pmod("vec_id", F.lit(50)) == 0)
+
+
+@register
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_model())
