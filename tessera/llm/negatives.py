@@ -165,9 +165,9 @@ def walk(index: MultiIndex, w: np.ndarray, allowed: np.ndarray, ids: np.ndarray,
     that were scored. ``allowed`` and ``ids`` are in the index's order."""
     slack = 1 + 1e-9 * np.abs(w).sum() * index.largest
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
-    open_, top, seen = list(range(len(windows))), max((h for _, h in windows), default=0), 0
+    open_, top, seen = [i for i, (low, high) in enumerate(windows) if low <= high], max((h for _, h in windows), default=0), 0
     wave, cells = WAVE, index.cells(w)
-    ahead = next(cells, None) if windows else None
+    ahead = next(cells, None) if open_ else None
     while ahead is not None:
         rows, n, lowest = [], 0, min(windows[i][0] for i in open_)
         while ahead is not None and n < wave:
