@@ -9,15 +9,15 @@ from tessera.llm import topk
 
 
 def brute(rows, k, every):
-    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows
-          if i is not None and v and all(x is not None and math.isfinite(x) and abs(256 * x) < topk.LARGEST for x in v)]
+    ok = [(i, [math.floor(256 * float(x)) if abs(x) < 1e15 else int(x) * 256 for x in v]) for i, v in rows
+          if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     asked = {}
     for i, v in ok:
         if i % every == 0:
             asked[i] = min(asked.get(i, v), v)
     for q, w in asked.items():
-        scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in ok if i != q)
+        scored = sorted((-max(-topk.LONG, min(topk.LONG, sum(a * b for a, b in zip(w, v)))), i) for i, v in ok if i != q)
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])}
     return out
 
@@ -59,3 +59,14 @@ def test_block_boundaries(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=5).tolist()) for i in range(300)]
     assert run(spark, rows) == brute(rows, 5, 5)
+
+
+def test_large_components_score_exactly(spark, monkeypatch):
+    rows = [(0, [1.0, 2.0]), (1, [70000.0, 0.0]), (2, [0.5, 0.5]), (5, [-70000.0, 3.0, 1.0]), (6, [1e9, -1e9]), (7, [65536.0, 65536.0]), (8, [65535.99, 1.0]),
+            (10, [3e8, 1.0]), (11, [1e300, 1.0]), (12, [-1e300]), (15, [1e300, -1e300]), (16, [2.0 ** 40, 2.0 ** 41]), (0, [1.0, 70000.0])]
+    assert (0, 1, 11, topk.LONG) in run(spark, rows)
+    assert run(spark, rows) == brute(rows, 5, 5)
+    monkeypatch.setattr(topk, "LARGEST", 64)  # most rows far, a few not
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 4)).tolist()) for i in range(200)]
+    assert run(spark, rows) == brute(rows, 5, 5)
