@@ -6,14 +6,17 @@ starting from medians and absolute deviations, concentration steps refit mean an
 the share ``SUBSET`` of the group's texts with the smallest Mahalanobis distances. A text is
 rejected if its squared distance exceeds the chi-square quantile ``LEVEL``, or by the base rules.
 
-Every step covers all texts. A step is one aggregation: distances are binned finely, moments are
+Every step covers all texts; texts of a group with the same counts (copies) are one point, so that
+a group of copies neither makes the estimate nor is judged by its size. A step is one aggregation: distances are binned finely, moments are
 summed per group and bin (so a source with a third of all texts is pre-aggregated before the
 shuffle), and the bins up to the subset's size give the next estimate. Groups of fewer than
 ``LEAST`` texts are estimated together with the other small groups of their language, and these,
-if still too few, with those of all languages.
+if still too few, with those of all languages. Fewer than ``LEAST`` points have no robust subset: their mean
+and covariance are taken whole.
 
-No scale is a constant. A variance estimated below the mean counting error of the subset's own
-texts counts as that error, so that statistics that are zero in nearly all texts do not reject on
+No scale is a constant. Along any direction a variance below the mean counting error of the subset's
+own texts counts as that error (the scatter is whitened by the errors and its eigenvalues are at
+least one), so that copies of a few texts, whose scatter is singular, keep finite distances, and statistics that are zero in nearly all texts do not reject on
 the first deviation: 1 / n for the log of n words, 1 / (4 n) for the square root of a share of n
 (its binomial error, whatever the share), ``CLUMP`` times that for repeated words, as one
 repeated window covers two windows of three words.
@@ -198,20 +201,23 @@ _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
 @arrow_udf(ArrayType(DoubleType()))
-def _inverted(moments: pa.Array) -> pa.Array:
-    """Means, then the inverse of the covariance (consistent for normal data, no variance below
-    its counting error)."""
+def _inverted(moments: pa.Array, robust: pa.Array) -> pa.Array:
+    """Means, then the inverse of the covariance (consistent for normal data). In units of the
+    counting errors no direction varies by less than one: a scatter of few distinct texts, or of
+    statistics that move together, has directions without any variance."""
     factor = SUBSET / chi_square_share(DIMS + 2, chi_square(DIMS, SUBSET))
     out = []
-    for m in moments.to_pylist():
+    for m, part in zip(moments.to_pylist(), robust.to_pylist()):
         n, sums, squares = m[0], np.array(m[1:1 + DIMS]), m[1 + DIMS:-3]
         mu = sums / n
         cov = np.zeros((DIMS, DIMS))
         for (i, j), s in zip(_PAIRS, squares):
             cov[i, j] = cov[j, i] = s / n - mu[i] * mu[j]
-        cov *= factor
-        short = np.maximum([m[len(m) - 3 + i] / n * f for i, f in ERROR] - np.diag(cov), 0)
-        out.append(np.concatenate([mu, np.linalg.inv(cov + np.diag(short)).ravel()]).tolist())
+        cov *= factor if part else 1
+        unit = 1 / np.sqrt([m[len(m) - 3 + i] / n * f for i, f in ERROR])
+        wide, turn = np.linalg.eigh(cov * np.outer(unit, unit))
+        turn = unit[:, None] * turn
+        out.append(np.concatenate([mu, (turn / np.maximum(wide, 1) @ turn.T).ravel()]).tolist())
     return pa.array(out, pa.list_(pa.float64()))
 
 
@@ -222,9 +228,9 @@ def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
     moments = [F.sum(c).alias(f"m{k}") for k, c in enumerate([F.lit(1.0), *x, *[x[i] * x[j] for i, j in _PAIRS], *[F.col("e")[i] for i in range(3)]])]
     bins = placed.groupBy("unit", "bin").agg(F.first("n").alias("n"), *moments)
     before = F.coalesce(F.sum("m0").over(Window.partitionBy("unit").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    inner = bins.withColumn("before", before).where(F.col("before") < F.col("n") * SUBSET)
+    inner = bins.withColumn("before", before).where(F.col("before") < F.col("n") * F.when(F.col("n") < LEAST, 1.0).otherwise(SUBSET))
     total = inner.groupBy("unit").agg(F.first("n").alias("n"), F.array(*[F.sum(f"m{k}") for k in range(len(moments))]).alias("m"))
-    fitted = total.select("unit", "n", _inverted("m").alias("f"))
+    fitted = total.select("unit", "n", _inverted("m", F.col("n") >= LEAST).alias("f"))
     return fitted.select("unit", "n", F.slice("f", 1, DIMS).alias("mu"), F.slice("f", DIMS + 1, DIMS * DIMS).alias("inverse"))
 
 
@@ -234,9 +240,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counted(F.col(text_col)).alias("c"))
     rows = cut(rows.select("doc_id", "lang", "source", "c.*"))
     units = cut(_grouped(rows).select("doc_id", "unit", *COUNTS, F.array(*transformed()).alias("x"), F.array(*inverse_lengths()).alias("e")))
-    now = cut(_start(units))
+    points = cut(units.groupBy("unit", *COUNTS).agg(F.first("x").alias("x"), F.first("e").alias("e")).select("unit", "x", "e"))
+    now = cut(_start(points))
     for _ in range(STEPS):
-        now = cut(_step(units.select("unit", "x", "e"), now))
+        now = cut(_step(points, now))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     far = units.join(_shared(now), "unit").withColumn("distance", _distance())
     return far.select("doc_id", *COUNTS, failed.alias("base_failed"), "distance",

@@ -84,3 +84,26 @@ def test_scales_are_those_of_the_group(spark):
     assert not any(r["base_failed"] for r in got.values())
     assert sum(got[i]["kept"] for i in range(400)) >= 396
     assert not any(got[i]["kept"] for i in got if i >= 1000)
+
+
+@pytest.mark.parametrize("shares", [[400], [200, 200], [240, 160], [150, 130, 120], [100] * 5])
+def test_copies_of_few_texts_stay(spark, shares):
+    """A group of a few texts with many copies has a singular scatter; nothing in it is an outlier."""
+    rng = random.Random(len(shares))
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(120, 300))) for _ in shares]
+    rows = [(i, t, "en", "a") for i, t in enumerate(t for t, n in zip(texts, shares) for _ in range(n))]
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r["kept"] and np.isfinite(r["distance"]) for r in got)
+
+
+def test_statistics_that_move_together(spark):
+    """Capital words that are exactly the marked words' number: one direction without variance."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        k = rng.randint(0, 40)
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)] + ["ABCDE"] * k + ["-----"] * k
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "a"))
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sum(r["kept"] for r in got) >= 290 and all(0 <= r["distance"] < 1e6 for r in got)
