@@ -3,9 +3,10 @@
 Sources in code-point order (null last) weigh 3, 1, 2, repeating, and share ``SHARE`` times all
 words; a target stops at ``LIMIT`` times its source's words and the excess is shared again by
 weight until no target is above, which is the water level: the l with
-sum(min(LIMIT * size, l * weight)) = total. Documents get a hash-random key. Each source is cut
-into key ranges of about ``RANGE`` documents, sorted within its ranges, and prefix sums of the
-word counts run over ranges and sources in parallel (``common.bucketed_prefix``); the mix takes
+sum(min(LIMIT * size, l * weight)) = total. Documents get a hash-random key. One range sort by
+(source, key, id, size) numbers the rows; ``RANGE`` consecutive numbers are a range, also within the
+rows of one id, and rows that are alike in all four, which the result cannot tell apart, go by where they
+lie. Prefix sums of the word counts run over ranges and sources in parallel (``common.bucketed_prefix``); the mix takes
 every document as often as whole epochs fit in the budget, then documents in key order until
 the budget is used up to the word: the document the cut falls into gives the words left.
 
@@ -19,6 +20,8 @@ empty results; the key depends on the id alone, so reruns and other partitioning
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +66,21 @@ def targets(sized: DataFrame, share: float = SHARE, limit: int = LIMIT) -> DataF
     return per.select("source", "n_docs", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: dict[str, Column] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: dict[str, Column] | None = None,
+        ties: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and the ``carry`` columns
-    (checkpointed with the sizes, so keep them small)."""
+    (checkpointed with the sizes, so keep them small). ``ties`` names those of them that order rows of
+    one id and size."""
     carry = carry or {}
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
                            key(F.col(id_col)).alias("key"), *[c.alias(n) for n, c in carry.items()]))
     goal = cut(targets(rows))
-    goals = goal.select(F.col("source").alias("_s"), "source_size", "target", F.ceil(F.col("n_docs") / RANGE).alias("_ranges"))
-    # The key's first 32 bits spread each source's documents evenly over its ranges.
-    place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("_ranges") / F.lit(1 << 32)).cast("int")
-    dealt = rows.join(goals, F.col("source").eqNullSafe(F.col("_s"))).withColumn("range", place)
-    summed = bucketed_prefix(dealt, ["source"], "range", [F.col("key"), F.col("doc_id"), F.col("size")], ["size"])
+    goals = goal.select(F.col("source").alias("_s"), "source_size", "target")
+    order = ["source", "key", "doc_id", "size", *ties]
+    ranged = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order, "_at").sortWithinPartitions(*order, "_at")
+    placed = cut(ranged.drop("_at").withColumn("_m", F.monotonically_increasing_id()))
+    dealt = placed.withColumn("range", F.floor(F.col("_m") / RANGE)).join(goals, F.col("source").eqNullSafe(F.col("_s")))
+    summed = bucketed_prefix(dealt, ["source"], "range", [F.col("_m")], ["size"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")

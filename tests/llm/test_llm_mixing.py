@@ -51,3 +51,21 @@ def test_edge_cases(spark):
     assert mixing.mix(df.limit(0)).collect() == []
     empty = mixing.mix(spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
+
+
+def test_hot_id_spreads_over_ranges(spark, monkeypatch):
+    """A third of all rows with one id: its ranges hold RANGE rows each, the budget stays exact."""
+    monkeypatch.setattr(mixing, "RANGE", 16)
+    seen = []
+    real = mixing.bucketed_prefix
+    monkeypatch.setattr(mixing, "bucketed_prefix", lambda df, groups, bucket, *a: (seen.append(df.groupBy(*groups, bucket).count().agg({"count": "max"}).first()[0]), real(df, groups, bucket, *a))[1])
+    rows = [(7, "w " * (i % 3 + 1), "a") for i in range(300)] + [(None, "x y", "a") for i in range(100)] + [(i, "p q r", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(df).collect()
+    assert seen[0] <= 16
+    for s in ("a", "b"):
+        size = sum(len(t.split()) for _, t, source in rows if source == s)
+        mine = [r for r in got if r["source_size"] == size]
+        assert sum(r["taken"] for r in mine) == math.floor(mine[0]["target"])
+    key = lambda rs: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"]) for r in rs)
+    assert key(got) == key(mixing.mix(df.repartition(2)).collect())
