@@ -52,7 +52,7 @@ DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at|be|us|ca|au|jp
 COUNTRY = "1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 CONTEXT = {"email": "mail|contact|write|kontakt|correo|courriel", "ip": r"\bip\b|host|server|addr|login", "card": "card|visa|master|credit|karte|carte|tarjeta|account",
            "phone": r"phone|call|tel|fax|mobile|cell|anruf|llam"}
-LEFT, BLOCK, STEPS = 32, 256, 25
+LEFT, BLOCK, STEPS, CHUNK = 32, 256, 25, 1_024
 LABELERS = ("base", "check", "gazetteer", "context", "edge", "shape")
 #: Prior counts of a labeler firing on true and on false candidates.
 PRIOR = (16.0, 4.0)
@@ -142,6 +142,21 @@ def _side(c: Column) -> Column:
     return (F.when(c == "", "none").when(c.rlike(r"\s"), "space").when(c.rlike("[0-9]"), "digit").when(c.rlike(r"\p{L}"), "letter").otherwise("mark"))
 
 
+def _meets(base: Column, x: Column) -> Column:
+    """Whether a span meets one of ``base``, which are sorted and apart: the first that ends behind
+    its start, by halving, begins before its end."""
+    some = F.exists(base, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
+
+    def half(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        behind = F.get(base, mid)["end"] > x["start"]
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(done | behind, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(~done & behind, mid).otherwise(s["hi"]).alias("hi"))
+
+    first = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + 1)).cast("int")), F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi")), half)["lo"]
+    return F.when(F.size(base) <= BLOCK, some).otherwise(F.coalesce(F.get(base, first)["start"] < x["end"], F.lit(False)))
+
+
 def candidates(text: Column) -> Column:
     """All candidates of a text: kind, start, end, base, the labelers' votes and the classifier's
     features. Loose candidates do not overlap a base span of their kind."""
@@ -160,7 +175,7 @@ def candidates(text: Column) -> Column:
                             votes.alias("votes"), features.alias("features"))
 
         def both(v):
-            free = F.filter(v["loose"], lambda x: ~F.exists(v["base"], lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
+            free = F.filter(v["loose"], lambda x: ~_meets(v["base"], x))
             return F.concat(F.transform(v["base"], lambda x: described(x, True)), F.transform(free, lambda x: described(x, False)))
 
         return bound(F.struct(base.alias("base"), loose.alias("loose")), both)
@@ -250,19 +265,40 @@ def written(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; a span that begins inside an
-    earlier one is covered by it."""
+    earlier one is covered by it. Spans go in blocks of ``BLOCK``, and a block reads the chunks of
+    ``CHUNK`` characters it lies in, so the work grows with the text and not with text times spans."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["k"].alias("k"))))
+    gap = "array<struct<a: int, b: int, k: int>>"
 
     def step(state, s):
-        piece = F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["k"] + 1))
-        taken = F.struct((-s["to"]).alias("at"), F.concat(state["out"], piece).alias("out"))
-        covered = F.struct(F.greatest(state["at"], -s["to"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], taken).otherwise(covered)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+        free = F.array(F.struct(state["at"].alias("a"), s["start"].alias("b"), s["k"].alias("k")))
+        return F.struct(F.greatest(state["at"], -s["to"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["out"], free)).otherwise(state["out"]).alias("out"))
+
+    def blocks(z):
+        """Gaps between uncovered spans, with the kind that follows, and where the last span ends."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda i: F.slice(z, i * BLOCK + 1, BLOCK))
+        inner = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(gap).alias("out")), step)
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{gap}>").alias("out")),
+                           lambda s, part: bound(inner(part, s["at"]), lambda v: F.struct(v["at"].alias("at"), F.concat(s["out"], F.array(v["out"])).alias("out"))))
+
+    def between(chunks, a, b, use):
+        """``use`` of the chunks from character ``a`` to ``b`` and of the place they begin at."""
+        first = F.floor(a / CHUNK).cast("int")
+        return bound(F.struct(F.array_join(F.slice(chunks, first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "").alias("s"), (first * CHUNK).alias("at")), use)
+
+    def written_block(chunks, g):
+        piece = lambda c: lambda x: F.concat(F.substring(c["s"], x["a"] - c["at"] + 1, x["b"] - x["a"]), F.element_at(names, x["k"] + 1))
+        return F.when(F.size(g) > 0, between(chunks, F.element_at(g, 1)["a"], F.element_at(g, -1)["b"], lambda c: F.array_join(F.transform(g, piece(c)), ""))).otherwise("")
+
+    def whole(v):
+        body = F.array_join(F.transform(v["g"]["out"], lambda g: written_block(v["c"], g)), "")
+        first = F.floor(v["g"]["at"] / CHUNK).cast("int")
+        rest = F.array_join(F.slice(v["c"], first + 1, F.size(v["c"]) + 1), "")
+        return F.concat(body, bound(rest, lambda r: F.substring(r, v["g"]["at"] - first * CHUNK + 1, F.length(r))))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, bound(F.struct(bound(ordered, blocks).alias("g"), chunks.alias("c")), whole)).otherwise(text)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Personal data: base spans against Python's regular expressions, the method's own spans."""
 
 import random
+import time
 import re
 
 from pyspark.sql import functions as F
@@ -77,3 +78,57 @@ def test_no_python_in_the_plan_and_empty_table(spark):
     assert pii.find(df).collect() == []
     plan = df.select(pii.candidates(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_redaction_of_random_spans(spark, monkeypatch):
+    """Overlapping, nested, touching and far spans over small blocks and chunks, against a loop."""
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    monkeypatch.setattr(pii, "CHUNK", 5)
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice("aé字😀 \n") for _ in range(rng.randrange(60)))
+        spans = [(k, a, min(len(text), a + rng.randrange(1, 9)), True) for k, a in ((rng.randrange(4), rng.randrange(max(1, len(text)))) for _ in range(rng.randrange(12))) if a < len(text)]
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<k: int, start: int, end: int, base: boolean>>")
+    for r in df.select("i", pii.redacted(F.col("t"), F.col("s")).alias("o")).collect():
+        _, text, spans = rows[r["i"]]
+        out, at = [], 0
+        for k, a, b, _ in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+            if a >= at:
+                out += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, b)
+        assert r["o"] == (("".join(out) + text[at:]) if spans else text)
+
+
+def test_loose_spans_that_meet_base_spans(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(200):
+        at, base = 0, []
+        for _ in range(rng.randrange(20)):
+            at += rng.randrange(4)
+            base.append((at, at + rng.randrange(1, 5)))
+            at = base[-1][1]
+        a = rng.randrange(60)
+        rows.append((i, base, (a, a + rng.randrange(1, 6))))
+    df = spark.createDataFrame(rows, "i int, b array<struct<start: int, end: int>>, x struct<start: int, end: int>")
+    monkeypatch.setattr(pii, "BLOCK", 0)
+    for r in df.select("i", pii._meets(F.col("b"), F.col("x")).alias("m")).collect():
+        _, base, (a, b) = rows[r["i"]]
+        assert r["m"] == any(a < e and s < b for s, e in base)
+
+
+def test_fifty_thousand_spans_in_one_text(spark):
+    """Twice the spans take about twice the time."""
+    took = []
+    for n in (25_000, 50_000):
+        text = " ".join(f"m{i}@x{i % 7}.com" + (" a (at) b.org" if i % 9 == 0 else "") for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").checkpoint()
+        begin = time.time()
+        found = df.select("text", pii.candidates(F.col("text")).alias("f")).checkpoint()
+        spans = F.transform("f", lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
+        out = found.select(F.size(F.filter("f", lambda c: c["base"])).alias("n"), pii.redacted(F.col("text"), spans).alias("o")).first()
+        took.append(time.time() - begin)
+        assert out["n"] == n and out["o"].count("[EMAIL]") == n + (n + 8) // 9 and "@" not in out["o"]
+    assert took[1] < 3.2 * took[0] + 1, took
