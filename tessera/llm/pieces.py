@@ -255,19 +255,23 @@ def encoder(model: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encoded(spark: SparkSession, text: Column, model: bytes) -> Column:
-    """Column: struct of ``ids`` and the byte spans ``begin``, ``end`` of each text's pieces.
+def encoded(spark: SparkSession, text: Column, model: bytes, decode: bool = False) -> Column:
+    """Column: struct of ``ids`` and the byte spans ``begin``, ``end`` of each text's pieces; with
+    ``decode`` also ``decoded_sha256``, the hash of the text the ids decode to.
     ``model`` is the content of the model file (its size is that of the vocabulary)."""
     bounded_batches()
     held = spark.sparkContext.broadcast(model)
 
-    @arrow_udf(ENCODED)
+    @arrow_udf(StructType([*ENCODED.fields, StructField("decoded_sha256", StringType())]) if decode else ENCODED)
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder(held.value)
         for batch in texts:
             for part in tb.slices(batch):
                 rows = [(np.frombuffer(ids, "<i4"), begin.astype(np.int32), end.astype(np.int32)) for ids, begin, end in of.encode(part.to_pylist())]
-                yield pa.StructArray.from_arrays([_lists([r[j] for r in rows]) for j in range(3)], names=["ids", "begin", "end"])
+                columns = [_lists([r[j] for r in rows]) for j in range(3)]
+                if decode:
+                    columns.append(pa.array([hashlib.sha256(of.decode(r[0].tobytes()).encode()).hexdigest() for r in rows], pa.string()))
+                yield pa.StructArray.from_arrays(columns, names=["ids", "begin", "end", "decoded_sha256"][:len(columns)])
 
     return made(text)
 
