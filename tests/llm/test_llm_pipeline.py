@@ -1,12 +1,14 @@
 """The pipeline's stages, each against its own input."""
 
+import hashlib
 import re
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tessera.llm import simhash
+from tessera.llm import queries, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,26 +44,45 @@ def test_stages(spark, sf):
         groups.setdefault(r["component_id"], set()).add(r["doc_id"])
     rows = single.collect()
     assert single.columns == docs.columns
-    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(min(x for x in g if x is not None) for k, g in groups.items() if k is not None)
-    assert [r["text"] for r in rows if r["doc_id"] == 303] == ["twice the id"] and sum(r["doc_id"] is None for r in rows) == 1
+    firsts = [min(x for x in g if x is not None) for k, g in groups.items() if k is not None]
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted([*firsts, 303])  # its two texts are no duplicates
+    assert sorted(r["text"] for r in rows if r["doc_id"] == 303) == ["twice the id", "twice the id, other"] and sum(r["doc_id"] is None for r in rows) == 1
 
     hidden = stage("personal_data")(spark, single, sf)
-    by = {r["doc_id"]: r for r in hidden.collect()}
+    shown = hidden.collect()
+    by = {(r["doc_id"], r["text"]): r for r in shown}
+    private = next(r for r in shown if r["doc_id"] == 300)
     assert hidden.columns == docs.columns and len(by) == len(rows)
-    assert by[300]["text"] == "mail me at [EMAIL] please, ip [IP]" and by[300]["n_chars"] == len(by[300]["text"])
-    assert all(by[r["doc_id"]]["text"] == r["text"] and by[r["doc_id"]]["n_chars"] == r["n_chars"] for r in rows if r["doc_id"] != 300)
+    assert private["text"] == "mail me at [EMAIL] please, ip [IP]" and private["n_chars"] == len(private["text"])
+    assert all(by[r["doc_id"], r["text"]]["n_chars"] == r["n_chars"] for r in rows if r["doc_id"] != 300)
 
     mixed = stage("mixing")(spark, hidden, sf)
     taken = {}
     for r in mixed.collect():
-        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + 1
-        assert r["text"] == by[r["doc_id"]]["text"]
+        key = r["doc_id"], r["text"]
+        taken[key] = taken.get(key, 0) + 1
+        assert key in by
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total = sum(words(r["text"]) for r in by.values())
-    assert set(taken.values()) <= {1, 2} and abs(sum(words(by[i]["text"]) * n for i, n in taken.items()) - 1.5 * total) < 40
+    assert set(taken.values()) <= {1, 2} and abs(sum(words(t) * n for (_, t), n in taken.items()) - 1.5 * total) < 40
 
     ids = stage("encoding")(spark, mixed, sf).collect()
     assert len(ids) == sum(taken.values()) and all(r["n_tokens"] == len(r["ids"]) and r["ids"][0] == 1 and r["ids"][-1] == 2 for r in ids)
+    processor = sentencepiece.SentencePieceProcessor(model_proto=queries.piece_model())
+    texts = {}
+    for _, t in taken:
+        texts.setdefault(tuple([1, *processor.encode(t), 2]), []).append(t)
+    for r in ids:
+        assert r["decoded_sha256"] == hashlib.sha256(processor.decode(r["ids"]).encode()).hexdigest()
+        t = texts[tuple(r["ids"])][0].encode()
+        assert r["begin"][0] == 0 and r["end"][-1] == len(t) and all(a <= b for a, b in zip(r["begin"], r["end"])) and len(r["begin"]) == len(r["ids"])
+
+
+def test_mix_of_repeated_ids_is_rerun_stable(spark):
+    """Rows of one id and size with other texts: the mix takes the same ones however they lie."""
+    rows = [(1, f"text {i} with words", "en", "s", i) for i in range(40)] + [(2, "a b c d e f", "en", "t", 0)]
+    taken = [sorted(map(tuple, stage("mixing")(spark, spark.createDataFrame(rows[::step], COLUMNS).repartition(n), "").collect())) for step, n in ((1, 1), (-1, 5), (1, 7))]
+    assert taken[0] == taken[1] == taken[2] and taken[0]
 
 
 def test_run_equals_the_stages(spark, sf):
