@@ -1,9 +1,10 @@
 """Offline load: raw line-JSON records -> prepared, encoded, indexed tables.
 
 ``read -> malformed lines aside -> prepare (facts, validity, citations, dates, provenance) ->
-rejects + stats -> encode facts -> attach vectors -> documents -> postings``. Every output is
+rejects + stats -> encode facts -> attach vectors -> documents -> postings -> index``. Every output is
 partitioned by collection and a run replaces its collection's partition, so a rerun leaves the
-same tables and other collections are untouched. Records are keyed by collection, file and line.
+same tables and other collections are untouched; with ``LoadPaths.index`` the collection becomes a
+segment of the search index in place of its former one. Records are keyed by collection, file and line.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions.facts import truthy
 from ..operators import analysis as an
 from ..operators import prep as pr
 from ..operators import vectors as vx
+from ..operators.segments import Index
 from ..session import ensure_checkpoint_dir
 from ..sources import io as sio
 
@@ -28,6 +30,7 @@ class LoadPaths:
     postings: str
     rejects: str
     stats: str
+    index: str | None = None
 
 
 def record_key(collection: Column, file: Column, line: Column) -> Column:
@@ -50,6 +53,14 @@ def parsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.drop("_file", "line_no", "source_doc_id"), bad.select("collection", "_file", "line_no", "_corrupt")
 
 
+def index_at(spark: SparkSession, path: str) -> Index:
+    """The newest version of the segmented index, created empty if there is none."""
+    try:
+        return Index.open(spark, path)
+    except FileNotFoundError:
+        return Index.create(spark, path)
+
+
 def offline_load(spark: SparkSession, path: str, paths: LoadPaths, collection: str, encoder=None,
                  dims: int = vx.DEFAULT_DIMS, start: int = 0, end: int = 0, metric: str = "cos", patterns=None) -> DataFrame:
     ensure_checkpoint_dir(spark)
@@ -70,4 +81,6 @@ def offline_load(spark: SparkSession, path: str, paths: LoadPaths, collection: s
     docs = pr.attach_vector(prepared, written)
     sio.write_collection(docs, paths.documents, collection)
     sio.write_collection(an.by_term(an.postings(prepared, "content")), paths.postings, collection)
+    if paths.index:
+        index_at(spark, paths.index).load(prepared.select("doc_id", "content", "basics_text"), collection)
     return docs

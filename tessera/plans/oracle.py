@@ -243,6 +243,9 @@ SELECT item_id, CASE WHEN query IS NULL OR query = '' THEN NULL
     S["delete_by_collection"] = with_prelude("x AS (SELECT 1)\nSELECT doc_id, collection FROM prepared WHERE collection <> 'p1'")
 
     # ---- shaping
+    S["indexed_substring"] = S["substring_scan"]
+    S["indexed_substrings"] = with_prelude("q AS (SELECT item_id, substring(text, %d, %d) AS s FROM benchmark)\n" % P.STRETCH +
+                                           "SELECT item_id, doc_id FROM q JOIN prepared ON s <> '' AND strpos(content, s) > 0")
     S["preview"] = with_prelude("x AS (SELECT 1)\nSELECT doc_id, substring(content, 1, 300) AS preview FROM prepared")
     S["pseudo_facts"] = with_prelude(f"x AS (SELECT 1)\nSELECT doc_id, CASE WHEN coalesce(basics_text, '') <> '' THEN basics_text ELSE {nl('content')} END AS query_text FROM prepared")
     S["date_render"] = with_prelude("x AS (SELECT 1)\nSELECT doc_id, strftime(publish_date, '%Y-%m-%d') AS publish_date FROM prepared")
@@ -333,6 +336,7 @@ c AS ({CASE_VECTORS_SQL}),
 s AS (SELECT qid, doc_id, round({_dot('vector', 'qv')}, 6) AS score FROM c CROSS JOIN q WHERE vector IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT qid, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= {P.KNN_JOIN_K}"""
+    S["knn_ivf_exhaustive"] = S["knn_join"]
     S["hybrid_rescore"] = with_prelude(hits + f""",
 qv AS {qv}
 SELECT h.doc_id, round(CASE WHEN v.vector IS NULL THEN 0.0 ELSE {_dot('v.vector', 'q')} + 1 END, 6) AS score
@@ -359,7 +363,13 @@ SELECT qid, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= {P.SIMILAR
     S["similar_stored_cases"] = S["similar_cases"].replace(
         "q AS (SELECT item_id AS qid, text AS qtext FROM benchmark)",
         f"q AS (SELECT doc_id AS qid, CASE WHEN coalesce(basics_text, '') <> '' THEN basics_text ELSE {nl('content')} END AS qtext "
-        f"FROM prepared WHERE court_name = '{P.SIMILAR_COURT}' AND case_type = '刑事')")
+        f"FROM prepared WHERE doc_id % 50 = 0)")
+    S["indexed_similar_cases"] = S["similar_cases"]
+    S["indexed_similar_stored_cases"] = S["similar_stored_cases"]
+    S["index_after_delete"] = S["similar_cases"].replace("AS t FROM prepared)", f"AS t FROM prepared WHERE collection <> {_q(P.DELETED)})")
+    S["indexed_facets"], S["indexed_post_filter"] = S["facets"], S["post_filter_search"]
+    S["index_after_merge"] = with_prelude(bm25_cte("h", f"(SELECT * FROM prepared WHERE collection <> {_q(P.DELETED)})", tok("content"), qo) +
+                                          "\nSELECT doc_id, round(score, 6) AS score FROM h")
     S.update(explain_sql())
     return S
 

@@ -10,6 +10,8 @@ Q_MULTI = "chen lyon 判决"             # combined fields: title + content
 Q_MULTI_PHRASE = '"the"'              # best-field phrase
 Q_KNN = "经审理查明，the treaty of lyon and chen。本院认为"  # query text for vector search
 SUBSTRING = "erheit"                  # raw substring scan
+STRETCH = (11, 9)                      # first character and length of the patterns taken from passages
+IVF_PROBE = 0.8                       # share of the rows whose codes a query reads
 SAMPLE_SIZE = 50                      # facet sampler
 FACET_SIZE = 10
 CLIENT_PAGE = 25
@@ -22,4 +24,4 @@ LINE_START = 100
 LINE_LOOKUP = 7
 POST_FILTER = {"court_province": ["en", "fr"], "trial_round": ["一审", "二审"]}
 TERMS_FILTER_LAWS = ["《民法》第1条", "《民法》第2条", "《合同法》第二条"]
-SIMILAR_COURT = "src7"                # whose criminal cases are searched by document
+LAST_BATCH, DELETED = "p3", "p1"      # collections: loaded second, deleted from the first load

@@ -19,9 +19,12 @@ from ..functions.vectors import l2_norm, l2_normalize
 from ..operators import analysis as an
 from ..operators import facets as fc
 from ..operators import index as ix
+from ..operators import ivf as iv
 from ..operators import prep as pr
 from ..operators import search as se
+from ..operators import segments as sg
 from ..operators import shape as sh
+from ..operators import substrings as sb
 from ..operators import vectors as vx
 from ..session import ensure_checkpoint_dir
 from ..sources import io as sio
@@ -125,6 +128,63 @@ def indexed_facts_search(spark, sf_dir):
     return se.top_k(ix.indexed_search(spark, case_index(spark, sf_dir), P.Q_OR, se.field_for("仅案情")), 20)
 
 
+_SEGMENTED: dict[tuple[str, str, str], sg.Index] = {}
+
+
+def segmented_index(spark, sf_dir, state="loaded"):
+    """Segmented index of the prepared cases, once per application: ``loaded`` in two batches, then
+    ``deleted`` without one collection of the first batch, then ``merged`` into one segment."""
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _SEGMENTED:
+        if state == "loaded":
+            index = sg.Index.create(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/segments-{uuid.uuid4().hex}", ix.FIELDS, facet_fields=FACET_KEEP)
+            docs = prepared(spark, sf_dir).select("doc_id", "collection", *ix.FIELDS, *FACET_KEEP)
+            last = F.col("collection") == P.LAST_BATCH
+            _SEGMENTED[key] = index.add(docs.filter(~last)).add(docs.filter(last))
+        elif state == "deleted":
+            _SEGMENTED[key] = segmented_index(spark, sf_dir).delete(F.col("collection") == P.DELETED)
+        else:
+            _SEGMENTED[key] = segmented_index(spark, sf_dir, "deleted").merge()
+    return _SEGMENTED[key]
+
+
+@register
+def indexed_similar_cases(spark, sf_dir):
+    bench = tb.read_table(spark, sf_dir, "benchmark")
+    return segmented_index(spark, sf_dir).search_table(bench, "item_id", F.col("text"), "basics_text", P.SIMILAR_K)
+
+
+@register
+def indexed_similar_stored_cases(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    asked = p.filter(F.col("doc_id") % 50 == 0)
+    return segmented_index(spark, sf_dir).search_table(asked, "doc_id", se.pseudo_facts(p), "basics_text", P.SIMILAR_K)
+
+
+@register
+def index_after_delete(spark, sf_dir):
+    bench = tb.read_table(spark, sf_dir, "benchmark")
+    return segmented_index(spark, sf_dir, "deleted").search_table(bench, "item_id", F.col("text"), "basics_text", P.SIMILAR_K)
+
+
+@register
+def index_after_merge(spark, sf_dir):
+    h = segmented_index(spark, sf_dir, "merged").search(P.Q_OR)
+    return h.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register
+def indexed_facets(spark, sf_dir):
+    index = segmented_index(spark, sf_dir)
+    return index.facets(index.hits(P.Q_OR), FACET_FIELDS)
+
+
+@register
+def indexed_post_filter(spark, sf_dir):
+    index = segmented_index(spark, sf_dir)
+    return se.top_k(index.post_filter(index.hits(P.Q_OR), P.POST_FILTER).select("doc_id", "score"), 20)
+
+
 @register
 def query_mode(spark, sf_dir):
     bench = tb.read_table(spark, sf_dir, "benchmark")
@@ -144,9 +204,9 @@ def similar_cases(spark, sf_dir):
 
 @register
 def similar_stored_cases(spark, sf_dir):
-    """Stored cases as queries: the criminal cases of one court against the facts of all cases."""
+    """Stored cases as queries: those whose id is divisible by 50 against the facts of all cases."""
     p = prepared(spark, sf_dir)
-    asked = p.filter((F.col("court_name") == P.SIMILAR_COURT) & (F.col("case_type") == "刑事"))
+    asked = p.filter(F.col("doc_id") % 50 == 0)
     return se.similar_cases(p, asked, P.SIMILAR_K)
 
 
@@ -232,6 +292,22 @@ def substring_scan(spark, sf_dir):
     return prepared(spark, sf_dir).filter(F.instr("content", P.SUBSTRING) > 0).select("doc_id")
 
 
+def _substring_index(spark, sf_dir):
+    return _built(spark, sf_dir, "trigrams", lambda at: sb.build(prepared(spark, sf_dir), at, "content"))
+
+
+@register
+def indexed_substring(spark, sf_dir):
+    return sb.find(spark, _substring_index(spark, sf_dir), P.SUBSTRING)
+
+
+@register
+def indexed_substrings(spark, sf_dir):
+    """A table of patterns: a stretch of every benchmark passage."""
+    bench = tb.read_table(spark, sf_dir, "benchmark")
+    return sb.find_table(bench, _substring_index(spark, sf_dir), "item_id", F.substring("text", *P.STRETCH)).select(F.col("pid").alias("item_id"), "doc_id")
+
+
 @register
 def exists_filter(spark, sf_dir):
     from ..functions.facts import truthy
@@ -467,6 +543,33 @@ def knn_lsh(spark, sf_dir):
         .select("qid", "doc_id", "score", F.col("rank").cast("int"))
 
 
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _built(spark, sf_dir, name, build):
+    """Path of an index built once per application in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+@register
+def knn_ivf(spark, sf_dir):
+    path = _built(spark, sf_dir, "ivf", lambda at: iv.build(tb.case_vectors(spark, sf_dir), at))
+    return iv.search(_bench_query_vectors(spark, sf_dir), path, P.KNN_JOIN_K, P.IVF_PROBE)
+
+
+@register
+def knn_ivf_exhaustive(spark, sf_dir):
+    """All cells and all rows of the shortlist: the exact join."""
+    path = _built(spark, sf_dir, "ivf", lambda at: iv.build(tb.case_vectors(spark, sf_dir), at))
+    n = tb.case_vectors(spark, sf_dir).count()
+    return iv.search(_bench_query_vectors(spark, sf_dir), path, P.KNN_JOIN_K, 1.0, n)
+
+
 @register
 def hybrid_rescore(spark, sf_dir):
     qv = vx.query_vector(spark, P.Q_KNN, dims=P.DIMS)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.prep import prepare_cases
-from ..plans.load_plan import keyed, parsed
+from ..plans.load_plan import index_at, keyed, parsed
 from ..sources.schema import CASE_SCHEMA
 
 
@@ -35,9 +35,11 @@ def collection_of_file(file: str = "_file") -> F.Column:
 
 
 def start_incremental_load(spark: SparkSession, landing_dir: str, table_dir: str, checkpoint_dir: str,
-                           available_now: bool = True, rejects_dir: str | None = None, patterns=None) -> StreamingQuery:
+                           available_now: bool = True, rejects_dir: str | None = None, patterns=None,
+                           max_files_per_trigger: int | None = None, index_dir: str | None = None) -> StreamingQuery:
     """Start the load; the caller waits with ``awaitTermination()``. Malformed lines are written
-    under ``rejects_dir`` (by default beside the table)."""
+    under ``rejects_dir`` (by default beside the table). With ``index_dir`` each batch becomes a
+    segment of that search index; a retried batch replaces its own records."""
     rejects = rejects_dir or f"{table_dir.rstrip('/')}_rejects"
 
     def load(batch: DataFrame, number: int) -> None:
@@ -46,9 +48,11 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, table_dir: str
         for df, path, fmt in ((prepare_cases(cases, patterns=patterns), table_dir, "parquet"), (malformed, rejects, "json")):
             out = df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             out.partitionBy("collection", "batch").format(fmt).save(path)
+        if index_dir:
+            index_at(spark, index_dir).replace(prepare_cases(cases, patterns=patterns).select("doc_id", "collection", "content", "basics_text"))
         rows.unpersist()
 
-    writer = case_stream(spark, landing_dir).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_dir)
+    writer = case_stream(spark, landing_dir, max_files_per_trigger).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_dir)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -134,3 +134,30 @@ def test_incremental_stream_picks_only_new_files(spark, scratch):
     assert [r.doc_id for r in out.filter("collection = 'p3'").collect()] == [key] and "_corrupt" not in out.columns
     out = out.filter("collection <> 'p3'")
     assert out.count() == 3 and sorted(r.collection for r in out.select("collection").distinct().collect()) == ["p1", "p2"]
+
+
+def test_loads_feed_the_segmented_index(spark, scratch):
+    """A collection is a segment; its rerun replaces it, a stream's batch adds to it, a retried batch does not."""
+    from tessera.operators import search as se
+    from tessera.operators.segments import Index
+
+    paths = LoadPaths(*(os.path.join(scratch, d) for d in ["docs", "vecs", "post", "rej", "stat", "index"]))
+    for name in ("a", "b", "a"):
+        _write_cases(os.path.join(scratch, f"{name}.txt"), [CASE_A, CASE_B] if name == "a" else [CASE_A])
+        offline_load(spark, os.path.join(scratch, f"{name}.txt"), paths, name)
+    docs = spark.read.parquet(paths.documents)
+    index = Index.open(spark, paths.index)
+    key = lambda df: sorted((r.doc_id, round(r.score, 6)) for r in df.collect())
+    assert len(index.segments) == 2 and sorted(r.doc_id for r in index.documents().collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert key(index.search("借款")) == key(se.keyword_search(docs, "借款")) and index.search("借款").count() > 0
+
+    land, table, ck = (os.path.join(scratch, d) for d in ["land", "table", "ck"])
+    os.makedirs(land)
+    for name in ("c", "d"):
+        _write_cases(os.path.join(land, f"{name}.txt"), [CASE_A, CASE_B])
+        start_incremental_load(spark, land, table, ck, max_files_per_trigger=1, index_dir=paths.index).awaitTermination()
+    start_incremental_load(spark, land, table + "2", ck + "2", index_dir=paths.index).awaitTermination()  # the same files again
+    index = Index.open(spark, paths.index)
+    got = sorted((r.collection, r.doc_id) for r in index.documents().collect())
+    want = docs.select("collection", "doc_id").unionByName(spark.read.parquet(table).select("collection", "doc_id"))
+    assert got == sorted((r.collection, r.doc_id) for r in want.collect()) and len(got) == 7
