@@ -14,6 +14,13 @@ def dot(a, b) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
 
 
+def finite_vector(v, dims: int | None = None) -> Column:
+    """Whether a vector has no null or non-finite component and ``dims`` components (any number but 0)."""
+    v = col_(v).cast("array<double>")
+    fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    return F.coalesce(fine, F.lit(False)) & ((F.size(v) == dims) if dims else (F.size(v) > 0))
+
+
 def l2_norm(a) -> Column:
     return F.sqrt(F.aggregate(col_(a), F.lit(0.0).cast("double"), lambda acc, v: acc + v.cast("double") * v.cast("double")))
 

@@ -129,7 +129,8 @@ def ranked(sentences: Column, sentence_number: int = SENTENCE_NUMBER, min_len: i
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             rows = []
-            for sents in batch.to_pylist():
+            for at in range(len(batch)):  # a batch is bounded by bytes; one text at a time is unpacked
+                sents = batch[at].as_py()
                 weights = np.round(textrank([s["words"] for s in sents], iterations, damping), WEIGHT_DIGITS).tolist()
                 target = n_key(len(sents), sentence_number)
                 long = [i for i, s in enumerate(sents) if len(s["sentence"]) >= min_len]
@@ -242,7 +243,7 @@ def pair_table(pairs: DataFrame, texts: DataFrame, relation_ratio: float = RELAT
 
         kind = to_arrow_type(_FOUND)
         for q, c, same in batches:
-            yield pa.array([explained(*row, relation_ratio, step) for row in zip(q.to_pylist(), c.to_pylist(), same.to_pylist())], kind)
+            yield pa.array([explained(q[i].as_py(), c[i].as_py(), same[i].as_py(), relation_ratio, step) for i in range(len(q))], kind)
 
     keys = F.transform("r.keys", lambda i: F.struct(i.alias("idx"), F.get("sents", i)["words"].alias("words")))
     side = texts.select("tid", F.struct(keys.alias("keys"), F.col("r.n_key").alias("n_key"), F.size("sents").alias("n")).alias("t"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot, finite_vector
 
 MOST_CELLS, WORDS, TRAIN, BOOK_ROWS = 4_096, 256, 256, 16_384
 PART_BYTES = 16 * 1024 * 1024
@@ -93,10 +93,7 @@ class Model:
 
 def usable(rows: DataFrame, column: str, dims: int | None = None) -> DataFrame:
     """Rows with a finite vector (of ``dims`` components), as doubles."""
-    v = F.col(column).cast("array<double>")
-    fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    whole = F.coalesce(fine, F.lit(False)) & ((F.size(v) == dims) if dims else (F.size(v) > 0))
-    return rows.where(whole).withColumn(column, v)
+    return rows.where(finite_vector(column, dims)).withColumn(column, F.col(column).cast("array<double>"))
 
 
 def _sampled(rows: DataFrame, n: int, size: int, seed: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, FloatType, LongType
 
 from ..functions.facts import extract_facts
 from ..functions.text import let, tokenize
-from ..functions.vectors import dot, l2_normalize, vector_literal
+from ..functions.vectors import dot, finite_vector, l2_normalize, vector_literal
 
 DEFAULT_DIMS = 64
 BLOCK_BYTES = 32 * 1024 * 1024
@@ -115,16 +115,22 @@ def _best(qmat, mat, k: int, chunk: int = 1024):
     import numpy as np
 
     for lo in range(0, len(qmat), chunk):
-        best = np.zeros((len(qmat[lo:lo + chunk]), 0), np.int64)
+        n = len(qmat[lo:lo + chunk])
+        score, row = np.zeros((n, 0)), np.zeros((n, 0), np.int64)
         for at in range(0, len(mat), chunk):
-            raw = qmat[lo:lo + chunk] @ mat[at:at + chunk].T
-            units = (np.sign(raw) * np.floor(np.abs(raw) * 1e6 + 0.5)).astype(np.int64)
-            # one integer orders by score, then by row: rows of a block stay below 2**24
-            best = np.concatenate([best, (units << 24) - np.arange(at, at + raw.shape[1])], axis=1)
-            if best.shape[1] > k:
-                best = -np.partition(-best, k - 1, axis=1)[:, :k]
-        row = -best & ((1 << 24) - 1)
-        yield np.repeat(np.arange(lo, lo + len(best)), best.shape[1]), row.ravel(), ((best + row) >> 24).ravel() / 1e6
+            with np.errstate(over="ignore", invalid="ignore"):
+                raw = qmat[lo:lo + chunk] @ mat[at:at + chunk].T
+            raw[np.isnan(raw)] = -np.inf  # products beyond a double that cancel
+            units = np.sign(raw) * np.floor(np.abs(raw) * 1e6 + 0.5)
+            score = np.concatenate([score, np.where(np.abs(raw) < 1e9, units / 1e6, raw)], axis=1)
+            row = np.concatenate([row, np.broadcast_to(np.arange(at, at + raw.shape[1]), raw.shape)], axis=1)
+            if score.shape[1] > k:
+                # Columns stand in row order: all above the k-th score, then the first of those equal to it.
+                last = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
+                above, equal = score > last, score == last
+                take = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+                score, row = score[take].reshape(n, k), row[take].reshape(n, k)
+        yield np.repeat(np.arange(lo, lo + n), score.shape[1]), row.ravel(), score.ravel()
 
 
 def _block_fn(k: int):
@@ -155,12 +161,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid
     Queries are hashed into ``Qb`` blocks and the corpus into ``Cb`` blocks of about
     ``block_bytes``; every query block meets every corpus block in one co-grouped shuffle
     (the corpus is copied ``Qb`` times, the queries ``Cb`` times). A cell emits exactly k
-    rows per query, however many tie. Scores are rounded to 6 digits, ties go by ``doc_id``.
+    rows per query, however many tie. Scores are rounded to 6 digits (those from 1e9 on are as they
+    are), ties go by ``doc_id``. Vectors, on either side, that are null, hold a null or non-finite
+    component or are not as long as the longest query take no part.
     """
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("_qv"))
-    c = corpus.filter(F.col(vector_col).isNotNull()).select(F.col("doc_id").cast("bigint"), F.col(vector_col).alias("_v"))
-    n_q, d = _measure(q, "_qv")
-    n_c, _ = _measure(c, "_v")
+    _, d = _measure(q, "_qv")
+    q = q.filter(finite_vector("_qv", d))
+    c = corpus.select(F.col("doc_id").cast("bigint"), F.col(vector_col).alias("_v")).filter(finite_vector("_v", d))
+    (n_q, _), (n_c, _) = _measure(q, "_qv"), _measure(c, "_v")
     q_blocks = _blocks(n_q, d, block_bytes)
     # small corpora are cut finer, so that every core has a cell
     c_blocks = max(_blocks(n_c, d, block_bytes), min(corpus.sparkSession.sparkContext.defaultParallelism, n_c // 1024))

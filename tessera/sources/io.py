@@ -8,12 +8,17 @@ splits (see ``with_line_numbers``); no window runs over the rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from .schema import CASE_SCHEMA
 
+#: File splits whose offsets are copied to every task; more are joined by a shuffle.
+FEW_SPLITS = 100_000
+
 
 def read_case_lines(spark: SparkSession, path: str, schema: T.StructType = CASE_SCHEMA) -> DataFrame:
     """Line-JSON scan with an explicit schema; malformed lines land in ``_corrupt``."""
@@ -48,8 +53,11 @@ def with_line_numbers(df: DataFrame, col: str = "line_no", keep_file: bool = Fal
     splits = tagged.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_base"))
     w = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_split", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # one row per file split (at most one per some 100 MB of input)
-    out = tagged.join(F.broadcast(offsets), ["_file", "_split"])
+    # One row per file split (about one per 100 MB of input), written once and counted.
+    ensure_checkpoint_dir(df.sparkSession)
+    offsets = offsets.checkpoint()
+    few = offsets.count() <= FEW_SPLITS
+    out = tagged.join(F.broadcast(offsets) if few else offsets, ["_file", "_split"])
     out = out.withColumn(col, (F.col("_off") + F.col("_row") - F.col("_base")).cast("bigint")).drop("_split", "_row", "_base", "_off")
     return out if keep_file else out.drop("_file")
 
@@ -69,13 +77,17 @@ def line_lookup(df: DataFrame, k: int, col: str = "line_no") -> DataFrame:
 
 
 def read_vectors_binary(spark: SparkSession, path: str, dims: int, key: str = "ord") -> DataFrame:
-    """Row-major float32 matrix file(s) -> ``(ord, vector array<float>)``."""
-    sc = spark.sparkContext
-    recs = sc.binaryRecords(path, 4 * dims).map(lambda b: np.frombuffer(bytes(b), dtype="<f4").tolist())
-    rdd = recs.zipWithIndex().map(lambda vi: (vi[1], vi[0]))
-    schema = T.StructType([T.StructField(key, T.LongType(), False),
-                           T.StructField("vector", T.ArrayType(T.FloatType(), False))])
-    return spark.createDataFrame(rdd, schema)
+    """Row-major float32 matrix file(s) -> ``(ord, vector array<float>)``. Fixed-length records have
+    no DataFrame reader, so bytes come as records; they become vectors by whole Arrow batches."""
+    recs = spark.sparkContext.binaryRecords(path, 4 * dims).zipWithIndex().map(lambda vi: (vi[1], vi[0]))
+
+    def decoded(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("raw").to_pylist()), "<f4")
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(flat))], [key, "vector"])
+
+    return spark.createDataFrame(recs, f"{key} bigint, raw binary").mapInArrow(decoded, f"{key} bigint, vector array<float>")
 
 
 def partition_path(spark: SparkSession, path: str, column: str, value: str) -> str:

@@ -94,3 +94,18 @@ def test_hybrid_rescore_missing_vector_scores_zero(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, vector array<double>")
     out = {r.doc_id: r.score for r in vx.hybrid_rescore(hits, vecs, [0.5, 0.5]).collect()}
     assert out == {1: 1.5, 2: 0.0}
+
+
+def test_knn_join_large_scores_ties_and_odd_vectors(spark):
+    nan = float("nan")
+    corpus = [(i, [float(i % 3), 0.0]) for i in range(2_500)] + [(5_000, [7e5, 1.0]), (5_001, [7e5 + 1, 1.0]), (5_002, [-7e5, 0.0]), (5_003, [1e12, 0.0]), (5_004, [1e12 + 1, 0.0]),
+              (5_005, None), (5_006, [nan, 1.0]), (5_007, [1.0]), (5_008, [1.0, None]), (5_009, [1.0, 2.0, 3.0]), (5_010, [])]
+    queries = [(1, [1.0, 0.0]), (2, [1e3, 0.0]), (3, [-1.0, 0.0]), (4, [nan, 0.0]), (5, [1.0]), (6, None)]
+    got = vx.knn_join(spark.createDataFrame(queries, "qid long, qvec array<double>"), spark.createDataFrame(corpus, "doc_id long, vector array<double>").repartition(5), 9)
+    rows = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in got.collect())
+    fine = [(d, v) for d, v in corpus if v and len(v) == 2 and None not in v and v[0] == v[0]]
+    want = []
+    for q, w in queries[:3]:
+        scored = sorted((-round(w[0] * v[0] + w[1] * v[1], 6), d) for d, v in fine)[:9]
+        want += [(q, n + 1, d, -s) for n, (s, d) in enumerate(scored)]
+    assert rows == want
