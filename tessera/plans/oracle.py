@@ -370,6 +370,21 @@ SELECT qid, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= {P.SIMILAR
     S["indexed_facets"], S["indexed_post_filter"] = S["facets"], S["post_filter_search"]
     S["index_after_merge"] = with_prelude(bm25_cte("h", f"(SELECT * FROM prepared WHERE collection <> {_q(P.DELETED)})", tok("content"), qo) +
                                           "\nSELECT doc_id, round(score, 6) AS score FROM h")
+    # Every pair of that cosine shares a term up to which what remains of either bag is long enough.
+    S["sentence_links"] = f"""WITH sl AS (SELECT doc_id, {_sentences('text')} AS l FROM documents),
+s AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS sent_idx, unnest(l) AS sentence FROM sl),
+t AS (SELECT doc_id, sent_idx, list_sort({tok('sentence')}) AS words FROM s),
+c AS (SELECT words, min((doc_id, sent_idx)) AS f, count(*) AS copies, row_number() OVER (ORDER BY min((doc_id, sent_idx))) AS bag FROM t WHERE len(words) > 0 GROUP BY words),
+v AS (SELECT bag, term, count(*) AS tf FROM (SELECT bag, unnest(words) AS term FROM c) GROUP BY ALL),
+n AS (SELECT bag, sum(tf * tf)::BIGINT AS n2 FROM v GROUP BY bag),
+d AS (SELECT term, count(*) AS df FROM v GROUP BY term),
+o AS (SELECT v.*, n2, sum(tf * tf) OVER (PARTITION BY bag ORDER BY df DESC, term DESC) AS upto FROM v JOIN d USING (term) JOIN n USING (bag)),
+p AS (SELECT bag, term FROM o WHERE sqrt(upto) >= sqrt(n2) * {P.LINK_COSINE!r} - 1e-9),
+k AS (SELECT DISTINCT a.bag AS a, b.bag AS b FROM p a JOIN p b ON a.term = b.term AND a.bag < b.bag),
+x AS (SELECT k.a, k.b, sum(va.tf * vb.tf) AS dot FROM k JOIN v va ON va.bag = k.a JOIN v vb ON vb.bag = k.b AND vb.term = va.term GROUP BY k.a, k.b)
+SELECT ca.f[1]::BIGINT AS doc_a, ca.f[2]::INTEGER AS sent_a, ca.copies AS copies_a, cb.f[1]::BIGINT AS doc_b, cb.f[2]::INTEGER AS sent_b, cb.copies AS copies_b,
+  round(dot / (sqrt(na.n2) * sqrt(nb.n2)), 6) AS cos
+FROM x JOIN c ca ON ca.bag = x.a JOIN c cb ON cb.bag = x.b JOIN n na ON na.bag = x.a JOIN n nb ON nb.bag = x.b WHERE dot / (sqrt(na.n2) * sqrt(nb.n2)) >= {P.LINK_COSINE!r} - 1e-12"""
     S.update(explain_sql())
     return S
 
@@ -482,6 +497,18 @@ def explain_sql() -> dict[str, str]:
     comps_out = "\nSELECT pair_id, comp_rank::INTEGER AS comp_rank, array_to_string(q, ',') AS q_idx, array_to_string(c, ',') AS c_idx, ((comp_rank - 1) % 5)::INTEGER AS color FROM comps"
     E["explain_components"] = base + comps_out
     E["explain_identical_components"] = same + comps_out
+    graph = base.replace(_similar_ctes(1), _similar_ctes(P.GRAPH_K)).replace(
+        "SELECT b.item_id AS pair_id, b.text AS query_text", "SELECT b.item_id * 10 + sim.rank AS pair_id, b.item_id AS q_id, sim.doc_id AS c_id, b.text AS query_text")
+    E["case_graph_components"] = graph + """,
+ge AS (SELECT DISTINCT q_id, q_idx, c_id, c_idx, concat('0:', q_id, ':', q_idx) AS a, concat('1:', c_id, ':', c_idx) AS b FROM matched JOIN pairs USING (pair_id)),
+ga AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge),
+gr AS (SELECT * FROM (WITH RECURSIVE rr(node, root) AS (SELECT a, a FROM ga UNION SELECT ga.b, rr.root FROM rr JOIN ga ON rr.node = ga.a) SELECT * FROM rr)),
+gl AS (SELECT node, min(root) AS label FROM gr GROUP BY node),
+gn AS (SELECT DISTINCT 0 AS side, q_id AS text_id, q_idx AS sent_idx, a AS node FROM ge UNION SELECT DISTINCT 1, c_id, c_idx, b FROM ge),
+gp AS (SELECT label, side, text_id, sent_idx FROM gn JOIN gl USING (node)),
+gg AS (SELECT label, min((text_id, sent_idx)) FILTER (WHERE side = 0) AS f, count(*) FILTER (WHERE side = 0) AS n_query, count(*) FILTER (WHERE side = 1) AS n_cand FROM gp GROUP BY label)
+SELECT f[1]::BIGINT AS q_first, f[2]::INTEGER AS q_first_idx, side::INTEGER AS side, text_id::BIGINT AS text_id, sent_idx::INTEGER AS sent_idx, n_query, n_cand
+FROM gp JOIN gg USING (label) WHERE n_query > 0 AND n_cand > 0"""
     E["explain_pairs"] = base + """,
 ns AS (SELECT tid // 2 AS pair_id, count(*) FILTER (WHERE tid % 2 = 0) AS n_query_sents, count(*) FILTER (WHERE tid % 2 = 1) AS n_cand_sents FROM sents GROUP BY ALL),
 nm AS (SELECT pair_id, count(*) AS n_matched FROM matched GROUP BY ALL),

@@ -19,6 +19,8 @@ DIMS = 64                             # hashed-encoder width (= driver embedding
 KNN_K = 1000
 KNN_JOIN_K = 10
 SIMILAR_K = 10
+GRAPH_K = 3                           # similar cases of a passage in the case graph
+LINK_COSINE = 0.8
 STOP_DF_RATIO = 0.5
 LINE_START = 100
 LINE_LOOKUP = 7

@@ -17,12 +17,14 @@ from ..functions.labels import FACET_FIELDS
 from ..functions.text import preview, strip_newlines
 from ..functions.vectors import l2_norm, l2_normalize
 from ..operators import analysis as an
+from ..operators import components as cp
 from ..operators import facets as fc
 from ..operators import index as ix
 from ..operators import ivf as iv
 from ..operators import prep as pr
 from ..operators import search as se
 from ..operators import segments as sg
+from ..operators import sentence_join as sj
 from ..operators import shape as sh
 from ..operators import substrings as sb
 from ..operators import vectors as vx
@@ -604,6 +606,16 @@ def explain_input(spark, sf_dir):
     return bench.select(F.col("item_id").alias("pair_id"), F.col("text").alias("query_text")).join(cand, "pair_id")
 
 
+def case_pairs(spark, sf_dir, k):
+    """Every benchmark passage with its ``k`` most similar cases: (pair_id, q_id, c_id, query_text, cand_text)."""
+    bench = tb.read_table(spark, sf_dir, "benchmark")
+    top = segmented_index(spark, sf_dir).search_table(bench, "item_id", F.col("text"), "basics_text", k)
+    top = top.select("doc_id", F.col("qid").alias("q_id"), (F.col("qid") * 10 + F.col("rank")).alias("pair_id"))
+    chosen = pr.prepare_cases(tb.cases(spark, sf_dir).join(top, "doc_id"))
+    cand = chosen.select("pair_id", "q_id", F.col("doc_id").alias("c_id"), F.col("basics_text").alias("cand_text"))
+    return cand.join(bench.select(F.col("item_id").alias("q_id"), F.col("text").alias("query_text")), "q_id")
+
+
 def identity_input(spark, sf_dir):
     bench = tb.read_table(spark, sf_dir, "benchmark")
     return bench.select(F.col("item_id").alias("pair_id"), F.col("text").alias("query_text"), F.col("text").alias("cand_text"))
@@ -658,6 +670,19 @@ def explain_components(spark, sf_dir):
     return _components_out(_explained(spark, sf_dir).components)
 
 
+@register
+def case_graph_components(spark, sf_dir):
+    pairs = case_pairs(spark, sf_dir, P.GRAPH_K).checkpoint()
+    found = xp.explain_pairs(pairs.select("pair_id", "query_text", "cand_text"))
+    return cp.case_components(found.matched, pairs)
+
+
+@register
+def sentence_links(spark, sf_dir):
+    """Pairs of different sentences of all documents with cosine 0.8 or more."""
+    return sj.links(an.sentences(tb.documents(spark, sf_dir)), P.LINK_COSINE).withColumn("cos", F.round("cos", 6))
+
+
 @register
 def explain_identical_components(spark, sf_dir):
     return _components_out(_explained(spark, sf_dir, identity=True).components)
