@@ -15,9 +15,8 @@ among its length's steps. No task sees more than a bucket or a batch.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are packed each;
 null ids are ids like any other; ties are broken by the pieces' checksums, ids and places, so
-reruns agree; extra columns are ignored; an empty table gives no pieces. Very long texts are
-encoded in parts of ``PART`` characters, cut only before a single space or line feed between a word or
-mark and a letter, where the tokenizer always starts anew (a text without such a place is encoded whole).
+reruns agree; extra columns are ignored; an empty table gives no pieces. Texts of any length are encoded in
+short stretches and by slices of about a megabyte of whole texts.
 """
 
 from __future__ import annotations
@@ -26,84 +25,105 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbatch as tb
 from .common import bounded_batches, bucketed_prefix, stored
 
-CAPACITY, BUCKET, PART = 2_048, 4_096, 1 << 18
-#: Characters of a batch given to the tokenizer at a time.
-BATCH = 1 << 20
+CAPACITY, BUCKET = 2_048, 1_024
+#: Stretches given to the tokenizer at a time, remembered at most, and characters of one that is remembered.
+BATCH, REMEMBERED, SHORT = 1 << 14, 1 << 20, 64
 _PIECE = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
-_START = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n][A-Za-z])")
-_loaded: dict[int, object] = {}
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_CUT = re.compile(rf"([ \n])(?<=[{_LETTER}0-9.,;:!?][ \n])(?=[{_LETTER}])")
+_PLAIN = re.compile(rf"[ \n][^\n]*[{_LETTER}0-9.,;:!?]\Z").match
+_loaded: dict[str, object] = {}
 
 
 # ---------------------------------------------------------------------------------------
 # tokens
 
 
-def tokenizer(model: str):
-    """The tokenizer of a JSON model, kept by the worker."""
-    from tokenizers import Tokenizer
-
-    key = hash(model)
-    if key not in _loaded:
+class Encoder:
+    """Ids by the tokenizers library, asked once for every distinct stretch of text.
+
+    Texts are cut before a single space or line feed between a word or mark and a letter: there the
+    tokenizer's pattern always starts anew, whatever stands around. ``known`` holds the ids of
+    stretches (the space or line feed and what follows) up to ``SHORT`` characters."""
+
+    def __init__(self, model: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(model)
+        self.known: dict[str, bytes] = {}
+        self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, stretches: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+
+    def learn(self, stretches: list[str]) -> None:
+        """Stretches that end in a word or mark and hold no other line feed are encoded many at a
+        time with a line feed between them, which is a token of its own there."""
+        rough = [c for c in stretches if not _PLAIN(c)]
+        self.known.update(zip(rough, self.ids(rough)))
+        for lead, kept, before in ((" ", " ", b""), ("\n", "", self.feed)):
+            plain = [c for c in stretches if c[0] == lead and _PLAIN(c)]
+            for at in range(0, len(plain), BATCH):
+                some = plain[at:at + BATCH]
+                data = self.ids([kept + f"\n{kept}".join([c[1:] for c in some]) + "\n"])[0]
+                begin = 0
+                for c, end in zip(some, (4 * np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.feed, "<u4"))).tolist()):
+                    self.known[c] = before + data[begin:end]
+                    begin = end + 4
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Token ids of each text as little-endian 32-bit integers, without special tokens of its own."""
+        known, heads, cuts = self.known, [], []
+        for text in texts:
+            first, *rest = _CUT.split(text)
+            heads.append(first)
+            cuts.append(list(map(add, rest[::2], rest[1::2])))
+        fresh = list(set().union(*cuts).difference(known))
+        self.learn(fresh)
+        for head, cut in zip(self.ids(heads), cuts):
+            yield head + b"".join([known[c] for c in cut])
+        # The stretches met first, so the frequent ones, stay.
+        for c in fresh if len(known) > REMEMBERED else [c for c in fresh if len(c) > SHORT]:
+            del known[c]
+
+
+def encoder(model: str) -> Encoder:
+    """The encoder of a JSON model, kept by the worker."""
+    if model not in _loaded:
         _loaded.clear()
-        _loaded[key] = Tokenizer.from_str(model)
-    return _loaded[key]
-
-
-def parts(text: str, limit: int) -> list[str]:
-    """The text in parts that are encoded as the whole would be."""
-    out, at = [], 0
-    while len(text) - at > limit:
-        found = _START.search(text, at + limit)
-        if not found:
-            break
-        out.append(text[at:found.start()])
-        at = found.start()
-    return [*out, text[at:]]
-
-
-def encoded(texts: list[str], model: str) -> Iterator[np.ndarray]:
-    """Token ids of each text, without special tokens of its own."""
-    encode = tokenizer(model).encode_batch_fast
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH):
-            size += len(texts[stop])
-            stop += 1
-        if stop == at + 1 and size > PART:
-            yield np.concatenate([np.array(encode([p], add_special_tokens=False)[0].ids, "<u4") for p in parts(texts[at], PART)])
-        else:
-            for e in encode(texts[at:stop], add_special_tokens=False):
-                yield np.array(e.ids, "<u4")
-        at = stop
+        _loaded[model] = Encoder(model)
+    return _loaded[model]
 
 
 def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the documents' pieces of at most ``capacity`` ids."""
     bounded_batches()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    end = np.array([end_id], "<u4")
+    end = np.array([end_id], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(texts, shared.value)):
-                ids = np.concatenate([ids, end])
-                edges = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
+            ids_of = (ids for part in tb.slices(batch.column("text")) for ids in encoder(shared.value).encode([t or "" for t in part.to_pylist()]))
+            for ids, doc in zip(ids_of, batch.column("doc_id").to_pylist()):
+                ids += end
+                n = len(ids) // 4
+                edges = [0, *range(n % capacity or capacity, n, capacity), n]
                 for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append((doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                    rows.append((doc, i, a, b - a, zlib.crc32(ids[4 * a:4 * b])))
             yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(_PIECE)})
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -85,15 +85,19 @@ def test_reruns_agree_and_small_buckets(spark, monkeypatch):
     assert sorted(got) == sorted(run(spark, rows[::-1], 32))
 
 
-def test_parts_encode_like_the_whole():
+def test_stretches_encode_like_the_whole(monkeypatch):
     t = Tokenizer.from_file(PATH)
+    of = packing.Encoder(MODEL)
     rng = random.Random(4)
-    alphabet = ["a", "B", " ", " ", "\n", "é", "1", ".", "'s", "  ", "日", "\t", " ", "²", ", ", "<|endoftext|>", "\x1c", " "]
-    for _ in range(400):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(200)))
-        cut = packing.parts(text, 12)
-        assert "".join(cut) == text
-        assert [i for p in cut for i in t.encode(p, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+    alphabet = ["a", "B", " ", " ", "\n", "é", "1", ".", "'s", "  ", "日", "\t", " ", "²", ", ", "<|endoftext|>", "\x1c", " ", "Ü", "don't", "\u0308", "\u00a0"]
+    rows = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(1_500)]
+    rows += ["a b " * 300, "x" * 200 + " y", "", " ", "\n", " a", "\na\nb", "word " * 50]
+    for remembered in (packing.REMEMBERED, 5):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        for at in range(0, len(rows), 100):
+            got = list(of.encode(rows[at:at + 100]))
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in rows[at:at + 100]]
+    assert all(len(k) <= packing.SHORT for k in of.known)
 
 
 def test_each_bin_is_the_fullest():
