@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.labels import FIELD_LABELS
-from ..functions.text import highlight_runs, let, preview, split_sentences, tokenize, url_quote
+from ..functions.text import RUN_PATTERN, col_, highlight_runs, let, preview, split_sentences, tokenize, url_quote
 from .prep import DATE_COLUMNS, MISSING
 from .search import pseudo_facts
 
@@ -35,6 +35,49 @@ def highlight(text, terms: list[str], pre: str = "<strong>", post: str = "</stro
     return let(best_fragment(text, terms), lambda frag: F.when(frag.isNotNull(), highlight_runs(frag, qarr, pre, post)))
 
 
+def best_window(text, terms: list[str]) -> Column:
+    """The shortest stretch of a text that holds every query term the text has, the first of equals:
+    struct of its ``runs``, first and last run (``a``, ``b``) and the number ``n`` of terms; null without any.
+
+    One sweep over the matching runs: the last place of every term is kept, and a window ends at
+    each run once all are met, so the work is linear in the text however often terms occur."""
+    terms = list(dict.fromkeys(terms))
+    qarr = F.array(*[F.lit(t) for t in terms])
+    nothing = F.array(*[F.lit(-1) for _ in terms])
+
+    def swept(v: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            last = F.transform(s["last"], lambda p, j: F.when(j == x["t"], x["i"]).otherwise(p))
+            return let(last, lambda held: let(F.filter(held, lambda p: p >= 0), lambda met: F.struct(
+                held.alias("last"),
+                F.when((F.size(met) == v["n"]) & (x["i"] - F.array_min(met) < s["b"] - s["a"]), F.array_min(met)).otherwise(s["a"]).alias("a"),
+                F.when((F.size(met) == v["n"]) & (x["i"] - F.array_min(met) < s["b"] - s["a"]), x["i"]).otherwise(s["b"]).alias("b"))))
+
+        start = F.struct(nothing.alias("last"), F.lit(0).alias("a"), F.lit((1 << 31) - 1).alias("b"))
+        done = F.aggregate(v["m"], start, step)
+        return let(done, lambda d: F.when(v["n"] > 0, F.struct(v["runs"].alias("runs"), d["a"].alias("a"), d["b"].alias("b"), v["n"].alias("n"))))
+
+    def matched(runs: Column) -> Column:
+        places = F.transform(runs, lambda r, i: F.struct(i.alias("i"), (F.array_position(qarr, F.lower(r)) - 1).cast("int").alias("t")))
+        return let(F.filter(places, lambda x: x["t"] >= 0), lambda m: let(
+            F.struct(runs.alias("runs"), m.alias("m"), F.size(F.array_distinct(F.transform(m, lambda x: x["t"]))).alias("n")), swept))
+
+    return let(F.regexp_extract_all(F.coalesce(col_(text), F.lit("")), F.lit(RUN_PATTERN), 1), matched)
+
+
+def highlight_window(text, terms: list[str], around: int = 12, pre: str = "<strong>", post: str = "</strong>") -> Column:
+    """``best_window`` with ``around`` runs (words and what stands between them) on both sides, its
+    matched words wrapped in tags; null when nothing matches."""
+    qarr = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+
+    def written(w: Column) -> Column:
+        first = F.greatest(w["a"] - around, F.lit(0))
+        shown = F.slice(w["runs"], first + 1, w["b"] + around - first + 1)
+        return F.array_join(F.transform(shown, lambda r: F.when(F.array_contains(qarr, F.lower(r)), F.concat(F.lit(pre), r, F.lit(post))).otherwise(r)), "")
+
+    return let(best_window(text, terms), lambda w: F.when(w.isNotNull(), written(w))) if terms else F.lit(None).cast("string")
+
+
 def search_page(scored: DataFrame, from_: int = 0, size: int = PAGE_SIZE) -> DataFrame:
     """``from`` / ``size`` paging over the deterministic ranking."""
     r = scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.asc("doc_id"))

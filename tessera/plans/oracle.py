@@ -204,6 +204,18 @@ best AS (SELECT doc_id, arg_max(s, n * 100000000 - i) AS frag, max(n) AS n FROM
 SELECT pg.doc_id, CASE WHEN best.n > 0 THEN array_to_string(list_transform({hl_runs},
    lambda r: CASE WHEN list_contains({qarr}, lower(r)) THEN '<strong>' || r || '</strong>' ELSE r END), '') END AS highlight
 FROM pg LEFT JOIN best USING (doc_id)""")
+    runs = "regexp_extract_all(content, '([0-9A-Za-zÀ-ÖØ-öø-ÿ]+|[一-鿿]|[^0-9A-Za-zÀ-ÖØ-öø-ÿ一-鿿]+)', 1)"
+    S["highlight_window"] = with_prelude(hits + f""",
+pg AS (SELECT h.doc_id, {runs} AS runs FROM h JOIN prepared p USING (doc_id) ORDER BY round(h.score, 6) DESC, h.doc_id LIMIT 20),
+un AS (SELECT doc_id, generate_subscripts(runs, 1) AS i, unnest(runs) AS r FROM pg),
+m AS (SELECT doc_id, i, lower(r) AS term FROM un WHERE list_contains({qarr}, lower(r))),
+k AS (SELECT doc_id, count(DISTINCT term) AS n FROM m GROUP BY doc_id),
+la AS (SELECT e.doc_id, e.i AS b, m.term, max(m.i) AS place FROM m e JOIN m ON m.doc_id = e.doc_id AND m.i <= e.i GROUP BY ALL),
+wi AS (SELECT doc_id, b, min(place) AS a, count(*) AS met FROM la GROUP BY doc_id, b),
+be AS (SELECT wi.doc_id, arg_min((a, b), (b - a, a)) AS w FROM wi JOIN k ON k.doc_id = wi.doc_id AND wi.met = k.n GROUP BY wi.doc_id)
+SELECT pg.doc_id, array_to_string(list_transform(runs[greatest(w[1] - 12, 1):w[2] + 12],
+  lambda r: CASE WHEN list_contains({qarr}, lower(r)) THEN '<strong>' || r || '</strong>' ELSE r END), '') AS fragment
+FROM pg LEFT JOIN be USING (doc_id)""")
     S["search_hits"] = with_prelude(hits + f""",
 pg AS (SELECT h.doc_id, round(h.score, 6) AS score, p.* EXCLUDE (doc_id) FROM h JOIN prepared p USING (doc_id) ORDER BY round(h.score, 6) DESC, h.doc_id LIMIT 20),
 sn AS (SELECT doc_id, unnest({_sentences('content')}) AS s, generate_subscripts({_sentences('content')}, 1) AS i FROM pg),

@@ -263,6 +263,13 @@ def highlight(spark, sf_dir):
     return page.select("doc_id", sh.highlight(F.col("content"), terms).alias("highlight"))
 
 
+@register
+def highlight_window(spark, sf_dir):
+    page = sh.search_page(_or_hits(spark, sf_dir, keep=("content",)), 0, 20)
+    terms = se.analyze_query(spark, P.Q_OR)
+    return page.select("doc_id", sh.highlight_window(F.col("content"), terms).alias("fragment"))
+
+
 @register
 def page_window(spark, sf_dir):
     total = _or_hits(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
