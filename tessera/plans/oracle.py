@@ -379,6 +379,7 @@ SELECT qid, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= {P.SIMILAR
     S["indexed_similar_cases"] = S["similar_cases"]
     S["indexed_similar_stored_cases"] = S["similar_stored_cases"]
     S["index_after_delete"] = S["similar_cases"].replace("AS t FROM prepared)", f"AS t FROM prepared WHERE collection <> {_q(P.DELETED)})")
+    S["indexed_pair_phrase"] = S["phrase_search"]
     S["indexed_facets"], S["indexed_post_filter"] = S["facets"], S["post_filter_search"]
     S["index_after_merge"] = with_prelude(bm25_cte("h", f"(SELECT * FROM prepared WHERE collection <> {_q(P.DELETED)})", tok("content"), qo) +
                                           "\nSELECT doc_id, round(score, 6) AS score FROM h")

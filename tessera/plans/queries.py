@@ -175,6 +175,13 @@ def index_after_merge(spark, sf_dir):
     return h.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@register
+def indexed_pair_phrase(spark, sf_dir):
+    """A phrase of common words, answered from their pair lists."""
+    h = segmented_index(spark, sf_dir).search(P.Q_PHRASE)
+    return h.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @register
 def indexed_facets(spark, sf_dir):
     index = segmented_index(spark, sf_dir)
