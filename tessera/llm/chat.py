@@ -8,9 +8,11 @@ conversation itself. A prefix that more conversations pass through than end at i
 longer one; an anti-join keeps the conversations whose own hash is not extended, and of equal
 conversations the one with the smallest id. These are rendered with a chat template.
 
-DataFrame operations only. Conversations are cut into segments of ``SEGMENT`` turns: running sums
-are taken per segment and offset by the segments' totals, and a conversation is rendered one row
-a segment, so a conversation of any length passes through many tasks.
+DataFrame operations only. Conversations are cut into segments of ``SEGMENT`` turn numbers: running
+sums are taken per segment and offset by the segments' totals, and a conversation is rendered one row
+a segment, so a conversation whose turns are numbered passes through many tasks whatever its length.
+Segments go by number, not by place: the rows of one conversation that share a turn number, or have
+none, are sorted and rendered together in one task.
 
 Defined results: rows repeated within a conversation count once; different rows with one turn
 number all stay, in order of role and text; a null conversation id is an id like any other (the
