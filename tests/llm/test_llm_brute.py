@@ -1,4 +1,4 @@
-"""Plain-Python references of the toxicity classifier: its features and its learner."""
+"""Plain-Python references of the toxicity classifier (features, learner) and of the quality classifier (bins, risk)."""
 
 import math
 import random
@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm import textbatch as tb
-from tessera.llm import toxicity
+from tessera.llm import quality, toxicity
 
 M = 1 << 64
 
@@ -70,3 +70,48 @@ def test_ftrl_matches_a_loop_over_dicts():
     want = {i: weight(i) for i in z if i != "bias" and weight(i)}
     assert np.isclose(bias, weight("bias")) and at.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)])
     assert want and len(want) < len(z) - 1  # L1 leaves some out
+
+
+def test_pu_gradient_is_the_slope_of_the_non_negative_risk(monkeypatch):
+    """Against finite differences, where the risk of negatives is positive and where it is not."""
+    rng = np.random.default_rng(7)
+    width = len(quality.FEATURES)
+    p, u = rng.normal(0.5, 1, (60, width)), rng.normal(0, 1.5, (90, width))
+    seen = []
+    real = quality.descend
+    monkeypatch.setattr(quality, "descend", lambda gradient, size, decay: (seen.append(gradient), real(gradient, size, decay))[1])
+    model = quality.train(p, u)
+    gradient, prior = seen[-1], model["prior"]
+    bp, bu = quality.binned(p, model["edges"]), quality.binned(u, model["edges"])
+
+    def parts(w):
+        zp = [sum(w[i] for i in row) + w[-1] for row in bp.tolist()]
+        zu = [sum(w[i] for i in row) + w[-1] for row in bu.tolist()]
+        plus = lambda z: math.log1p(math.exp(-z))
+        minus = lambda z: math.log1p(math.exp(z))
+        mean = lambda f, zs: sum(map(f, zs)) / len(zs)
+        return prior * mean(plus, zp), mean(minus, zu) - prior * mean(minus, zp)
+
+    regimes = set()
+    for shift in (0.0, 4.0, -4.0):
+        w = rng.normal(0, 0.3, len(model["w"]))
+        for b in range(bp.shape[1]):
+            w[bp[:, b]] += shift / bp.shape[1]
+        positive = parts(w)[1] >= 0
+        regimes.add(positive)
+        objective = (lambda w: sum(parts(w))) if positive else (lambda w: -parts(w)[1])
+        g = gradient(w)
+        for i in [*rng.choice(len(w) - 1, 25, replace=False), len(w) - 1]:
+            up, down = w.copy(), w.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs(g[i] - (objective(up) - objective(down)) / 2e-5) < 1e-6
+    assert True in regimes
+
+
+def test_bins_match_plain_python():
+    rng = np.random.default_rng(9)
+    width = len(quality.FEATURES)
+    x, edges = rng.integers(-3, 4, (40, width)) / 2, np.sort(rng.integers(-2, 3, (width, quality.BINS)) / 2, axis=1)
+    got = quality.binned(x, edges)
+    assert got.tolist() == [[sum(e <= v for e in edges[j]) + j * (quality.BINS + 1) for j, v in enumerate(row)] for row in x.tolist()]
