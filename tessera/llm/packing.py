@@ -25,7 +25,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import add
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,15 @@ from .common import bounded_batches, bucketed_prefix, stored
 
 CAPACITY, BUCKET = 2_048, 1_024
 #: Stretches given to the tokenizer at a time, remembered at most, and characters of one that is remembered.
-BATCH, REMEMBERED, SHORT = 1 << 14, 1 << 20, 64
+BATCH, REMEMBERED, SHORT = 1 << 14, 3 << 19, 64
 _PIECE = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_CUT = re.compile(rf"([ \n])(?<=[{_LETTER}0-9.,;:!?][ \n])(?=[{_LETTER}])")
-_PLAIN = re.compile(rf"[ \n][^\n]*[{_LETTER}0-9.,;:!?]\Z").match
+_SOLID = f"!-~{_LETTER[6:]}"  # no white space: ASCII's marks, digits and letters, and Latin letters
+_LINE, _SPACE = (re.compile(rf"{x}(?<=[{_SOLID}]{x})(?=[{_SOLID}])") for x in ("\n", " "))
+#: A word that a space stands before; a line after a line feed, with that; letters with marks behind.
+_WORD = re.compile(rf"[^ ]*[{_SOLID}]\Z").match
+_AFTER = re.compile(rf"\n[^\n]*[{_SOLID}]\Z").match
+_MARKED = re.compile(rf"([^\n]*[{_LETTER}])([!#$%&*,.:;?]+)\Z").match
 _loaded: dict[str, object] = {}
 
 
@@ -52,9 +57,9 @@ _loaded: dict[str, object] = {}
 class Encoder:
     """Ids by the tokenizers library, asked once for every distinct stretch of text.
 
-    Texts are cut before a single space or line feed between a word or mark and a letter: there the
-    tokenizer's pattern always starts anew, whatever stands around. ``known`` holds the ids of
-    stretches (the space or line feed and what follows) up to ``SHORT`` characters."""
+    Texts are cut before a single space or line feed between two characters that are no white space: there
+    the tokenizer's pattern always starts anew, whatever stands around. ``known`` holds the ids of
+    stretches up to ``SHORT`` characters: what follows the space, or the line feed and what follows it."""
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
@@ -62,37 +67,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.known: dict[str, bytes] = {}
         self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.marks: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for piece, i in vocabulary.items() if piece[0] == "\u0120"]] = True  # a space in the byte alphabet
 
     def ids(self, stretches: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
 
-    def learn(self, stretches: list[str]) -> None:
-        """Stretches that end in a word or mark and hold no other line feed are encoded many at a
-        time with a line feed between them, which is a token of its own there."""
-        rough = [c for c in stretches if not _PLAIN(c)]
-        self.known.update(zip(rough, self.ids(rough)))
-        for lead, kept, before in ((" ", " ", b""), ("\n", "", self.feed)):
-            plain = [c for c in stretches if c[0] == lead and _PLAIN(c)]
-            for at in range(0, len(plain), BATCH):
-                some = plain[at:at + BATCH]
-                data = self.ids([kept + f"\n{kept}".join([c[1:] for c in some]) + "\n"])[0]
-                begin = 0
-                for c, end in zip(some, (4 * np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.feed, "<u4"))).tolist()):
-                    self.known[c] = before + data[begin:end]
-                    begin = end + 4
+    def learn(self, stretches: set[str]) -> None:
+        """Marks behind a letter are tokens of their own. Words are encoded many at a time, as a word holds one
+        space, its first character; lines that end in a word or mark with a line feed between them, which is
+        a token of its own there."""
+        known, marked = self.known, {c: (m[1], m[2]) for c in stretches if (m := _MARKED(c))}
+        tails = list({tail for _, tail in marked.values() if tail not in self.marks})
+        marks = self.marks | dict(zip(tails, self.ids(tails)))
+        self.marks.update(islice(((tail, marks[tail]) for tail in tails if len(tail) <= SHORT), max(0, BATCH - len(self.marks))))
+        bare = stretches.difference(marked).union([c for c, _ in marked.values()]).difference(known)
+        words = [c for c in bare if c[0] != "\n" and _WORD(c)]
+        rough = [c for c in bare if c[0] != "\n" and not _WORD(c)]
+        for at in range(0, len(words), BATCH):
+            some = words[at:at + BATCH]
+            data = self.ids([" " + " ".join(some)])[0]
+            begin = (4 * np.flatnonzero(self.spaced[np.frombuffer(data, "<u4")])).tolist()
+            if len(begin) == len(some):
+                known.update(zip(some, map(data.__getitem__, map(slice, begin, [*begin[1:], len(data)]))))
+            else:
+                rough += some
+        known.update(zip(rough, self.ids([" " + c for c in rough])))
+        lines = [c for c in bare if c[0] == "\n"]
+        rough, lines = [c for c in lines if not _AFTER(c)], [c for c in lines if _AFTER(c)]
+        known.update(zip(rough, self.ids(rough)))
+        for at in range(0, len(lines), BATCH):
+            some = lines[at:at + BATCH]
+            data = self.ids(["".join(some)[1:] + "\n"])[0]
+            begin = 0
+            for c, end in zip(some, (4 * np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.feed, "<u4"))).tolist()):
+                known[c] = self.feed + data[begin:end]
+                begin = end + 4
+        for c, (letters, tail) in marked.items():
+            known[c] = known[letters] + marks[tail]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Token ids of each text as little-endian 32-bit integers, without special tokens of its own."""
-        known, heads, cuts = self.known, [], []
+        known, heads, flat, ends = self.known, [], [], [0]
         for text in texts:
-            first, *rest = _CUT.split(text)
-            heads.append(first)
-            cuts.append(list(map(add, rest[::2], rest[1::2])))
-        fresh = list(set().union(*cuts).difference(known))
-        self.learn(fresh)
-        for head, cut in zip(self.ids(heads), cuts):
-            yield head + b"".join([known[c] for c in cut])
+            line, *lines = _LINE.split(text)
+            head, *cut = _SPACE.split(line)
+            heads.append(head)
+            flat += cut
+            for line in lines:
+                first, *cut = _SPACE.split(line)
+                flat.append("\n" + first)
+                flat += cut
+            ends.append(len(flat))
+        found, before = list(map(known.get, flat)), len(known)
+        missed = list(compress(range(len(flat)), map(not_, found)))
+        self.learn({flat[i] for i in missed})
+        for i in missed:
+            found[i] = known[flat[i]]
+        for head, a, b in zip(self.ids(heads), ends, ends[1:]):
+            yield head + b"".join(found[a:b])
         # The stretches met first, so the frequent ones, stay.
+        fresh = list(islice(known, before, None))
         for c in fresh if len(known) > REMEMBERED else [c for c in fresh if len(c) > SHORT]:
             del known[c]
 

@@ -100,6 +100,18 @@ def test_stretches_encode_like_the_whole(monkeypatch):
     assert all(len(k) <= packing.SHORT for k in of.known)
 
 
+def test_words_between_marks_are_asked_once():
+    """The library gets a word once, whatever marks follow it and whatever stands between it and the next."""
+    of, asked = packing.Encoder(MODEL), []
+    ids = of.ids
+    of.ids = lambda stretches: asked.extend(stretches) or ids(stretches)
+    text = "Of alpha, alpha%%% alpha | beta alpha; alpha. beta!\nalpha - beta"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert [np.frombuffer(g, "<u4").tolist() for g in of.encode([text])] == [want]
+    assert sum(a.count(" alpha") for a in asked) == 1 and sum(a.count(" beta") for a in asked) == 1
+
+
 def test_each_bin_is_the_fullest():
     rng = random.Random(6)
     for _ in range(60):
