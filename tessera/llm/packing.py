@@ -37,8 +37,8 @@ from . import textbatch as tb
 from .common import bounded_batches, bucketed_prefix, stored
 
 CAPACITY, BUCKET = 2_048, 1_024
-#: Stretches given to the tokenizer at a time, remembered at most, and characters of one that is remembered.
-BATCH, REMEMBERED, SHORT = 1 << 14, 3 << 19, 64
+#: Stretches given to the tokenizer at a time, remembered at most (by each worker, some 100 MB), and characters of one that is remembered.
+BATCH, REMEMBERED, SHORT = 1 << 14, 1 << 19, 64
 _PIECE = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SOLID = f"!-~{_LETTER[6:]}"  # no white space: ASCII's marks, digits and letters, and Latin letters

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -112,6 +113,16 @@ def test_words_between_marks_are_asked_once():
     assert sum(a.count(" alpha") for a in asked) == 1 and sum(a.count(" beta") for a in asked) == 1
 
 
+def test_what_a_worker_remembers_stays_small():
+    """Two workers share an executor with the JVM: what one keeps of ever new words is bounded well below its share."""
+    of = packing.Encoder(MODEL)
+    for at in range(0, 800_000, 40_000):
+        for _ in of.encode([" ".join(f"w{i:x}" for i in range(at, at + 40_000))]):
+            pass
+    assert len(of.known) > 400_000
+    assert sys.getsizeof(of.known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in of.known.items()) < 120e6
+
+
 def test_each_bin_is_the_fullest():
     rng = random.Random(6)
     for _ in range(60):
