@@ -266,7 +266,7 @@ def encoded(spark: SparkSession, text: Column, model: bytes, decode: bool = Fals
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder(held.value)
         for batch in texts:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, tb.SLICE):
                 rows = [(np.frombuffer(ids, "<i4"), begin.astype(np.int32), end.astype(np.int32)) for ids, begin, end in of.encode(part.to_pylist())]
                 columns = [_lists([r[j] for r in rows]) for j in range(3)]
                 if decode:
@@ -291,7 +291,7 @@ def digests(spark: SparkSession, text: Column, model: bytes) -> Column:
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder(held.value)
         sha = hashlib.sha256
-        for part in (part for batch in texts for part in tb.slices(batch)):
+        for part in (part for batch in texts for part in tb.slices(batch, tb.SLICE)):
             rows = [(len(ids) // 4, sha(ids).hexdigest(), sha(of.decode(ids).encode()).hexdigest(),
                      sha(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()) for ids, begin, end in of.encode(part.to_pylist())]
             columns = list(zip(*rows)) if rows else [[]] * 4

@@ -79,7 +79,7 @@ def fingerprint(text: Column, size: int) -> Column:
     @arrow_udf(LongType())
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, tb.SLICE):
                 yield pa.array(majority(*shingle_hashes(part, size)).view(np.int64), pa.int64())
 
     return made(text)

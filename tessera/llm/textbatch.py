@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 STEP = 1 << 20
+#: Bytes of whole texts a task works on at a time where what is derived from them is many times their size.
+SLICE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)

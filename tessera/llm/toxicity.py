@@ -81,7 +81,7 @@ def present(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarra
 def _packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The distinct coordinates of each text as little-endian 32-bit integers."""
     for batch in texts:
-        for part in tb.slices(batch):
+        for part in tb.slices(batch, tb.SLICE):
             doc, at = present(part)
             first = np.searchsorted(doc, np.arange(len(part) + 1))
             at = at.astype("<u4")
@@ -96,9 +96,9 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
         shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - np.where(at == DIMS, 0.0, L1), 0)
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
-    rows = [np.append(r.astype(np.int64), DIMS) for r in rows]
     for _ in range(epochs):
-        for at, y in zip(rows, labels):
+        for r, y in zip(rows, labels):
+            at = np.append(r.astype(np.int64), DIMS)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             more = n[at] + g * g
@@ -109,6 +109,24 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
     return float(w[DIMS]), kept, w[kept]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The texts' coordinates and labels in the order of training, coordinates in fewer than
+    ``MIN_TEXTS`` texts left out. A batch is let go once read: the sample is held once, as 32-bit integers."""
+    keys, labels, rows = [], [], []
+    texts = np.zeros(DIMS, np.int32)
+    for batch in batches:
+        keys += map(hash_of, batch.column("_id").to_pylist())
+        labels += batch.column("_y").to_pylist()
+        for packed in batch.column("_f"):
+            rows.append(np.frombuffer(packed.as_py(), "<u4"))
+            texts[rows[-1]] += 1  # a text's coordinates are distinct
+    common = texts >= MIN_TEXTS
+    for i, r in enumerate(rows):
+        rows[i] = r[common[r]]
+    order = np.argsort(tb.mix(np.array(keys, np.uint64)), kind="stable")
+    return [rows[i] for i in order], np.array(labels, float)[order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         sample: int = SAMPLE) -> dict:
     """Fit on the labelled texts; ``labels`` holds (id, 0/1) of the rows that may be learnt from.
@@ -125,13 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             .groupBy("_id").agg(F.min(F.struct("_y", "_f")).alias("r")).select("_id", "r._y", "r._f"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("_id", pa.string()), ("_y", pa.int32()), ("_f", pa.binary())]))
-        order = np.argsort(tb.mix(np.array([hash_of(x) for x in got["_id"].to_pylist()], np.uint64)), kind="stable") if got.num_rows else []
-        y = np.array(got["_y"].to_pylist(), float)[order] if got.num_rows else np.zeros(0)
-        packed = got["_f"].to_pylist()
-        rows = [np.frombuffer(packed[i], "<u4") for i in order]
-        common = np.bincount(np.concatenate(rows) if rows else np.zeros(0, int), minlength=DIMS) >= MIN_TEXTS
-        bias, at, w = ftrl([r[common[r]] for r in rows], y)
+        bias, at, w = ftrl(*gathered(batches))
         yield pa.RecordBatch.from_pydict({"at": np.append(at, DIMS), "w": np.append(w, bias)})
 
     got = rows.select(F.col("_id").cast("string"), "_y", "_f").repartition(1).mapInArrow(train, "at long, w double").toPandas()
@@ -163,7 +175,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
         table = np.zeros(DIMS, np.float32)
         table[m["at"]] = m["w"]
         for batch in texts:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, tb.SLICE):
                 doc, at = present(part, table)
                 z = m["bias"] + np.bincount(doc, table[at], len(part))
                 yield pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())

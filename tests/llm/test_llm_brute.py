@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,30 @@ def test_ftrl_matches_a_loop_over_dicts():
     assert want and len(want) < len(z) - 1  # L1 leaves some out
 
 
+def test_training_holds_the_sample_once():
+    """What comes to the training task is kept in one copy; order and choice of coordinates are those of the whole table."""
+    rng = np.random.default_rng(8)
+    made = [(str(i), i % 2, np.unique(rng.integers(0, 40_000, 9_000)).astype("<u4")) for i in range(1_200)]
+    made += [("rare", 1, np.array([5, 700_000], "<u4")), ("none", 0, np.zeros(0, "<u4"))]
+
+    def batches():
+        for at in range(0, len(made), 100):
+            ids, labels, rows = zip(*made[at:at + 100])
+            yield pa.RecordBatch.from_pydict({"_id": pa.array(ids), "_y": pa.array(labels, pa.int32()), "_f": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+    tracemalloc.start()
+    rows, labels = toxicity.gathered(batches())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * sum(r.nbytes for _, _, r in made)
+    order = np.argsort(tb.mix(np.array([toxicity.hash_of(i) for i, _, _ in made], np.uint64)), kind="stable")
+    often = np.bincount(np.concatenate([r for _, _, r in made]), minlength=toxicity.DIMS) >= toxicity.MIN_TEXTS
+    assert labels.tolist() == [made[i][1] for i in order]
+    assert all(np.array_equal(r, made[i][2][often[made[i][2]]]) for r, i in zip(rows, order)) and len(rows) == len(made)
+    rows, labels = toxicity.gathered(iter(()))
+    assert rows == [] and labels.tolist() == []
+
+
 def test_pu_gradient_is_the_slope_of_the_non_negative_risk(monkeypatch):
     """Against finite differences, where the risk of negatives is positive and where it is not."""
     rng = np.random.default_rng(7)
