@@ -78,6 +78,23 @@ def test_window_blocks(spark, monkeypatch, tokens):
     assert bl.window_blocks(table.slice(0, 0)).num_rows == 0
 
 
+@pytest.mark.parametrize("long", [0, 1 << 30])
+def test_impacts_come_with_the_blocks(spark, long):
+    """Those of ``segments._impacts``, which ran row by row behind the blocks, also where lengths need a wide key."""
+    rng, words = np.random.default_rng(8), ["the", "of", "x", "y", "z"]
+    rows = [(m >> 6, m & 63, m, [words[int(i)] for i in rng.geometric(0.5, int(rng.integers(0, 30))) % 5]) for m in range(400)]
+    made = bl.blocks(spark.createDataFrame(rows, "w long, bit int, doc_id long, t array<string>").coalesce(1))
+    listed = made.withColumn("want", sg._impacts(F.col("docs"))).collect()
+    assert any(len(r["want"]) > 2 for r in listed) and [r["impacts"] for r in listed] == [r["want"] for r in listed]
+    block = np.repeat(np.arange(20), 50)
+    tf, dl = rng.integers(1, 9, 1000), rng.integers(9, 40, 1000) + long
+    best, held = bl._impacts(block, tf, dl)
+    for b in range(20):
+        left = 1 << 40
+        want = [(t, d) for t, d in sorted(zip(tf[block == b], dl[block == b]), key=lambda x: (-x[0], x[1])) if d < left and (left := d)]
+        assert [(tf[i], dl[i]) for i in best[held == b]] == want
+
+
 def test_block_product_against_numpy(spark, monkeypatch):
     """Several blocks, dense and rare terms, repeated postings, ties and terms that one side lacks."""
     monkeypatch.setattr(pd, "LEAST_POSTINGS", 200)
