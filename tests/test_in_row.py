@@ -113,6 +113,32 @@ def test_block_product_against_numpy(spark, monkeypatch):
     assert sorted((r["qid"], -1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in best.collect()) == want
 
 
+def test_blocks_of_a_product_are_stored_once(spark, monkeypatch):
+    """Neither side is repeated for the blocks of the other: nothing is shuffled behind the packed blocks."""
+    monkeypatch.setattr(pd, "LEAST_POSTINGS", 20)
+    monkeypatch.setattr(pd, "ASKED", 10)
+    asked = spark.createDataFrame([(q, f"t{q % 7}", 1.0) for q in range(50)], "qid long, term string, weight double")
+    posts = spark.createDataFrame([(f"t{d % 7}", d, 1.0) for d in range(200)], "term string, doc_id long, v double")
+    best = pd.block_product(asked, posts, 3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    assert pd._packed(posts, "doc_id", 10).count() <= 10 and best.count() >= 150
+
+
+def test_all_blocks_meet_whatever_the_partitions(spark, monkeypatch):
+    """Blocks were dealt by an int on one side and a bigint on the other, so those of several partitions missed each other."""
+    monkeypatch.setattr(pd, "LEAST_POSTINGS", 20)
+    monkeypatch.setattr(pd, "ASKED", 10)
+    asked = spark.createDataFrame([(q, "t", 1.0) for q in range(30)], "qid long, term string, weight double")
+    posts = spark.createDataFrame([("t", d, float(d)) for d in range(1, 200)], "term string, doc_id long, v double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = se._rank(pd.block_product(asked, posts, 2), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r["qid"], r["doc_id"]) for r in got) == [(q, d) for q in range(30) for d in (198, 199)]
+
+
 def test_many_queries_by_blocks(spark, scratch, monkeypatch):
     """The scan and the segmented index answer a large table of queries by the product."""
     rng = random.Random(2)
